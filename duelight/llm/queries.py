@@ -4,20 +4,41 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duelight.llm import bpe
-from duelight.llm.tables import read
+from duelight.llm import bpe, langid, mixing, secrets
+from duelight.llm.tables import materialise, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of weights 3, 1, 2 and 150% of all words takes of every document, in training order."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    rows = mixing.mix(materialise(docs, "op1-sizes"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give digests of both."""
     return bpe.digests(spark, read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by cross-parsing against labelled text."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
+    "op7_language_id": op7_language_id,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
