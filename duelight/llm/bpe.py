@@ -239,6 +239,19 @@ def decode(spark: SparkSession, ids: Column, path: str, pattern: str) -> Column:
     return back(ids)
 
 
+def tokenised(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs' doc_id with n_tokens, the token ids, and the digest of the bytes that they decode to."""
+    shared = share(spark, path)
+
+    @F.pandas_udf("n_tokens long, token_ids array<int>, decoded_sha256 string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        codec = _codec(shared, pattern)
+        lists = [codec.encode(t) for t in texts]
+        return pd.DataFrame({"n_tokens": list(map(len, lists)), "token_ids": pd.Series([np.array(x, dtype=np.int32) for x in lists], dtype=object), "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in lists]})
+
+    return docs.select("doc_id", run("text").alias("d")).select("doc_id", "d.*")
+
+
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
 

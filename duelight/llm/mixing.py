@@ -136,3 +136,10 @@ def stream(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, share: f
     rows = rows.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1))))
     rows = rows.withColumn("words", taken_in_pass(F.col("pass_no"))).where(F.col("words") > 0)
     return rows.withColumn("position", position(schedules, F.col("pass_no")))
+
+
+def first_words(text: Column, number: Column) -> Column:
+    """The text up to its number-th word, white space as it is."""
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    return F.array_join(F.slice(parts, F.lit(1), (number + lead).cast("int")), "")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.llm import bpe, langid, mixing, secrets
+from duelight.llm import bpe, langid, mixing, neardup, secrets
 from duelight.llm.tables import materialise, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by cross-parsing against labelled text."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -37,6 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_language_id": op7_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
