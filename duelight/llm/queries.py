@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.llm import bpe, langid, mixing, neardup, secrets
+from duelight.llm import bpe, langid, mixing, neardup, qda, quality, secrets
 from duelight.llm.tables import materialise, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,11 +29,21 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, by thresholds of its language and source."""
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by cross-parsing against labelled text."""
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, as `labels` teaches it."""
+    return qda.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.scan(read(spark, sf_dir, "documents"))
@@ -43,7 +53,9 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op9_quality_score": op9_quality_score,
     "op10_secret_scan": op10_secret_scan,
 }
 
