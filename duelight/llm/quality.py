@@ -33,8 +33,8 @@ def _ratio(part: str, of: str) -> Column:
 RATIOS = {
     "word_length": (_ratio("word_chars", "n_words"), True, True, 0.75),
     "symbols": (_ratio("n_symbols", "n_words"), False, True, 0.1),
-    "dup_lines": (_ratio("n_dup_lines", "n_lines"), False, True, 0.2),
-    "repeats": (_ratio("n_repeat_words", "n_words"), False, True, 0.2),
+    "dup_lines": (_ratio("n_dup_lines", "n_lines"), False, True, 0.35),
+    "repeats": (_ratio("n_repeat_words", "n_words"), False, True, 0.3),
 }
 
 
