@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.llm import bpe, langid, mixing, neardup, qda, quality, secrets
+from duelight.llm import bpe, langid, mixing, neardup, qda, quality, secrets, warc
 from duelight.llm.tables import materialise, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives, normalised, and read back."""
+    rows = warc.round_trip(read(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, as `labels` teaches it."""
     return qda.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -55,8 +61,22 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
     "op9_quality_score": op9_quality_score,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS keeper
+            FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+        FROM d
+    """,
+}
