@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.llm import bpe, langid, mixing, neardup, qda, quality, secrets, warc
+from duelight.llm import bpe, langid, mixing, neardup, qda, quality, secrets, substrings, warc
 from duelight.llm.tables import materialise, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 20 words that start earlier."""
+    return substrings.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, by thresholds of its language and source."""
     return quality.judge(read(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
@@ -67,6 +73,24 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_repeated_passages": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM d WHERE len(words) >= 20
+        ), r AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos : pos + 19], ' ') ORDER BY doc_id, pos) AS nth FROM s
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r WHERE nth > 1
+        ), w AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+        ), k AS (
+            SELECT w.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY w.pos) AS text
+            FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.pos = gone.pos GROUP BY w.doc_id
+        )
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
