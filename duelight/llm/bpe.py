@@ -18,18 +18,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries that the memo tables of a worker hold before they are emptied.
-MEMO = 1 << 19
+MEMO = 1 << 18
+#: Documents whose ids a task holds at once.
+TOGETHER = 200
 
 
 def load_ranks(path: str, limit: int = 1 << 20) -> dict[bytes, int]:
@@ -240,16 +244,28 @@ def decode(spark: SparkSession, ids: Column, path: str, pattern: str) -> Column:
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs' doc_id with n_tokens, the token ids, and the digest of the bytes that they decode to."""
+    """docs' doc_id with n_tokens, the token ids, and the digest of the bytes that they decode to.
+
+    A task holds the ids of TOGETHER documents at once.
+    """
     shared = share(spark, path)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
-    @F.pandas_udf("n_tokens long, token_ids array<int>, decoded_sha256 string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        lists = [codec.encode(t) for t in texts]
-        return pd.DataFrame({"n_tokens": list(map(len, lists)), "token_ids": pd.Series([np.array(x, dtype=np.int32) for x in lists], dtype=object), "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in lists]})
-
-    return docs.select("doc_id", run("text").alias("d")).select("doc_id", "d.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                sizes, ids, digests = [], [], []
+                for text in part.column("text"):
+                    own = codec.encode(text.as_py())
+                    sizes.append(len(own))
+                    ids.append(np.array(own, dtype=np.int32))
+                    digests.append(hashlib.sha256(codec.decode(own)).hexdigest())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(digests)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded_sha256 string")
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
