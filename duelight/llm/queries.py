@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.llm import bpe, langid, mixing, neardup, qda, quality, secrets, substrings, warc
+from duelight.llm import bpe, embeddings, langid, mixing, neardup, qda, quality, secrets, substrings, warc
 from duelight.llm.tables import materialise, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_near_vectors": op3_near_vectors,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_quality_rules": op6_quality_rules,
@@ -73,6 +79,19 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_near_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), r AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        ), c AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+        )
+        SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+    """,
     "op5_repeated_passages": """
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
