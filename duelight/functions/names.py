@@ -84,9 +84,10 @@ def names_agree(a: Column, b: Column) -> Column:
     """Agreement of two names with initials standing for words (STR-05); null if a side is empty."""
     sa, sb = name_parts(a), name_parts(b)
     initial = lambda t: F.length(t) == 1
-    stands = lambda t, other: F.exists(other, lambda w: (w != t) & (F.left(w, F.lit(1)) == t))
-    met = lambda x, y: F.filter(x, lambda t: initial(t) & stands(t, y))
-    lost = lambda x, y: F.exists(x, lambda t: initial(t) & ~stands(t, y) & ~F.array_contains(y, t))
+    # an initial stands for any longer word of the other side that begins with it
+    begins = lambda x: F.transform(F.filter(x, lambda t: ~initial(t)), lambda t: F.left(t, F.lit(1)))
+    met = lambda x, y: F.array_intersect(F.filter(x, initial), begins(y))
+    lost = lambda x, y: F.size(F.array_except(F.array_except(F.filter(x, initial), begins(y)), y)) > 0
     shared = F.array_distinct(F.concat(F.array_intersect(sa, sb), met(sa, sb), met(sb, sa)))
     long = lambda x: F.array_sort(F.filter(x, lambda t: ~initial(t)))
     apart = (lost(sa, sb) | lost(sb, sa)) & (F.size(long(sa)) > 0) & (long(sa) == long(sb))

@@ -227,7 +227,8 @@ def extract_fields(docs: DataFrame) -> DataFrame:
 
 def find_identifiers(docs: DataFrame, key: str, text: str, kinds=tuple(IDENTIFIERS)) -> DataFrame:
     """key, kind, ident of every identifier in a text (EXT-13)."""
-    found = [F.transform(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIERS[k]), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("ident"))) for k in kinds]
+    named = lambda k: F.transform(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIERS[k]), F.lit(0)), lambda m: F.struct(F.lit(k).alias("kind"), m.alias("ident")))
+    found = [named(k) for k in kinds]
     return docs.select(key, F.explode(F.concat(*found)).alias("i")).select(key, "i.*")
 
 
