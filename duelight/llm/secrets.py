@@ -176,7 +176,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, count of each base kind, digest of the base spans, and all spans as text."""
     found = with_spans(docs.select("doc_id", "text"), rules)
     base = [k for k, r in enumerate(rules) if r.base]
-    count = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
+    of_rank = lambda k: F.filter("spans", lambda s: s["rank"] == k)
+    count = [F.size(of_rank(k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
     own = F.filter("spans", lambda s: s["rank"].isin(base))
     return found.select("doc_id", *count, F.sha2(render(own).cast("binary"), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"))
 
