@@ -82,7 +82,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return per.select("source_rank", "source", "source_size", "n", target.alias("target"))
 
 
-def layout(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, share: float = 1.5, cap: float = 2.0, bucket_rows: int = 20_000, sizes: DataFrame | None = None) -> DataFrame:
+def layout(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, share: float = 1.5, cap: float = 2.0, bucket_rows: int = 5_000, sizes: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, source, size and whatever else) with source_size, target, before, turn.
 
     `before` counts the words of the source that lie ahead of the document in one

@@ -25,19 +25,19 @@ LEAST_GROUP, ACCURACY, SPREADS = 100, 10_000, 4.0
 QUANTILES = (0.05, 0.5, 0.95)
 
 
-def _ratio(part: str, of: str) -> Column:
-    return F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0)
-
-
-#: name -> (ratio, checked below, checked above, slack)
+#: name -> (part, whole, checked below, checked above, slack)
 RATIOS = {
-    "word_length": (_ratio("word_chars", "n_words"), True, True, 0.75),
-    "symbols": (_ratio("n_symbols", "n_words"), False, True, 0.1),
-    "dup_lines": (_ratio("n_dup_lines", "n_lines"), False, True, 0.35),
-    "repeats": (_ratio("n_repeat_words", "n_words"), False, True, 0.3),
+    "word_length": ("word_chars", "n_words", True, True, 0.75),
+    "symbols": ("n_symbols", "n_words", False, True, 0.1),
+    "dup_lines": ("n_dup_lines", "n_lines", False, True, 0.35),
+    "repeats": ("n_repeat_words", "n_words", False, True, 0.3),
 }
 
 
+def _ratio(part: str, of: str) -> Column:
+    return F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
 
@@ -46,12 +46,12 @@ def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts of the text, base_failed and the ratios."""
     rows = docs.select("doc_id", "lang", "source", rule_counts("text").alias("c")).select("doc_id", "lang", "source", "c.*")
     rows = rows.withColumn("base_failed", base_failed())
-    return rows.select("*", *[r.alias(f"r_{n}") for n, (r, *_) in RATIOS.items()])
+    return rows.select("*", *[_ratio(part, of).alias(f"r_{n}") for n, (part, of, *_) in RATIOS.items()])
 
 
 def _fences(alias: str) -> list[Column]:
     out = []
-    for name, (_, below, above, slack) in RATIOS.items():
+    for name, (_, _, below, above, slack) in RATIOS.items():
         q = F.col(f"q_{name}")
         low, mid, high = q[0], q[1], q[2]
         # a ratio that is only checked above takes its spread from the sound half
@@ -86,7 +86,7 @@ def judge(docs: DataFrame) -> DataFrame:
     fence = thresholds(rows)
     met = rows.join(fence, rows["lang"].eqNullSafe(fence["_lang"]) & rows["source"].eqNullSafe(fence["_source"]), "left")
     reason = F.when(F.col("n_words") < LEAST_WORDS, "few_words").when(F.col("base_failed"), "repetition")
-    for name, (_, below, above, _) in RATIOS.items():
+    for name, (_, _, below, above, _) in RATIOS.items():
         outside = F.lit(False)
         if above:
             outside = outside | F.coalesce(F.col(f"r_{name}") > F.col(f"most_{name}"), F.lit(False))
