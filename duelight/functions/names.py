@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelight.functions.text import normalize
 
@@ -21,7 +22,7 @@ STOP_WORDS = (
 NOISE = ("private", "pvt", "limited", "ltd", "llp", "co", "company", "ms", "m", "s", "messrs", "the")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 

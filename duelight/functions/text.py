@@ -173,7 +173,7 @@ def location(c: Column) -> Column:
     stop = r"(?=\s+(?:Flat|Name|Village|Block|Road|City|State|District|PIN|Pin)\b|,|$)"
     city = F.coalesce(extract(c, rf"(?i)\bcity(?:/town/village)?\s*:\s*(.+?){stop}"), extract(c, rf"(?i)\bdistrict\s*:\s*(.+?){stop}"))
     state = extract(c, rf"(?i)\bstate\s*:\s*(.+?){stop}")
-    plain = F.filter(F.transform(F.split(F.regexp_replace(c, r"\b\d{6}\b|\bIndia\b", ""), ","), F.trim), lambda p: (p != "") & ~p.rlike(r"\d"))
+    plain = F.filter(F.transform(F.split(F.regexp_replace(c, r"\b\d{6}\b|\bIndia\b", ""), ","), lambda x: F.trim(x)), lambda p: (p != "") & ~p.rlike(r"\d"))
     tail = F.array_join(F.slice(plain, F.greatest(F.size(plain) - 1, F.lit(1)), F.lit(2)), ", ")
     return F.initcap(F.coalesce(F.concat_ws(", ", city, state).substr(F.when(city.isNotNull() | state.isNotNull(), 1), F.length(c)), F.nullif(tail, F.lit(""))))
 
@@ -221,7 +221,7 @@ def fmt_value(c: Column) -> Column:
 
 def parse_override(c: Column) -> Column:
     """Non-empty items of a ";" list."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_code(c: Column) -> Column:

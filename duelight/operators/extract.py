@@ -19,7 +19,7 @@ def _no_prefix(c: Column) -> Column:
 
 
 def _lines(t: Column) -> Column:
-    return F.filter(F.transform(F.split(t, r"\r?\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def gst_certificate(t: Column) -> Fields:
@@ -93,7 +93,7 @@ def cancelled_cheque(t: Column) -> Fields:
     runs = F.regexp_extract_all(F.replace(t, F.lit(" "), F.lit("")), F.lit(r"\b\d{9,18}\b"), F.lit(0))
     longest = F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
     pattern = F.lit(r"(?m)(^|\S\s+)FOR\s+([A-Z][A-Za-z .&]+)")
-    held = F.arrays_zip(F.regexp_extract_all(t, pattern, F.lit(1)).alias("lead"), F.transform(F.regexp_extract_all(t, pattern, F.lit(2)), F.trim).alias("name"))
+    held = F.arrays_zip(F.regexp_extract_all(t, pattern, F.lit(1)).alias("lead"), F.transform(F.regexp_extract_all(t, pattern, F.lit(2)), lambda x: F.trim(x)).alias("name"))
     held = F.filter(held, lambda h: ~h["name"].rlike(r"(?i)\b(MONTHS?|ONLY|VALID|PAYEE|ORDER|BEARER|SELF)\b"))
     best = F.array_max(F.transform(held, lambda h, i: F.struct((h["lead"] == "").cast("int").alias("a"), F.length(h["name"]).alias("n"), (-i).alias("i"), h["name"].alias("name"))))["name"]
     low = F.lower(t)
