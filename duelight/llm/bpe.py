@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries that the memo tables of a worker hold before they are emptied.
-MEMO = 1 << 18
+MEMO = 1 << 19
 #: Documents whose ids a task holds at once.
 TOGETHER = 200
 
