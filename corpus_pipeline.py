@@ -43,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = mixing.word_count(F.col("text")).alias("size")
-    rows = mixing.stream(docs.select(*COLUMNS, size), sizes=docs.select("source", size))
+    rows = mixing.stream(docs.select(*COLUMNS, size), sizes=docs.select("source", size)).select("row.*", "words", "position")
     text = F.when(F.col("words") < F.col("size"), mixing.first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
     rows = rows.orderBy("position", "doc_id").withColumn("text", text)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

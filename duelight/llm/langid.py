@@ -83,17 +83,19 @@ class Parser:
         for k, c in enumerate(alphabet):
             self.lut[ord(c)] = k + 1
         self.width = len(alphabet) + 2
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for k in self.languages:
             step = _suffix_automaton([self.lut[ord(c)] for c in clean[k]])
-            table = np.full((len(step), self.width), -1, dtype=np.int32)
+            # the last state is between phrases: whatever comes starts one
+            between = base + len(step)
+            table = np.full((len(step) + 1, self.width), -1, dtype=np.int32)
             for s, out in enumerate(step):
                 if out:
                     table[s, list(out)] = np.fromiter(out.values(), np.int32, len(out)) + base
-            restart = np.where(table[0] < 0, base, table[0]) | _DEAD
+            restart = np.where(table[0] < 0, between, table[0]) | _DEAD
             tables.append(np.where(table < 0, restart[None, :], table))
-            self.roots.append(base)
-            base += len(step)
+            self.starts.append(between)
+            base = between + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(2, len(clean[k]))) for k in self.languages])
 
@@ -117,9 +119,8 @@ class Parser:
         for j, (_, p) in enumerate(pieces):
             grid[: len(p), j] = p
         alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        roots = np.array(self.roots, dtype=np.int32)[:, None]
-        state = np.repeat(roots, len(pieces), axis=1)
-        count = np.ones((len(self.languages), len(pieces)), dtype=np.int32)
+        state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], len(pieces), axis=1)
+        count = np.zeros((len(self.languages), len(pieces)), dtype=np.int32)
         for i, n in enumerate(alive):
             got = self.table[state[:, :n] * np.int32(self.width) + grid[i, :n]]
             count[:, :n] += got >> 30

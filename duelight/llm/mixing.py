@@ -123,19 +123,19 @@ def position(schedules: Sequence[Schedule], number: Column) -> Column:
 
 def mix(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, share: float = 1.5, cap: float = 2.0, **options) -> DataFrame:
     """One row per document: its words, its source's words and target, what the mix takes, and when it first does; in training order."""
-    rows = layout(docs, schedules, share, cap, **options)
+    rows = layout(docs.select("doc_id", "source", "size"), schedules, share, cap, **options)
     passes = [taken_in_pass(F.lit(k)) for k in range(int(-(-cap // 1)))]
     taken = sum(passes[1:], passes[0])
     first = F.when(passes[0] > 0, position(schedules, F.lit(0)))
-    return rows.select(*docs.columns, "source_size", "target", taken.alias("taken"), first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def stream(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, share: float = 1.5, cap: float = 2.0, **options) -> DataFrame:
-    """The mix itself: one row per document and pass that takes words of it, with `words` taken and `position`; not yet sorted."""
-    rows = layout(docs, schedules, share, cap, **options)
+    """The mix itself: a row per document and pass that takes words of it: the document as struct `row`, `words` taken and `position`; not yet sorted."""
+    rows = layout(docs.select("doc_id", "source", "size", F.struct(*docs.columns).alias("row")), schedules, share, cap, **options)
     rows = rows.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1))))
     rows = rows.withColumn("words", taken_in_pass(F.col("pass_no"))).where(F.col("words") > 0)
-    return rows.withColumn("position", position(schedules, F.col("pass_no")))
+    return rows.select("row", "pass_no", "words", position(schedules, F.col("pass_no")).alias("position"))
 
 
 def first_words(text: Column, number: Column) -> Column:

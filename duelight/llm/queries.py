@@ -79,6 +79,37 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_source_mix": """
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CAST(CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(2.0 AS DOUBLE) * source_size AS most,
+                   CAST(CASE rank % 3 WHEN 0 THEN 4.0 WHEN 1 THEN 0.5 ELSE 2.0 END AS DOUBLE) AS w0, CAST(CASE rank % 3 WHEN 0 THEN -2.0 WHEN 1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS slope
+            FROM s
+        ), o AS (
+            SELECT *, most / weight AS full_at,
+                   (CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own_level
+            FROM w
+        ), t AS (
+            SELECT *, max(CASE WHEN own_level <= full_at THEN own_level END) OVER () AS level FROM o
+        ), g AS (
+            SELECT source, source_size, weight, w0, slope, CASE WHEN level IS NULL OR full_at < level THEN most ELSE level * weight END AS target FROM t
+        ), l AS (
+            SELECT d.*, g.* EXCLUDE (source), CAST(floor(target) AS BIGINT) AS whole,
+                   CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+        ), p AS (
+            SELECT *, greatest(0, least(size, whole - before)) AS first_pass, greatest(0, least(size, whole - source_size - before)) AS second_pass,
+                   CAST(before AS DOUBLE) / CAST(whole AS DOUBLE) * weight AS due
+            FROM l
+        )
+        SELECT doc_id, size, source_size, target, first_pass + second_pass AS taken,
+               CASE WHEN first_pass > 0 THEN CASE WHEN due <= 0 THEN 0.0 ELSE 2 * due / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * due, 0.0))) END END AS position
+        FROM p
+    """,
     "op3_near_vectors": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -148,7 +148,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `spans`: all verified spans by start, then rule order."""
+    """docs (doc_id, text, and others not named spans) with `spans`: all verified spans by start, then rule order."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     own = docs.columns
@@ -195,6 +195,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secre
             .otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], clear, F.lit(mask)).alias("out")))
         )
 
+    rest = [c for c in own if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    return with_spans(docs, rules).withColumn("text", text).select(*own)
+    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text")
+    columns = {"doc_id": F.col("doc_id"), "text": text}
+    return with_spans(packed, rules).select(*[columns[c] if c in columns else F.col(f"rest.`{c}`").alias(c) for c in own])
