@@ -132,3 +132,34 @@ def anchor_doc(docs: DataFrame, doc_type: str) -> DataFrame:
     """The first document of a type per vendor (WIN-08)."""
     place = F.row_number().over(W.partitionBy("vendor_id").orderBy("seq"))
     return docs.where(F.col("doc_type") == doc_type).withColumn("nth", place).where("nth = 1").drop("nth")
+
+
+def registry_errors(snapshots: DataFrame) -> DataFrame:
+    """vendor_id, endpoint, error of failed calls and of errors inside good answers (PRJ-09)."""
+    inner = F.map_entries(F.from_json(F.try_variant_get("data", "$.errors", "string"), "map<string,string>"))
+    told = snapshots.select("vendor_id", "endpoint", F.explode(inner).alias("e")).select("vendor_id", "endpoint", F.concat_ws(": ", "e.key", "e.value").alias("error"))
+    failed = snapshots.where("failed").select("vendor_id", "endpoint", F.concat(F.lit("status "), F.col("http_status").cast("string")).alias("error"))
+    return told.unionByName(failed)
+
+
+def top_rows(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each key and how many more there are (SRT-03)."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    return rows.withColumn("place", place).withColumn("more", F.greatest(n - k, F.lit(0))).where(F.col("place") <= k)
+
+
+def compact_registry(detail: DataFrame, hsn: DataFrame, summary: DataFrame, recent: DataFrame, codes: int = 15, rows: int = 26) -> DataFrame:
+    """One row per vendor: its scalars, the first codes with short descriptions, filing summary, latest filings (PRJ-14)."""
+    short = top_rows(hsn, ["vendor_id"], ["code"], codes).groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("code", F.left("description", F.lit(80)).alias("description")))).alias("hsn"), F.max("more").alias("more_hsn"))
+    last = top_rows(recent, ["vendor_id"], [F.col("period").desc(), "return_type"], rows).groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("place", "period", "return_type", "delay_days"))).alias("recent"))
+    return detail.join(short, "vendor_id", "left").join(summary, "vendor_id", "left").join(last, "vendor_id", "left")
+
+
+def run_summary(vendors: DataFrame, **lists: DataFrame) -> DataFrame:
+    """One row per vendor with the sorted items of each list (vendor_id, item) (AGG-18)."""
+    out = vendors.select("vendor_id")
+    for name, rows in lists.items():
+        items = rows.groupBy("vendor_id").agg(F.array_sort(F.collect_list("item")).alias(name))
+        out = out.join(items, "vendor_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out

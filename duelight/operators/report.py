@@ -73,3 +73,10 @@ def flags_table(parts: dict[str, DataFrame]) -> DataFrame:
 
     rows = [d.select("vendor_id", F.lit(n).alias("section"), split_flag(F.col("item")).alias("s")).select("vendor_id", "section", "s.*") for n, d in parts.items()]
     return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def profile(entity: DataFrame) -> DataFrame:
+    """vendor_id, text: one paragraph of what is known (RPT-05)."""
+    say = lambda lead, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(lead), F.col(c))) if c in entity.columns else F.lit(None).cast("string")
+    parts = [say("", "legal_name"), say("constitution: ", "constitution"), say("registered on ", "date_of_registration"), say("in ", "state"), say("activity: ", "major_activity")]
+    return entity.select("vendor_id", F.concat(F.concat_ws("; ", *parts), F.lit(".")).alias("text"))

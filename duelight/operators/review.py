@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duelight.operators import score
 from duelight.operators.resolve import landlord, rental_validation
 
 ADDRESS_ROWS = ("addr_ownership_type", "addr_electricity_bill", "addr_rental_validation", "addr_msme", "addr_landlord_declaration")
@@ -149,3 +150,31 @@ def cap_result(c: Column, limit: int = 6000) -> Column:
     """struct(truncated, total_chars, preview) of a long text (PRJ-15)."""
     n = F.length(c)
     return F.struct((n > limit).alias("truncated"), n.alias("total_chars"), F.left(c, F.lit(limit)).alias("preview"))
+
+
+def preview_scores(fresh: DataFrame, carried: DataFrame, overrides: DataFrame, params: DataFrame, rules: DataFrame, vendors: DataFrame) -> DataFrame:
+    """Scores as they would be with the overrides (OVR-03)."""
+    state = apply_overrides(fresh, carried, overrides).withColumn("note", F.lit("")).withColumn("unresolved", F.col("value").isNull())
+    return score.vendor_scores(score.category_scores(score.score_params(state, params, rules, vendors)))
+
+
+def finalise(resolved: DataFrame, carried: DataFrame, overrides: DataFrame, params: DataFrame, rules: DataFrame, vendors: DataFrame, grades: DataFrame) -> dict[str, DataFrame]:
+    """Problems, state, scores and stale lines after overrides (OVR-05).
+
+    A vendor with any problem keeps none of its overrides.
+    """
+    problems = validate_overrides(overrides, score.param_specs(rules))
+    good = overrides.join(problems.select("vendor_id").distinct(), "vendor_id", "left_anti")
+    state = apply_overrides(resolved, carried, good)
+    derived = rederive_address(state.withColumn("note", F.lit("")), good)
+    derived = derived.withColumn("unresolved", F.col("value").isNull())
+    scores = score.grade_band(score.vendor_scores(score.category_scores(score.score_params(derived, params, rules, vendors))), grades)
+    stale = state.where("stale").select("vendor_id", F.concat_ws(": ", F.lit("stale"), "parameter_id").alias("item"))
+    return {"problems": problems, "state": derived, "scores": scores, "stale": stale}
+
+
+def flatten_messages(traces: DataFrame) -> DataFrame:
+    """vendor_id, pass, ord, kind, text, tool_calls of trace messages whose content is text or a list of parts (REV-03)."""
+    m = traces.select("vendor_id", "pass", F.posexplode("messages").alias("ord", "m"))
+    parts = F.array_join(F.filter(F.transform("m.parts", lambda p: F.when(p["type"] == "text", p["text"])), lambda t: t.isNotNull()), "\n")
+    return m.select("vendor_id", "pass", "ord", F.col("m.type").alias("kind"), F.coalesce("m.content", parts).alias("text"), F.transform("m.tool_calls", lambda c: c["name"]).alias("tool_calls"))

@@ -192,3 +192,40 @@ def test_sources(spark, tmp_path):
     assert (good.count(), bad.count()) == (1, 3)
     pages = spark.createDataFrame([(1, "<table><tr><td> a </td><td><b>Y</b></td></tr><tr><td>x</td></tr></table>")], "id int, html string")
     assert io.html_table_rows(pages, "id", "html", least=2).first().cells == ["a", "Y"]
+
+
+def test_assessment_end_to_end(spark):
+    from duelight.plans import vendors
+
+    docs = spark.createDataFrame([(1, 1, "GST certificate.pdf", 0), (1, 2, "cheque.jpg", 1), (2, 3, "scan.pdf", 0)], "vendor_id int, doc_id int, file_name string, seq int")
+    texts = spark.createDataFrame([(1, GST, True), (2, CHEQUE, True), (3, "blank", False)], "doc_id int, text string, confident boolean")
+    answers = spark.createDataFrame([(1, "Active")], "vendor_id int, gstin_status string")
+    params = spark.createDataFrame([("compliance", "com_gstin_active", 0, 5.0, False)], "category_id string, parameter_id string, param_ord int, max_score double, conditional boolean")
+    rules = spark.createDataFrame([("com_gstin_active", 0, 'value == "active"', "Active", 5.0)], "parameter_id string, ordinal int, expr string, condition string, assigned_score double")
+    out = vendors.assess(docs, texts, answers, params, rules, spark.createDataFrame([("A", 5.0)], "grade string, min_score double"), F.to_date(F.lit("2026-03-10")))
+    assert {r.vendor_id: (r.total, r.max_total, r.grade) for r in out["scores"].collect()} == {1: (5.0, 5.0, "A"), 2: (0.0, 5.0, None)}
+
+
+def test_consistency(spark):
+    from duelight.operators import consistency
+
+    reads = spark.createDataFrame([(1, 1, "gst_certificate", 0, {"gstin": "27AAAAA1234B1Z5", "legal_name": "EXAMPLE TRADERS"}), (1, 2, "kyc_form", 1, {"gstin": "27BBBBB1234B1Z5"}), (1, 3, "pan_entity", 2, {"pan": "AAAPA1234B", "name": "FIRST PARTNER"}), (1, 4, "pan_owner", 3, {"pan": "CCCPC1234C", "name": "UNKNOWN SOUL"}), (2, 5, "kyc_form", 0, {"pan": "X"})], "vendor_id int, doc_id int, doc_type string, seq int, fields map<string,string>")
+    people = spark.createDataFrame([(1, "FIRST PARTNER")], "vendor_id int, person string")
+    got = {(r.vendor_id, r.doc_id, r.warning.split(":")[0]) for r in consistency.check_consistency(reads, people).collect()}
+    assert got == {(1, 2, "another GSTIN than the certificate"), (1, 3, "an individual's PAN filed as the entity's"), (1, 3, "in the name of partner FIRST PARTNER"), (1, 4, "not a partner on record"), (2, None, "no readable certificate to compare with")}
+
+
+def test_cases_and_persons(spark):
+    from duelight.operators import cases
+
+    names = spark.createDataFrame([(1, "Example Traders"), (1, "Mr. First Partner"), (2, "Abc")], "vendor_id int, name string")
+    docket = spark.createDataFrame([(10, "State Bank", "M/s Example Traders and ors"), (11, "Example Foods", "Other"), (12, None, "Partner, First")], "case_id int, applicant string, respondent string")
+    hits, rejected = cases.screen_cases(names, docket)
+    assert rows_of(hits) == [(1, 10, "respondent"), (1, 12, "respondent")] and rows_of(rejected) == [(1, 1)]
+    people = spark.createDataFrame([(1, "First Partner"), (2, "Nobody Known")], "vendor_id int, name string")
+    listed = spark.createDataFrame([("First Partner",)], "name string")
+    assert {r.vendor_id: (r.value, r.gap) for r in cases.screen_persons(people, listed, None).collect()} == {1: ("pep_identified", "second source not read"), 2: ("no_pep", "second source not read")}
+    assert {r.value for r in cases.screen_persons(people, listed.limit(0), listed).collect()} == {None}
+    entity = spark.createDataFrame([(1, ["Example Traders", "EXAMPLE"], ["example", "First Partner", "first  partner", ""])], "vendor_id int, own array<string>, people array<string>")
+    r = cases.screening_names(entity).first()
+    assert (r.names, r.persons) == (["Example Traders", "EXAMPLE", "First Partner"], ["First Partner"])
