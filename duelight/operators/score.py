@@ -52,6 +52,14 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MOST_RULES + 1).count() <= MOST_RULES else table
 
 
+def bounded(table: DataFrame, most: int = 1_000) -> list:
+    """The rows of a model table (parameters, grades) on the driver; more than `most` are refused."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a scoring model has at most {most} parameters or grades")
+    return rows
+
+
 def score_params(resolved: DataFrame, params: DataFrame, rules: DataFrame, vendors: DataFrame) -> DataFrame:
     """One row per vendor and scored parameter with the first rule that holds (JN-09).
 
@@ -64,7 +72,8 @@ def score_params(resolved: DataFrame, params: DataFrame, rules: DataFrame, vendo
     known = resolved.where(~F.coalesce("unresolved", F.lit(False)) & F.col("value").isNotNull())
     hit = known.join(parsed, "parameter_id").where(rule_holds(F.col("value")) | F.col("kind").isNull())
     first = hit.groupBy("vendor_id", "parameter_id").agg(F.min_by(F.struct("condition", "assigned_score", "kind", "expr"), "ordinal").alias("m"))
-    grid = vendors.select("vendor_id", F.explode(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in scored.columns]) for r in scored.limit(1000).collect()])).alias("p")).select("vendor_id", "p.*")
+    each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in scored.columns]) for r in bounded(scored)])
+    grid = vendors.select("vendor_id", F.explode(each).alias("p")).select("vendor_id", "p.*")
     rows = grid.join(first, ["vendor_id", "parameter_id"], "left").join(resolved.select("vendor_id", "parameter_id", "value", "note"), ["vendor_id", "parameter_id"], "left")
     good = F.col("m").isNotNull() & F.col("m.kind").isNotNull()
     note = F.when(F.col("m").isNotNull() & F.col("m.kind").isNull(), F.concat(F.lit("gap: unknown rule "), F.col("m.expr"))).otherwise(F.col("note"))
@@ -86,7 +95,7 @@ def vendor_scores(categories: DataFrame) -> DataFrame:
 
 def grade_band(scores: DataFrame, grades: DataFrame) -> DataFrame:
     """scores with the grade of the greatest min_score not above the total; null if none (JN-10)."""
-    bands = sorted(((r["min_score"], r["grade"]) for r in grades.limit(1000).collect()), reverse=True)
+    bands = sorted(((r["min_score"], r["grade"]) for r in bounded(grades)), reverse=True)
     grade = F.lit(None).cast("string")
     for least, name in reversed(bands):
         grade = F.when(F.col("total") >= least, name).otherwise(grade)
