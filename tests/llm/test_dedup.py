@@ -125,6 +125,45 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def edited(words, share, rng):
+    out = list(words)
+    for k in rng.sample(range(len(out)), round(share * len(out))):
+        out[k] = "x" + str(rng.randrange(10**9))
+    return out
+
+
+def test_copies_that_only_link_with_their_original(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    monkeypatch.setattr(neardup, "COLD", 16)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    at = 87
+    docs = [edited(base, 0.12, rng) for _ in range(150)]
+    docs.insert(at, base)
+    ids = [np.array([hash(w) & 0xFFFFFFFF for w in d], "u4") for d in docs]
+    alone = [k for k in range(len(ids)) if k != at and not any(neardup.within(ids[k], ids[j], 60) for j in range(len(ids)) if j not in (k, at))]
+    assert len(alone) > 50 and all(neardup.within(ids[k], ids[at], 60) for k in range(len(ids)))
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    assert [r.class_id for r in got] == [0] * 151
+
+
+def test_blocks_compare_all_pairs_of_different_classes():
+    rng = random.Random(4)
+    base = [rng.randrange(10**6) for _ in range(100)]
+    words = [np.array(base, "u4")]
+    for k in range(30):
+        w = list(base) if k < 20 else [rng.randrange(10**6) for _ in range(100)]
+        for i in rng.sample(range(100), 12):
+            w[i] = rng.randrange(10**6)
+        words.append(np.array(w, "u4"))
+    n = len(words)
+    for side in (np.zeros(n, int), np.arange(n) % 2):
+        allowed = [(a, b) for a in range(n) for b in range(a + 1, n) if (not side.any() or side[a] != side[b]) and neardup.within(words[a], words[b], 20)]
+        got = neardup.block_links(words, np.arange(n), side)
+        assert parts(got, range(n)) == parts(allowed, range(n))
+        assert neardup.block_links(words, np.zeros(n, int), side) == []
+
+
 def test_occurrence_labels_and_order():
     import pyarrow as pa
 
