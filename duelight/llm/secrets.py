@@ -39,6 +39,10 @@ class Rule:
     base: bool = False
 
 
+#: What lies between the header of a key and its END line; or, without one, headers and base64 lines, the last of which may be short.
+PEM_BODY = r"[^-]*+(?:-(?!----)[^-]*+)*+"
+PEM_LINES = r"(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2})++(?:(?:\s|\\[nr])++[A-Za-z0-9+/]++={0,2}(?=\s|$))?)?"
+
 #: The base rules of the contract, then well-known public token formats.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
@@ -48,7 +52,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?:" + PEM_BODY + r"-----END \1PRIVATE KEY-----|" + PEM_LINES + ")"),
 )
 MOST_STRINGS, MOST_CLAUSES = 16, 64
 
