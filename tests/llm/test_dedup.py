@@ -147,6 +147,17 @@ def test_copies_that_only_link_with_their_original(spark, monkeypatch):
     assert [r.class_id for r in got] == [0] * 151
 
 
+@pytest.mark.parametrize("n, similarity, least", [(300, 0.8, 0.98), (100, 0.8, 0.98), (30, 0.867, 0.98), (20, 0.85, 0.96)])
+def test_similar_texts_share_a_bucket(n, similarity, least):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(300)]
+    texts = [" ".join(w) for w in base + [edited(w, 1 - similarity, rng) for w in base]]
+    keys = [set(neardup._orders(neardup._labelled(g)).tolist()) for b in blocks(pa.array(texts)) for g in neardup._grams(b)]
+    assert sum(bool(x & y) for x, y in zip(keys[:300], keys[300:])) >= least * 300
+
+
 def test_blocks_compare_all_pairs_of_different_classes():
     rng = random.Random(4)
     base = [rng.randrange(10**6) for _ in range(100)]
