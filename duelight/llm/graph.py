@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelight.llm.tables import materialise
+from duelight.llm.tables import discard, materialise
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -34,4 +34,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if state == seen or not state[0]:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v"), F.col("v")).distinct())
         seen = state
-        pairs = materialise(_star(_star(pairs, large=True), large=False), name)
+        before, pairs = pairs, materialise(_star(_star(pairs, large=True), large=False), name)
+        discard(before)
