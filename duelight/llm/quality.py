@@ -1,15 +1,22 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Counts of every whole text feed mergeable quantile sketches (percentile_approx) per
-language and source, per language, and over all. A document fails when one of its
-ratios lies outside its group's fence: the median plus or minus SPREADS times the
-distance to an outer quantile on the sound side, plus a slack. Groups of fewer than
-LEAST_GROUP documents take the fence of their language, then of all. The thresholds
-are joined back by group.
-
-Defined cases: a null text has no words and fails the base rule, as every text of
-under 50 words does; null languages and sources are groups; documents that fail the
-base rule don't shape thresholds; an empty table gives no rows.
+Counts of every whole text give ratios, taken as logarithms of (part + 1) / (whole + 1),
+so that texts without a single symbol or repetition spread too, by their lengths.
+Mergeable quantile sketches (percentile_approx) of each ratio are taken per language
+and source, per language, and over all. A group's quartiles shrink towards those of
+its language by the weight n / (n + PRIOR), and a language's towards those of all. A
+document fails when a ratio lies beyond its group's fence: the outer quartile plus
+STEPS times its distance to the median, where an exponential tail through the two
+leaves one document in 4 * 2**STEPS. Quartiles are not moved by junk in less than a
+quarter of a group. No fixed ratio and no label enters; so a habit of less than a
+quarter of a group's sound documents (tables, code) does not widen its fence either.
+
+The thresholds are joined back by group. Defined cases: a null text has no words and
+fails the base rule, as every text of under 50 words does; null languages and sources
+are groups; documents that fail the base rule don't shape thresholds; a ratio on its
+fence is kept; texts of any length are counted whole; repeated rows count each and get
+the same verdict; other columns, whatever their names, are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,21 +28,22 @@ from duelight.llm.tables import materialise
 from duelight.llm.textstats import rule_counts
 
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
-LEAST_GROUP, ACCURACY, SPREADS = 100, 10_000, 4.0
-QUANTILES = (0.05, 0.5, 0.95)
+PRIOR, ACCURACY, STEPS = 100, 10_000, 5
+QUARTILES = (0.25, 0.5, 0.75)
+#: A ratio this close to its fence is on it (rounding).
+ON = 1e-9
 
-
-#: name -> (part, whole, checked below, checked above, slack)
+#: name -> (part, whole, is it checked below too?)
 RATIOS = {
-    "word_length": ("word_chars", "n_words", True, True, 0.75),
-    "symbols": ("n_symbols", "n_words", False, True, 0.1),
-    "dup_lines": ("n_dup_lines", "n_lines", False, True, 0.35),
-    "repeats": ("n_repeat_words", "n_words", False, True, 0.3),
+    "word_length": ("word_chars", "n_words", True),
+    "symbols": ("n_symbols", "n_words", False),
+    "dup_lines": ("n_dup_lines", "n_lines", False),
+    "repeats": ("n_repeat_words", "n_words", False),
 }
 
 
 def _ratio(part: str, of: str) -> Column:
-    return F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0)
+    return F.log((F.col(part) + 1) / (F.col(of) + 1))
 
 
 def base_failed() -> Column:
@@ -46,52 +54,45 @@ def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts of the text, base_failed and the ratios."""
     rows = docs.select("doc_id", "lang", "source", rule_counts("text").alias("c")).select("doc_id", "lang", "source", "c.*")
     rows = rows.withColumn("base_failed", base_failed())
-    return rows.select("*", *[_ratio(part, of).alias(f"r_{n}") for n, (part, of, *_) in RATIOS.items()])
+    return rows.select("*", *[_ratio(part, of).alias(f"r_{n}") for n, (part, of, _) in RATIOS.items()])
 
 
-def _fences(alias: str) -> list[Column]:
-    out = []
-    for name, (_, _, below, above, slack) in RATIOS.items():
-        q = F.col(f"q_{name}")
-        low, mid, high = q[0], q[1], q[2]
-        # a ratio that is only checked above takes its spread from the sound half
-        spread = high - mid if below else mid - low
-        out.append(F.when(F.col("n") > 0, mid + SPREADS * spread + slack).alias(f"{alias}_most_{name}"))
-        out.append((mid - SPREADS * (mid - low) - slack if below else F.lit(None).cast("double")).alias(f"{alias}_least_{name}"))
-    return out
+def _shrunk(n: str, own: str, wide: list[Column]) -> list[Column]:
+    """Quartiles of a group, drawn to those of the wider one by its size."""
+    return [(F.col(n) * F.col(own)[k] + PRIOR * wide[k]) / (F.col(n) + PRIOR) for k in range(3)]
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """Fences of each language and source, taken from wider groups where these are small."""
+    """_lang, _source, and the fences of each ratio: most_<name>, and least_<name> where it is checked below."""
     sound = rows.where(~F.col("base_failed"))
-    sketch = [F.percentile_approx(f"r_{n}", list(QUANTILES), ACCURACY).alias(f"q_{n}") for n in RATIOS]
-    levels = sound.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketch)
-    levels = materialise(levels, "op6-sketches")
-    small = levels.where("level = 0").select("lang", "source", F.col("n").alias("own_n"), *_fences("own"))
-    wide = levels.where("level = 1").select(F.col("lang").alias("_lang"), F.col("n").alias("lang_n"), *_fences("lang"))
-    whole = levels.where("level = 3").select(*_fences("all")).first()
+    sketch = [F.percentile_approx(f"r_{n}", list(QUARTILES), ACCURACY).alias(f"q_{n}") for n in RATIOS]
+    levels = materialise(sound.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketch), "op6-sketches")
+    whole = levels.where("level = 3").first()
+    small = levels.where("level = 0")
+    wide = levels.where("level = 1").select(F.col("lang").alias("_lang"), F.col("n").alias("lang_n"), *[F.col(f"q_{n}").alias(f"lang_{n}") for n in RATIOS])
     both = small.join(wide, small["lang"].eqNullSafe(wide["_lang"]))
     out = []
-    for name in RATIOS:
-        for side in ("most", "least"):
-            every = F.lit(whole[f"all_{side}_{name}"] if whole else None).cast("double")
-            pick = F.when(F.col("own_n") >= LEAST_GROUP, F.col(f"own_{side}_{name}")).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{side}_{name}")).otherwise(every)
-            out.append(pick.alias(f"{side}_{name}"))
+    for name, (_, _, below) in RATIOS.items():
+        every = [F.lit(q) for q in (whole[f"q_{name}"] if whole and whole["n"] else (None,) * 3)]
+        low, mid, high = _shrunk("n", f"q_{name}", _shrunk("lang_n", f"lang_{name}", every))
+        out.append((high + STEPS * (high - mid) + ON).alias(f"most_{name}"))
+        if below:
+            out.append((low - STEPS * (mid - low) - ON).alias(f"least_{name}"))
     return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *out)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_failed, kept, and the first rule that failed (null if kept)."""
+    """doc_id, counts, base_failed, kept, and the first rule that failed (null if kept).
+
+    The fences are joined by group; one that holds a third of all documents is split
+    by the adaptive join, as nothing after it needs the group together.
+    """
     rows = materialise(counts(docs), "op6-counts")
     fence = thresholds(rows)
     met = rows.join(fence, rows["lang"].eqNullSafe(fence["_lang"]) & rows["source"].eqNullSafe(fence["_source"]), "left")
     reason = F.when(F.col("n_words") < LEAST_WORDS, "few_words").when(F.col("base_failed"), "repetition")
-    for name, (_, _, below, above, _) in RATIOS.items():
-        outside = F.lit(False)
-        if above:
-            outside = outside | F.coalesce(F.col(f"r_{name}") > F.col(f"most_{name}"), F.lit(False))
-        if below:
-            outside = outside | F.coalesce(F.col(f"r_{name}") < F.col(f"least_{name}"), F.lit(False))
-        reason = reason.when(outside, name)
+    for name, (_, _, below) in RATIOS.items():
+        outside = F.col(f"r_{name}") > F.col(f"most_{name}")
+        reason = reason.when(outside | (F.col(f"r_{name}") < F.col(f"least_{name}")) if below else outside, name)
     met = met.withColumn("failed_rule", reason)
     return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule")

@@ -141,6 +141,51 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)
     """,
+    "op6_quality_rules": """
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+                   CAST(len(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM documents
+        ), s AS (
+            SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+        ), t AS (
+            SELECT rid, pos, word || ' ' || lead(word) OVER (PARTITION BY rid ORDER BY pos) || ' ' || lead(word, 2) OVER (PARTITION BY rid ORDER BY pos) AS three FROM s
+        ), r AS (
+            SELECT rid, pos, count(*) OVER (PARTITION BY rid, three) AS n FROM t WHERE three IS NOT NULL
+        ), g AS (
+            SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS p FROM r WHERE n > 1) GROUP BY rid
+        ), c AS (
+            SELECT d.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(len(array_to_string(words, '')) AS BIGINT) AS word_chars, n_symbols,
+                   CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+            FROM d LEFT JOIN g USING (rid)
+        ), y AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                   [ln((word_chars + 1) / (n_words + 1)), ln((n_symbols + 1) / (n_words + 1)), ln((n_dup_lines + 1) / (n_lines + 1)), ln((n_repeat_words + 1) / (n_words + 1))] AS v
+            FROM c
+        ), z AS (
+            SELECT rid, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS name, unnest(v) AS v FROM y WHERE NOT base_failed
+        ), small AS (
+            SELECT lang, source, name, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM z GROUP BY lang, source, name
+        ), wide AS (
+            SELECT lang, name, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM z GROUP BY lang, name
+        ), whole AS (
+            SELECT name, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM z GROUP BY name
+        ), w AS (
+            SELECT lang, w.name, [(n * w.q[k] + 100 * a.q[k]) / (n + 100) for k in [1, 2, 3]] AS q FROM wide w JOIN whole a USING (name)
+        ), f AS (
+            SELECT s.lang, source, s.name, [(n * s.q[k] + 100 * w.q[k]) / (n + 100) for k in [1, 2, 3]] AS q
+            FROM small s JOIN w ON s.name = w.name AND s.lang IS NOT DISTINCT FROM w.lang
+        ), j AS (
+            SELECT rid, min(CASE z.name WHEN 'word_length' THEN 1 WHEN 'symbols' THEN 2 WHEN 'dup_lines' THEN 3 ELSE 4 END) AS first_rule
+            FROM z JOIN f ON z.name = f.name AND z.lang IS NOT DISTINCT FROM f.lang AND z.source IS NOT DISTINCT FROM f.source
+            WHERE v > q[3] + 5 * (q[3] - q[2]) + 1e-9 OR z.name = 'word_length' AND v < q[1] - 5 * (q[2] - q[1]) - 1e-9
+            GROUP BY rid
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first_rule IS NULL AS kept,
+               CASE WHEN n_words < 50 THEN 'few_words' WHEN base_failed THEN 'repetition' ELSE ['word_length', 'symbols', 'dup_lines', 'repeats'][first_rule] END AS failed_rule
+        FROM y LEFT JOIN j USING (rid)
+    """,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages

@@ -7,14 +7,21 @@ windows are judged on the input, and overlapping ones merge into removal interva
 So that windows which occur once are not dealt out one by one, each goes with its
 anchor: the least hash among its ANCHOR-word shingles. Equal windows have equal
 anchors. Anchors are counted first; only windows whose anchor occurs again, packed
-in runs, are then compared, under their anchor and 48 more bits of their own hash.
+in runs, are then compared, under their anchor of 64 bits and 56 more of their own
+hash. Among n different windows under one anchor two are taken for one with a
+probability of about n * n / 2**57 (for a million, 7 in a million).
+
 Blocks of documents settle repeats among themselves before anything is shuffled, so
-a passage in a third of all documents sends one copy per block.
+a passage in a third of all documents sends one copy per block. An anchor that holds over
+1 / MOST_HOT of all runs is hot; there are fewer than MOST_HOT of them, so their list
+is broadcast. Windows of a hot anchor are dealt out by their own hashes, and of each
+the first ones of SALTS groups of documents compete for the first place.
 
 Defined cases: a null text has no words; null ids come last, and rows of one id are
 ordered by a hash of the text; repeated rows (same id and text) are one document and
-get the same result; texts of fewer than WINDOW words lose nothing; an empty table
-gives no rows.
+get the same result; texts of fewer than WINDOW words lose nothing; texts of any
+length are cut whole; other columns, whatever their names, are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +36,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelight.llm.words import U, Block, blocks
+from duelight.llm.tables import materialise
+from duelight.llm.words import Block, blocks
 
 WINDOW, ANCHOR = 20, 5
-#: Windows that one packed run holds at most (their marks fit a long), and bytes of each hash.
-RUN, WIDE = 60, 6
+#: Windows that one packed run holds at most (their number fits a byte), and bytes of each hash.
+RUN, WIDE = 250, 7
+#: Hot anchors there can be, and groups in which their windows are ranked first.
+MOST_HOT, SALTS = 10_000, 64
 _SPAN = WINDOW - ANCHOR + 1
 RUNS = "anchor long, doc_id long, text_hash long, start int, n int, hashes binary"
 
@@ -124,32 +134,61 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _windows(runs: DataFrame) -> DataFrame:
+    """One row per window of runs with hashes: key, doc_id, text_hash, span (its place), hash."""
+    start = F.shiftright("span", 8)
+    each = F.transform(F.sequence(F.lit(0), F.col("span") % 256 - 1), lambda k: F.struct(F.substring("hashes", k * WIDE + 1, F.lit(WIDE)).alias("hash"), F.shiftleft(start + k, 8).alias("at")))
+    return runs.withColumn("w", F.explode(each)).select("key", "doc_id", "text_hash", "w.hash", (F.col("w.at") + 1).alias("span"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, mask: bit k marks the window that starts k words after `start` as repeated."""
+    """doc_id, text_hash, span: the n windows from the word `place` on are repeated, where span = 256 * place + n."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
-    again = rows.select("text").mapInArrow(count_anchors, "anchor long").groupBy("anchor").count().where("count > 1").select("anchor", F.lit(True).alias("again"))
-    runs = rows.mapInArrow(pack, RUNS).join(again, "anchor", "left").where("again or octet_length(hashes) = 0")
-    places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(k.alias("k"), F.substring("hashes", k * WIDE + 1, F.lit(WIDE)).alias("hash")))
-    each = runs.select("anchor", "doc_id", "text_hash", "start", (F.octet_length("hashes") == 0).alias("known"), F.explode(places).alias("w")).select("anchor", "doc_id", "text_hash", "start", "known", "w.k", "w.hash")
-    order = W.partitionBy("anchor", "known", "hash").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash", F.col("start") + F.col("k"))
-    late = each.withColumn("nth", F.rank().over(order)).where("known or nth > 1")
-    return late.groupBy("anchor", "doc_id", "text_hash", "start").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")).drop("anchor")
+    again = rows.select("text").mapInArrow(count_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1")
+    again = materialise(again, "op5-anchors")
+    all_runs = again.agg(F.sum("n_runs")).first()[0] or 0
+    hot = F.broadcast(again.where(F.col("n_runs") > all_runs / MOST_HOT).select("anchor"))
+    runs = rows.mapInArrow(pack, RUNS).select(F.col("anchor"), "doc_id", "text_hash", (F.shiftleft(F.col("start").cast("long"), 8) + F.col("n")).alias("span"), "hashes")
+    known = F.octet_length("hashes") == 0
+    open_ = runs.where(~known)
+
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("span")]
+    rank = lambda *by: F.rank().over(W.partitionBy(*by).orderBy(*order))
+    cold = open_.join(hot, "anchor", "left_anti").join(again, "anchor", "left_semi").withColumnRenamed("anchor", "key")
+    cold = _windows(cold).withColumn("nth", rank("key", "hash")).where("nth > 1")
+    warm = _windows(open_.join(hot, "anchor", "left_semi").withColumnRenamed("anchor", "key")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
+    warm = warm.withColumn("nth", rank("key", "hash", "salt")).withColumn("salt", F.when(F.col("nth") > 1, F.col("salt")))
+    warm = warm.withColumn("first", rank("key", "hash", "salt")).where("nth > 1 or first > 1")
+    late = [part.select("doc_id", "text_hash", "span") for part in (runs.where(known), cold, warm)]
+    return late[0].union(late[1]).union(late[2])
+
+
+@F.arrow_udf(T.BinaryType())
+def squeeze(texts: pa.Array) -> pa.Array:
+    """Each text compressed, for its way to its marks."""
+    codec = pa.Codec("zstd", 1)
+    raw = [None if t is None else t.encode() for t in texts.to_pylist()]
+    return pa.array([None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw], pa.binary())
+
+
+def _words(squeezed: bytes | None) -> list[bytes]:
+    if squeezed is None:
+        return []
+    return pa.Codec("zstd", 1).decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), asbytes=True).split()
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
-def strip(texts: pa.Array, starts: pa.Array, masks: pa.Array) -> pa.Array:
-    """Words, removed words, and digest of what is left of each text."""
+def strip(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Words, removed words, and digest of what is left of each squeezed text."""
     n_words, n_removed, digest = [], [], []
-    for text, at, mask in zip(texts, starts, masks):
-        words = (text.as_py() or "").encode().split()
+    for text, span in zip(texts, spans):
+        words = _words(text.as_py())
         gone = 0
-        if at.is_valid and len(at.values):
-            bits = np.unpackbits(np.asarray(mask.values, dtype="<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, k = np.nonzero(bits)
-            first = np.asarray(at.values)[row] + k
+        if span.is_valid and len(span.values):
+            first, n = np.divmod(np.asarray(span.values), 256)
             edge = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(edge, first, 1)
-            np.add.at(edge, first + WINDOW, -1)
+            np.add.at(edge, first + n - 1 + WINDOW, -1)
             covered = np.cumsum(edge[:-1]) > 0
             gone = int(covered.sum())
             words = [w for w, c in zip(words, covered) if not c]
@@ -161,8 +200,7 @@ def strip(texts: pa.Array, starts: pa.Array, masks: pa.Array) -> pa.Array:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    marks = repeated_windows(docs).groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts", "masks")
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    marks = repeated_windows(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("span").alias("spans"))
+    rows = docs.select("doc_id", squeeze("text").alias("text"), F.xxhash64("text").alias("text_hash"))
     met = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_id"]) & (rows["text_hash"] == marks["_hash"]), "left")
-    return met.select("doc_id", strip("text", "starts", "masks").alias("s")).select("doc_id", "s.*")
+    return met.select("doc_id", strip("text", "spans").alias("s")).select("doc_id", "s.*")
