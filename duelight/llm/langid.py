@@ -3,34 +3,42 @@
 A suffix automaton of labelled text is built per language; every substring of that
 text is a path from its root. A document is cut greedily into the longest phrases
 that each automaton spells (Ziv-Merhav cross-parsing); phrases * log2(length of the
-labelled text) / characters estimates the cross-entropy, and the lowest wins.
-
-Texts are lower-cased; whatever is not a letter becomes one space. They are parsed
-in segments of SEGMENT characters, each of which starts a new phrase, so that one
-array step advances all segments of a batch in all languages together.
-
-The automata are fitted on a bounded sample: of each language, SAMPLE_BUCKETS
-documents chosen by a hash of their id, of each at most SAMPLE_CHARS characters,
-and of all these at most TRAIN_CHARS. Every document is scored over its whole text.
+labelled text) estimates the code length, and the shortest wins.
+
+Texts are lower-cased; whatever is not a letter becomes one space. One array step
+advances all texts of a batch in all languages together. For that, long texts are
+parsed in segments of SEGMENT characters at once, each as if a phrase began there;
+then each segment is parsed again from the state in which the one before it ends,
+until both parses are in the same state, mostly within a phrase or two. So phrases
+are those of the whole text, whatever its length.
+
+The automata are fitted on a bounded sample of labelled rows: of each language
+SAMPLE_BUCKETS documents at most, chosen by a hash of their id, and of each of them
+SAMPLE_CHARS characters at most: a longer text gives EXCERPTS evenly spaced pieces.
+There may be MOST_LANGUAGES of them. Letters beyond the COMMON most frequent ones of
+the sample are spelled by two symbols, so a state has at most 2 * COMMON transitions
+in any script. Every document is scored over its whole text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go
-to the first language in code point order; with no labelled row all is `und`; rows
-are independent, so repeated rows and clashing extra columns change nothing.
+to the first language in code point order; with no labelled row all is `und`; of the
+rows of one id the sample takes the least excerpt; rows are independent, so
+repeated rows get the same result and extra columns with any names change nothing.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_BUCKETS = 48
-SAMPLE_CHARS = 4_000
-TRAIN_CHARS = 40_000
+SAMPLE_BUCKETS, SAMPLE_CHARS, EXCERPTS, MOST_LANGUAGES = 48, 1_500, 5, 500
+COMMON = 120
 SEGMENT = 2_048
-#: Characters that are parsed together.
-TOGETHER = 2_000_000
+#: Characters times languages that are parsed together.
+TOGETHER = 6_000_000
 #: Bits of code length by which the probability of a language falls by a factor e.
 BITS_PER_E = 8.0
 
@@ -73,19 +81,27 @@ def _suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one table: state, character class -> next state."""
+    """The automata of all languages in one table: state, symbol -> next state."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        clean = {k: _clean(samples[k])[:TRAIN_CHARS] for k in self.languages}
-        alphabet = sorted({c for t in clean.values() for c in t} - {" "})
-        self.lut = np.where(_LETTERS(), len(alphabet) + 1, 0).astype(np.uint16)
+        clean = {k: _clean(samples[k]) for k in self.languages}
+        often = Counter()
+        for t in clean.values():
+            often.update(t)
+        del often[" "]
+        # symbols: 0 is no letter, then the common letters, one for unknown letters, then first and second symbols of the rare ones
+        alphabet = sorted(often, key=lambda c: (-often[c], c))
+        common = min(len(alphabet), COMMON)
+        self.rare = common + 2
+        self.lut = np.where(_LETTERS(), common + 1, 0).astype(np.uint32)
         for k, c in enumerate(alphabet):
-            self.lut[ord(c)] = k + 1
-        self.width = len(alphabet) + 2
+            self.lut[ord(c)] = k + 1 if k < common else k + 2
+        self.second = self.rare + -(-(len(alphabet) - common) // COMMON)
+        self.width = self.second + min(COMMON, len(alphabet) - common)
         tables, self.starts, base = [], [], 0
         for k in self.languages:
-            step = _suffix_automaton([self.lut[ord(c)] for c in clean[k]])
+            step = _suffix_automaton(self.symbols(clean[k]).tolist())
             # the last state is between phrases: whatever comes starts one
             between = base + len(step)
             table = np.full((len(step) + 1, self.width), -1, dtype=np.int32)
@@ -97,35 +113,76 @@ class Parser:
             self.starts.append(between)
             base = between + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.at = np.int32 if len(self.table) < 1 << 31 else np.int64
         self.bits = np.array([np.log2(max(2, len(clean[k]))) for k in self.languages])
 
-    def classes(self, text: str) -> np.ndarray:
-        """Character classes, runs of non-letters as one, and one in front."""
-        got = self.lut[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
-        got = np.concatenate([np.zeros(1, np.uint16), got])
+    def symbols(self, text: str) -> np.ndarray:
+        """Symbols of a text, runs of non-letters as one."""
+        got = self.lut[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
         keep = np.ones(len(got), dtype=bool)
         keep[1:] = (got[1:] != 0) | (got[:-1] != 0)
-        return got[keep]
+        got = got[keep]
+        rare = got >= self.rare
+        if rare.any():
+            rest = got[rare] - self.rare
+            two = np.repeat(got, 1 + rare)
+            at = np.flatnonzero(rare) + np.arange(len(rest))
+            two[at], two[at + 1] = self.rare + rest // COMMON, self.second + rest % COMMON
+            got = two
+        return got.astype(np.uint16)
+
+    def classes(self, text: str) -> np.ndarray:
+        """Symbols of a text in lower case, with a space in front."""
+        return self.symbols(" " + text.lower())
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
-        out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
-        pieces = [(k, t[i : i + SEGMENT]) for k, t in enumerate(texts) for i in range(0, len(t), SEGMENT)]
-        pieces.sort(key=lambda p: -len(p[1]))
-        if not pieces or not self.languages:
+        langs, width = len(self.languages), self.at(self.width)
+        out = np.zeros((len(texts), langs), dtype=np.int64)
+        pieces = [(k, i, t[i : i + SEGMENT]) for k, t in enumerate(texts) for i in range(0, len(t), SEGMENT)]
+        pieces.sort(key=lambda p: -len(p[2]))
+        if not pieces or not langs:
             return out
-        sizes = np.array([len(p) for _, p in pieces])
+        sizes = np.array([len(p) for *_, p in pieces])
         grid = np.zeros((sizes[0], len(pieces)), dtype=np.int32)
-        for j, (_, p) in enumerate(pieces):
+        for j, (*_, p) in enumerate(pieces):
             grid[: len(p), j] = p
         alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+        place = {(k, i): j for j, (k, i, _) in enumerate(pieces)}
+        after = np.array([place.get((k, i + SEGMENT), -1) for k, i, _ in pieces])
+        continued = int(max((j for j in after if j >= 0), default=-1)) + 1
+        path = np.zeros((sizes[0], langs, continued), dtype=np.int32)  # of segments that others lead into
         state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], len(pieces), axis=1)
-        count = np.zeros((len(self.languages), len(pieces)), dtype=np.int32)
+        count = np.zeros((langs, len(pieces)), dtype=np.int64)
         for i, n in enumerate(alive):
-            got = self.table[state[:, :n] * np.int32(self.width) + grid[i, :n]]
+            got = self.table[state[:, :n] * width + grid[i, :n]]
             count[:, :n] += got >> 30
+            path[i, :, : min(n, continued)] = got[:, :continued]
             state[:, :n] = got & ~_DEAD
-        np.add.at(out, np.array([k for k, _ in pieces]), count.T)
+        changed, ends = np.zeros_like(count), state.copy()
+        lang, todo = (x.ravel() for x in np.meshgrid(np.arange(langs), np.flatnonzero(after >= 0), indexing="ij"))
+        while len(todo):
+            to, now = after[todo], state[lang, todo]
+            changed[lang, to] = 0
+            moved = np.ones(len(to), dtype=bool)
+            live = np.arange(len(to))
+            for i in range(sizes[to].max()):
+                live = live[sizes[to[live]] > i]
+                if not len(live):
+                    break
+                j, k = to[live], lang[live]
+                got, old = self.table[now[live] * width + grid[i, j]], path[i, k, j]
+                changed[k, j] += (got >> 30) - (old >> 30)
+                now[live] = got & ~_DEAD
+                same = now[live] == old & ~_DEAD
+                moved[live[same]] = False
+                live = live[~same]
+            # where the two parses never met, the segment ends in another state, and the next one is parsed again
+            now = np.where(moved, now, ends[lang, to])
+            again = (state[lang, to] != now) & (after[to] >= 0)
+            state[lang, to] = now
+            lang, todo = lang[again], to[again]
+        np.add.at(out, np.array([k for k, *_ in pieces]), (count + changed).T)
         return out
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
@@ -133,7 +190,7 @@ class Parser:
         at = 0
         while at < len(texts) and self.languages:
             batch, place, size = [], [], 0
-            while at < len(texts) and (not batch or size < TOGETHER):
+            while at < len(texts) and (not batch or size < TOGETHER // len(self.languages)):
                 t = texts.iloc[at]
                 if t is not None and (got := self.classes(t)).any():
                     batch.append(got)
@@ -163,19 +220,29 @@ def _clean(text: str) -> str:
     return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+def _excerpts(text: Column) -> Column:
+    """A text of up to SAMPLE_CHARS characters, or evenly spaced pieces of a longer one."""
+    long, piece = F.length(text), SAMPLE_CHARS // EXCERPTS
+    parts = [text.substr((F.floor((long - piece) * k / (EXCERPTS - 1)) + 1).cast("int"), F.lit(piece)) for k in range(EXCERPTS)]
+    return F.when(long <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(docs: DataFrame, buckets: int = SAMPLE_BUCKETS) -> dict[str, str]:
     """A bounded sample of labelled text per language (doc_id, text, lang).
 
     Candidates are reduced to one id per language and hash bucket before any text
-    is read; only those few texts reach the driver.
+    is read; one row of each of those few ids reaches the driver.
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     place = F.xxhash64("doc_id")
     picks = labelled.groupBy("lang", F.pmod(place, F.lit(buckets)).alias("bucket")).agg(F.min_by("doc_id", place).alias("doc_id"))
-    ids = [r.doc_id for r in picks.select("doc_id").collect()]
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect() if ids else []
+    picks = picks.limit(buckets * MOST_LANGUAGES + 1).collect()
+    if len(picks) > buckets * MOST_LANGUAGES:
+        raise ValueError(f"there are over {MOST_LANGUAGES} languages")
+    ids = [r.doc_id for r in picks]
+    rows = labelled.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min(_excerpts(F.col("text"))).alias("text")).collect() if ids else []
     samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
+    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
         samples[r.lang] = samples.get(r.lang, "") + " " + r.text
     return samples
 
