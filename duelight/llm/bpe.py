@@ -10,15 +10,18 @@ one that the merges themselves produce, and each place fails once at most, so th
 time is linear in the piece.
 
 Defined cases: a null text encodes as an empty one; a piece that is itself a
-vocabulary entry is that single token; special tokens are ordinary text; decoding
-an empty or null list gives empty bytes; an id outside the vocabulary raises.
+vocabulary entry is that single token; of two places where a merge is due the first
+comes first; special tokens are ordinary text; a text of any length is encoded whole
+(a piece is found in it at a time); repeated rows get the same result; other columns,
+whatever their names, are ignored; an empty table gives no rows; decoding an empty or
+null list gives empty bytes; an id outside the vocabulary raises.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import ahocorasick
@@ -243,13 +246,14 @@ def decode(spark: SparkSession, ids: Column, path: str, pattern: str) -> Column:
     return back(ids)
 
 
-def tokenised(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs' doc_id with n_tokens, the token ids, and the digest of the bytes that they decode to.
+def tokenised(spark: SparkSession, docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
+    """docs' doc_id and the whole numbers named by `keep`, with n_tokens, the token ids, and the digest of the bytes that they decode to.
 
     A task holds the ids of TOGETHER documents at once.
     """
     shared = share(spark, path)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+    own = ["doc_id", *keep]
+    schema = pa.schema([*[(c, pa.int64()) for c in own], ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
@@ -258,14 +262,15 @@ def tokenised(spark: SparkSession, docs: DataFrame, path: str, pattern: str) ->
                 part = batch.slice(at, TOGETHER)
                 sizes, ids, digests = [], [], []
                 for text in part.column("text"):
-                    own = codec.encode(text.as_py())
-                    sizes.append(len(own))
-                    ids.append(np.array(own, dtype=np.int32))
-                    digests.append(hashlib.sha256(codec.decode(own)).hexdigest())
+                    got = codec.encode(text.as_py())
+                    sizes.append(len(got))
+                    ids.append(np.array(got, dtype=np.int32))
+                    digests.append(hashlib.sha256(codec.decode(got)).hexdigest())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(digests)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[part.column(c).cast(pa.int64()) for c in own], pa.array(sizes, pa.int64()), lists, pa.array(digests)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded_sha256 string")
+    names = ", ".join(f"{c} long" for c in own)
+    return docs.select(*own, "text").mapInArrow(run, f"{names}, n_tokens long, token_ids array<int>, decoded_sha256 string")
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -8,12 +8,16 @@ documents in the intersection of a clause's postings; only they are verified wit
 the rule's expression. A rule without mandatory trigrams scans every document.
 
 Spans count code points, end exclusive, and are leftmost and non-overlapping per
-kind. Positions come from the texts between the matches, so no expression runs more
-than twice over a document.
-
-Defined cases: a null text is empty and has no spans; repeated rows and ids are each
-scanned (the index may only add candidates); extra columns are carried by `redact`
-and ignored by `scan`; an empty table gives no rows.
+kind. Positions come from the lengths of the matches and of the texts between them;
+so an expression runs over a candidate three times (once less where the whole match
+is measured), and over others once where its rule has no mandatory trigrams. Lengths
+are summed in chunks, so time grows with matches times the root of their number.
+
+Defined cases: a null text is empty and has no spans; texts of any length are scanned
+whole; spans of one place come in the order of the rules; repeated rows and ids are
+each scanned (the index may only add candidates, and null ids are one id for it);
+extra columns, whatever their names, are carried by `redact` and ignored by `scan`; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,21 +138,35 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+#: Matches of a text that are placed together.
+CHUNK = 128
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule in a text."""
     pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    measured = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
-    rows = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("long"), F.transform(measured, F.length).alias("measure"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    lengths = lambda strings: F.transform(strings, F.length)
+    columns = [lengths(F.split(text, rule.pattern, -1)).alias("gap"), lengths(F.regexp_extract_all(text, pattern, F.lit(0))).alias("long")]
+    if rule.group:
+        columns.append(lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))).alias("measure"))
 
     def step(acc, x):
         here = acc["at"] + x["gap"]
         span = F.struct(here.alias("start"), F.lit(rank).alias("rank"), (here + x["long"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct((here + x["long"]).alias("at"), F.when(x["measure"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        kept = F.when(x["measure" if rule.group else "long"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        # the text after the last match has no match of its own
+        return F.when(x["long"].isNull(), acc).otherwise(F.struct((here + x["long"]).alias("at"), kept.alias("out")))
+
+    def place(done, chunk):
+        last = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))
+        return F.concat(done, F.array(F.aggregate(chunk, F.struct(last.alias("at"), F.array().cast(SPAN).alias("out")), step)))
+
+    def placed(rows):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda k: F.slice(rows, k * CHUNK + 1, F.lit(CHUNK)))
+        return F.flatten(F.transform(F.aggregate(chunks, F.array().cast(f"array<struct<at:int,out:{SPAN}>>"), place), lambda c: c["out"]))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # a lambda's argument is computed once, however often it is named
+    return F.get(F.transform(F.array(F.arrays_zip(*columns)), placed), 0)
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +51,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def with_file_order(table: DataFrame, name: str) -> DataFrame:
+    """A table read from Parquet, with a column `name` that orders its rows as they were written.
+
+    Spark packs files into tasks by their size, so rows of a sorted table are read in
+    any order; but its part files are numbered in the order of the sort, and each
+    holds its rows in order. The number of the part is in the bits from 42 on, that of
+    its file, where it has several, from 32 on, and the row's below.
+    """
+    file = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(file, pattern, 1).try_cast("long"), F.lit(0))
+    order = F.shiftleft(number(r"part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)\."), 32) + F.col("_metadata.row_index")
+    return table.withColumn(name, order)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing starts from any more: what came of them is written too."""
     for table in tables:

@@ -2,16 +2,21 @@
 
 A crawl is first written as whole-file gzip streams, one or more per task. The
 normaliser inflates each stream once, front to back, rewrites every record as a gzip
-member of its own, and writes a sidecar index of offsets beside it. Readers then seek
-to single members. Files are written through the file system of the shared folder
-under names that no two task attempts share; a written table of names says which
-attempts count, so lost executors and repeated tasks leave no trace in the result.
+member of its own, and writes a sidecar index of offsets beside it. Readers open an
+archive's sidecar and seek to single members by it; what they find must be the records
+that the index names, as many as were written. A stream is closed once it has ROLL
+bytes, so archives, and the tasks that rewrite and read one each, have a measured size
+and grow in number with the crawl. Files are written through the file system of the
+shared folder under names that no two task attempts share; a written table of names
+says which attempts count, so lost executors and repeated tasks leave no trace in the
+result.
 
 Of records with equal payloads of at least LEAST bytes, the one with the largest
 page_id is a response, and the others revisit it. Defined cases: null html is an
 empty payload; a null url gives an empty target; rows with a null page_id are always
-responses; repeated rows of the largest page_id are each a response; an empty table
-gives no rows.
+responses; repeated rows each give a record, those of the largest page_id a response;
+payloads of any length are archived whole (a long one is held by its task at once);
+other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +33,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelight.llm.tables import materialise, new_path
+from duelight.llm.tables import discard, materialise, new_path
 
 #: Bytes from which equal payloads are written once; bytes of a stream after which a task opens the next.
-LEAST, ROLL, CHUNK, LEVEL = 1000, 1 << 28, 1 << 20, 1
+LEAST, ROLL, CHUNK, LEVEL = 1000, 1 << 26, 1 << 20, 1
 FILES = "path string, records long"
-INDEX = "path string, offset long, length long, record_id string"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 _END = b"\r\n\r\n"
 
@@ -151,10 +155,15 @@ def write_streams(rows: DataFrame, folder: str) -> DataFrame:
     return materialise(rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, FILES), "op8-streams")
 
 
+def _one_task_each(files: DataFrame) -> DataFrame:
+    """Files dealt out so that a task has about one."""
+    return files.repartition(max(1, files.count()), "path")
+
+
 def normalise(files: DataFrame, folder: str) -> DataFrame:
-    """Rewrite each stream with one gzip member per record; the offset index.
+    """Rewrite each stream with one gzip member per record, and its index beside it; path and records of each archive.
 
-    Beside each archive lies its index, a line of JSON per record.
+    The index has a line of JSON per record. A stream is deleted once all are rewritten.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,51 +172,62 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for source in batch.column("path").to_pylist():
                 path = f"{base}/{source.rsplit('/', 1)[1].removesuffix('.warc.gz')}-{uuid.uuid4().hex}.warc.gz"
-                rows, at = [], 0
-                with fs.open_input_stream(source, compression=None) as stream, fs.open_output_stream(path, compression=None) as out:
+                n = at = 0
+                with fs.open_input_stream(source, compression=None) as stream, fs.open_output_stream(path, compression=None) as out, fs.open_output_stream(f"{path}.index") as index:
                     for data in records_of(iter(lambda: stream.read(CHUNK), b"")):
                         squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = squeeze.compress(data) + squeeze.flush()
                         out.write(member)
-                        rows.append((path, at, len(member), _headers(data[: data.find(_END)])["warc-record-id"]))
-                        at += len(member)
-                with fs.open_output_stream(f"{path}.index") as out:
-                    out.write("".join(json.dumps({"offset": o, "length": n, "record_id": i}) + "\n" for _, o, n, i in rows).encode())
-                for k in range(0, len(rows), 10_000):
-                    part = rows[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["path", "offset", "length", "record_id"])
-
-    n = max(1, min(files.count(), 10_000))
-    index = materialise(files.select("path").repartition(n, "path").mapInArrow(rewrite, INDEX), "op8-index")
-    for r in files.select("path").toLocalIterator():
+                        index.write((json.dumps({"offset": at, "length": len(member), "record_id": _headers(data[: data.find(_END)])["warc-record-id"]}) + "\n").encode())
+                        n, at = n + 1, at + len(member)
+                yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(folder)
-        fs.delete_file(r["path"])
-    return index
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                if fs.get_file_info(path).type == pafs.FileType.File:  # not yet removed by an earlier attempt
+                    fs.delete_file(path)
+            yield batch.slice(0, 0)
+
+    archives = materialise(_one_task_each(files).mapInArrow(rewrite, FILES), "op8-archives")
+    files.mapInArrow(remove, FILES).write.format("noop").mode("overwrite").save()
+    return archives
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read the indexed records, each by its own member."""
+def index_of(fs: pafs.FileSystem, path: str) -> list[dict]:
+    """An archive's sidecar: offset, length and record_id of its records."""
+    with fs.open_input_stream(f"{path}.index") as lines:
+        return [json.loads(line) for line in lines.read().splitlines()]
+
+
+def read_records(archives: DataFrame, folder: str) -> DataFrame:
+    """Read the archives' records, each by its own member at the place that the sidecar names."""
+    types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()}
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(folder)
-        now, file = None, None
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["path"] != now:
-                    if file is not None:
-                        file.close()
-                    now, file = r["path"], fs.open_input_file(r["path"])
-                rows.append(parse(zlib.decompress(file.read_at(r["length"], r["offset"]), 31)))
-            types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in types.items()], list(types))
-
-    archives = max(1, min(index.select("path").distinct().count(), 10_000))
-    return index.repartition(archives, "path").sortWithinPartitions("path", "offset").mapInArrow(load, RECORD)
+            for path, n in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
+                index = index_of(fs, path)
+                if len(index) != n:
+                    raise ValueError(f"the index of {path} names {len(index)} records of {n}")
+                with fs.open_input_file(path) as file:
+                    for k in range(0, n, 1000):
+                        rows = []
+                        for r in index[k : k + 1000]:
+                            rows.append(parse(zlib.decompress(file.read_at(r["length"], r["offset"]), 31)))
+                            if _name(rows[-1]["page_id"]) != r["record_id"]:
+                                raise ValueError(f"the index of {path} names {r['record_id']} where {_name(rows[-1]['page_id'])} lies")
+                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], list(types))
+
+    return _one_task_each(archives).mapInArrow(load, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive all pages, normalise the archives, and read every record back."""
     folder = new_path(pages.sparkSession, "op8-warc")
-    index = normalise(write_streams(plan(pages), folder), folder)
-    return read_records(index, folder)
+    streams = write_streams(plan(pages), folder)
+    archives = normalise(streams, folder)
+    discard(streams)
+    return read_records(archives, folder)
