@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import weakref
@@ -74,12 +73,6 @@ def discard(*tables: DataFrame) -> None:
             delete(table.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps, which otherwise stay until the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder by the file system of its path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
