@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Identifier patterns.
@@ -52,6 +52,13 @@ ORDINALS = {
     "fifteenth": 15, "sixteenth": 16, "seventeenth": 17, "eighteenth": 18, "nineteenth": 19, "twentieth": 20,
     "thirtieth": 30,
 }
+# Titles before persons' names.
+HONORIFICS = ("shri", "smt", "sri", "kumari", "km", "dr", "mr", "mrs", "ms", "prof", "adv", "late", "thiru", "shrimati", "sardar", "haji")
+# Phrases of tribunal parties that identify nobody, as patterns.
+PARTY_BOILERPLATE = (
+    "messrs", r"m\s*/?\s*s", r"and\s+others", r"&\s*others", "anr", "ors", "others", r"through\s+its\s+\w+", "proprietor",
+    "proprietrix", "partner", "partners", "director", "directors", r"represented\s+by",
+)
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
@@ -76,16 +83,13 @@ def normalize(c: Column) -> Column:
 
 
 def strip_honorifics(c: Column) -> Column:
-    """A name without titles (STR-02)."""
-    title = r"^(mr|mrs|ms|miss|dr|shri|smt|sri|kumari|m/s)\.?$"
-    return F.array_join(F.filter(F.split(squeeze(c), " "), lambda w: ~F.lower(w).rlike(title)), " ")
+    """A name in lower case without titles, wherever they stand (STR-02)."""
+    return F.array_join(F.filter(F.split(normalize(c), " "), lambda w: ~F.regexp_replace(w, r"^\.+|\.+$", "").isin(*HONORIFICS)), " ")
 
 
 def clean_party(c: Column) -> Column:
-    """A tribunal party without firm prefix and role suffixes (STR-02)."""
-    c = F.regexp_replace(c, r"(?i)^\s*m\s*/?\s*s\.?\s+", "")
-    c = F.regexp_replace(c, r"(?i)\b(and|&)\s+(ors?|others?|anr|another)\b\.?", " ")
-    return squeeze(F.regexp_replace(c, r"(?i)\b(through|represented by|proprietor of|prop)\b.*$", " "))
+    """A tribunal party without the phrases of its cause title (STR-02)."""
+    return squeeze(F.regexp_replace(c, rf"(?i)\b({'|'.join(PARTY_BOILERPLATE)})\b", " "))
 
 
 def garbled_id(text: Column, ident: Column) -> Column:
@@ -317,9 +321,30 @@ def first_of(v: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(dig(v, p), F.lit("")) for p in paths])
 
 
-def find_key(text: Column, key: str) -> Column:
-    """First value of a key at any depth of a JSON text (scalars only)."""
-    return F.coalesce(extract(text, rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"'), extract(text, rf'"{key}"\s*:\s*(-?[0-9.]+|true|false)'))
+def find_key(rows: DataFrame, doc: str, key: str, out: str, levels: int = 8) -> DataFrame:
+    """rows with `out`: the value (VARIANT) of a key anywhere in the VARIANT column `doc` (JSN-03).
+
+    A container's own value goes before those inside it, earlier parts before later
+    ones; a VARIANT keeps the fields of an object in order of their names. JSON nulls
+    don't count as found. Containers up to `levels` deep are opened, one
+    `variant_explode` each, without a shuffle; only the choice at the end groups.
+    `rows` gets a column _row meanwhile, so that repeated rows stay apart.
+    """
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    spark = rows.sparkSession
+    level = numbered.select("_row", F.array().cast("array<int>").alias("_at"), F.col(doc).alias("_v"))
+    steps = F.lit(f"$['{key}']")
+    found = None
+    for depth in range(levels):
+        kind = F.schema_of_variant("_v")
+        mine = F.when(kind.startswith("OBJECT"), F.try_variant_get("_v", steps, "variant"))
+        hit = level.select("_row", "_at", mine.alias("_hit")).where(F.col("_hit").isNotNull() & ~F.is_variant_null("_hit"))
+        found = hit if found is None else found.unionByName(hit)
+        inner = level.where(kind.rlike("^(OBJECT|ARRAY)"))
+        parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        level = parts.select("_row", F.concat("_at", F.array("pos")).alias("_at"), F.col("value").alias("_v"))
+    first = found.groupBy("_row").agg(F.min_by("_hit", "_at").alias(out))
+    return numbered.join(first, "_row", "left").drop("_row")
 
 
 def hsn_rows(goods: Column, services: Column) -> Column:

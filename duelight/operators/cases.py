@@ -26,19 +26,36 @@ def screen_cases(names: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFra
     """Hits (vendor_id, case_id, party) of names of four letters and more, and per vendor how many loose matches were rejected (JN-04).
 
     Applicant and respondent are matched apart, after titles and boilerplate are
-    gone. A loose match only shares a rare word with the party's text.
+    gone. A loose match is a name and a case with the whole name, whatever its case,
+    somewhere in a party's text; those whose case is no hit of the vendor are rejected.
     """
     own = names.where(F.length(F.trim("name")) >= 4).select(F.struct("vendor_id", "name").alias("entity_id"), strip_honorifics(F.col("name")).alias("name"))
     sides = cases.select("case_id", F.explode(F.map_from_arrays(F.array(F.lit("applicant"), F.lit("respondent")), F.array("applicant", "respondent"))).alias("party", "text"))
     listed = sides.where(F.col("text").isNotNull()).select(F.struct("case_id", "party").alias("list_id"), clean_party(F.col("text")).alias("name"))
     found = screen_names(own, listed)
     hits = found.select("entity_id.vendor_id", "list_id.case_id", "list_id.party").distinct()
-    word = lambda c: F.explode(F.regexp_extract_all(normalize(c), F.lit(r"\b[a-z0-9]{4,}\b"), F.lit(0)))
-    loose = own.select("entity_id.vendor_id", word(F.col("name")).alias("w")).join(sides.select("case_id", word(F.col("text")).alias("w")), "w").select("vendor_id", "case_id").distinct()
+    loose = holding(names.where(F.length(F.trim("name")) >= 4), sides)
     rejected = loose.join(hits.select("vendor_id", "case_id"), ["vendor_id", "case_id"], "left_anti").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("rejected"))
     return hits, rejected
 
 
+def holding(names: DataFrame, sides: DataFrame, width: int = 4) -> DataFrame:
+    """vendor_id, name, case_id, once each, of cases with a party text that holds a whole name of `width` letters or more.
+
+    Names meet texts at one run of `width` letters: of a name's runs the one that
+    fewest texts hold. A name with a run that no text holds meets none.
+    """
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - width + 1), lambda i: F.substring(c, i, F.lit(width))))
+    flat = lambda c: F.upper(F.trim(c))
+    texts = sides.select("case_id", flat(F.col("text")).alias("text")).where(F.length("text") >= width).withColumn("run", F.explode(runs(F.col("text"))))
+    held = texts.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
+    own = names.select("vendor_id", "name", flat(F.col("name")).alias("flat")).where(F.length("flat") >= width).distinct()
+    each = own.withColumn("run", F.explode(runs(F.col("flat")))).join(held, "run", "left")
+    anchor = each.groupBy("vendor_id", "name", "flat").agg(F.min_by("run", F.struct(F.coalesce("df", F.lit(0)), "run")).alias("run"), F.count_if(F.col("df").isNull()).alias("lacking"))
+    met = anchor.where("lacking = 0").join(texts, "run").where(F.contains("text", F.col("flat")))
+    return met.select("vendor_id", "name", "case_id").distinct()
+
+
 def screen_persons(persons: DataFrame, required: DataFrame, best_effort: DataFrame | None) -> DataFrame:
     """vendor_id, hits, gap over natural persons (JN-05): the first source must be there, a missing second one is stated.
 

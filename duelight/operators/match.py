@@ -12,24 +12,34 @@ from duelight.functions.text import normalize
 def screen_names(entities: DataFrame, listed: DataFrame, salt: int = 1) -> DataFrame:
     """entity_id, list_id pairs whose names match by whole tokens (JN-03).
 
-    An inverted index replaces the comparison of all pairs: entities' significant
-    tokens meet listed tokens by equality, and pairs are counted. Names of two
-    tokens or more need two in common, single ones a short listed name; equal names
-    always match. `salt` spreads the postings of each listed token over so many
+    An inverted index replaces the comparison of all pairs. Names of two significant
+    tokens or more need two in common, so a pair shares one of all but the entity's
+    commonest token: only those are looked up, and the commonest one just verifies.
+    Single-token names need a short listed name; equal names always match. A pair is
+    given once, at its rarest common token, and verified there with the tokens that
+    both sides carry. `salt` spreads the postings of each listed token over so many
     tasks, for tokens that a large share of the list holds.
     """
     own = entities.select("entity_id", normalize(F.col("name")).alias("flat"), significant(F.col("name")).alias("toks")).where("flat <> ''")
     other = listed.select("list_id", normalize(F.col("name")).alias("flat"), F.array_distinct(tokens(F.col("name"))).alias("toks"), F.size(F.array_distinct(significant(F.col("name")))).alias("n_significant")).where("flat <> ''")
-    a = own.select("entity_id", F.size("toks").alias("n_own"), F.explode("toks").alias("tok"))
-    b = other.select("list_id", "n_significant", F.explode("toks").alias("tok"))
+    b = other.select("list_id", F.col("toks").alias("listed"), "n_significant", F.explode("toks").alias("tok"))
+    held = b.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    each = own.select("entity_id", "flat", "toks", F.posexplode("toks").alias("pos", "tok")).join(held, "tok")
+    by_df = F.array_sort(F.collect_list(F.struct("df", "tok", "pos")))
+    ranked = each.groupBy("entity_id", "flat", "toks").agg(by_df.alias("r"))
+    # tokens that the list lacks find nothing, so two common ones are two of these
+    n_probe = F.when(F.size("toks") == 1, 1).otherwise(F.size("r") - 1)
+    probe = F.array_distinct(F.transform(F.slice("r", F.lit(1), n_probe), lambda r: r["tok"]))
+    a = ranked.select("entity_id", "toks", probe.alias("probe")).withColumn("tok", F.explode("probe"))
     keys = ["tok"]
     if salt > 1:
         a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         b = b.withColumn("salt", F.pmod(F.xxhash64("list_id"), F.lit(salt)).cast("int"))
         keys.append("salt")
-    # a name of several tokens only needs pairs that share two: its rarest token alone finds nothing
-    met = a.join(b, keys).groupBy("entity_id", "list_id", "n_own", "n_significant").agg(F.count(F.lit(1)).alias("hits"))
-    by_tokens = met.where("(n_own >= 2 and (hits >= 2 or hits = n_own)) or (n_own = 1 and n_significant <= 3)").select("entity_id", "list_id")
+    hits = F.size(F.filter("toks", lambda w: F.array_contains("listed", w)))
+    rarest = F.get(F.filter("probe", lambda w: F.array_contains("listed", w)), 0)
+    enough = ((F.size("toks") >= 2) & (hits >= 2)) | ((F.size("toks") == 1) & (F.col("n_significant") <= 3))
+    by_tokens = a.join(b, keys).where((rarest == F.col("tok")) & enough).select("entity_id", "list_id")
     equal = own.join(other.select("list_id", "flat"), "flat").select("entity_id", "list_id")
     return by_tokens.union(equal).distinct()
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duelight.functions.text import headline
+from duelight.functions.text import headline, split_flag
 from duelight.operators.resolve import MARKERS, any_of
 
 
@@ -58,19 +61,22 @@ def text_report(rows: DataFrame) -> DataFrame:
 
 
 def first_k_summary(rows: DataFrame, keys: list[str], item: str, order: str, k: int) -> DataFrame:
-    """The first k items in order and how many more there are (SRT-02)."""
-    every = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"))))
-    got = rows.groupBy(*keys).agg(every.alias("a"))
-    shown = F.array_join(F.transform(F.slice("a", 1, k), lambda r: r["i"].cast("string")), "; ")
-    return got.select(*keys, F.when(F.size("a") > k, F.concat(shown, F.lit(" (+"), (F.size("a") - k).cast("string"), F.lit(" more)"))).otherwise(shown).alias("summary"))
+    """The first k items in order and how many more there are (SRT-02).
+
+    Only k rows of a key leave each task, and counts are summed before the shuffle.
+    """
+    named = rows.select(*keys, F.col(order).alias("o"), F.col(item).cast("string").alias("i"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("o", "i"))
+    first = named.withColumn("place", place).where(F.col("place") <= k).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "i"))).alias("a"))
+    total = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    same = reduce(lambda x, y: x & y, [F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys])
+    both = total.alias("t").join(first.alias("f"), same, "left").select("t.*", "f.a")
+    shown = F.array_join(F.transform("a", lambda r: r["i"]), "; ")
+    return both.select(*keys, F.when(F.col("n") > k, F.concat(shown, F.lit(" (+"), (F.col("n") - k).cast("string"), F.lit(" more)"))).otherwise(shown).alias("summary"))
 
 
 def flags_table(parts: dict[str, DataFrame]) -> DataFrame:
     """Sections of (vendor_id, item) as one table, "where: detail" split (SET-05)."""
-    from functools import reduce
-
-    from duelight.functions.text import split_flag
-
     rows = [d.select("vendor_id", F.lit(n).alias("section"), split_flag(F.col("item")).alias("s")).select("vendor_id", "section", "s.*") for n, d in parts.items()]
     return reduce(lambda a, b: a.unionByName(b), rows)
 

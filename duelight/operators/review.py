@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelight.operators import score
-from duelight.operators.resolve import landlord, rental_validation
+from duelight.operators.resolve import cross_check_items, landlord, rental_validation
 
 ADDRESS_ROWS = ("addr_ownership_type", "addr_electricity_bill", "addr_rental_validation", "addr_msme", "addr_landlord_declaration")
 
@@ -79,15 +79,18 @@ def validate_overrides(overrides: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def rederive_address(resolved: DataFrame, overridden: DataFrame) -> DataFrame:
-    """Rental and landlord rows after their sources changed, unless overridden themselves (OVR-02)."""
+    """Rental and landlord rows after their sources changed, unless overridden themselves (OVR-02); a row that changes takes its new note."""
     pick = lambda p: F.max(F.when(F.col("parameter_id") == p, F.col("value")))
     wide = resolved.groupBy("vendor_id").agg(pick("addr_ownership_type").alias("o"), pick("addr_electricity_bill").alias("b"), F.coalesce(F.bool_or((F.col("parameter_id") == "addr_landlord_declaration") & (F.col("value") == "present")), F.lit(False)).alias("noc"))
-    new = F.array(
-        F.struct(F.lit("addr_rental_validation").alias("parameter_id"), rental_validation(F.col("o"), F.col("b"))[0].alias("derived")),
-        F.struct(F.lit("addr_landlord_declaration").alias("parameter_id"), landlord(F.col("noc"), F.col("o"))[0].alias("derived")),
-    )
+    let, declared = rental_validation(F.col("o"), F.col("b")), landlord(F.col("noc"), F.col("o"))
+    row = lambda p, answer: F.struct(F.lit(p).alias("parameter_id"), answer[0].alias("derived"), answer[1].alias("_why"))
+    new = F.array(row("addr_rental_validation", let), row("addr_landlord_declaration", declared))
     new = wide.select("vendor_id", F.explode(new).alias("n")).select("vendor_id", "n.*").join(overridden.select("vendor_id", "parameter_id"), ["vendor_id", "parameter_id"], "left_anti")
-    return resolved.join(new, ["vendor_id", "parameter_id"], "left").withColumn("value", F.coalesce("derived", "value")).drop("derived")
+    rows = resolved.join(new, ["vendor_id", "parameter_id"], "left")
+    if "note" in resolved.columns:
+        changed = F.col("derived").isNotNull() & ~F.col("derived").eqNullSafe(F.col("value"))
+        rows = rows.withColumn("note", F.when(changed, F.coalesce("_why", F.lit(""))).otherwise(F.col("note")))
+    return rows.withColumn("value", F.coalesce("derived", "value")).drop("derived", "_why")
 
 
 def append_audit(prior: DataFrame, new: DataFrame) -> DataFrame:
@@ -159,18 +162,25 @@ def preview_scores(fresh: DataFrame, carried: DataFrame, overrides: DataFrame, p
 
 
 def finalise(resolved: DataFrame, carried: DataFrame, overrides: DataFrame, params: DataFrame, rules: DataFrame, vendors: DataFrame, grades: DataFrame) -> dict[str, DataFrame]:
-    """Problems, state, scores and stale lines after overrides (OVR-05).
+    """Problems, state, scores, stale lines and cross-checks after overrides (OVR-05).
 
-    A vendor with any problem keeps none of its overrides.
+    A vendor with any problem keeps none of its overrides. A fresh value keeps its
+    note, a carried one has the correction's, an analyst's the one given with it
+    (column note of overrides, if there is one). Cross-checks are read from the state
+    so reached: what the analyst settled is not raised again, what went stale is.
     """
     problems = validate_overrides(overrides, score.param_specs(rules))
     good = overrides.join(problems.select("vendor_id").distinct(), "vendor_id", "left_anti")
     state = apply_overrides(resolved, carried, good)
-    derived = rederive_address(state.withColumn("note", F.lit("")), good)
+    key = ["vendor_id", "parameter_id"]
+    told = lambda rows, name: rows.select(*key, (F.col("note") if "note" in rows.columns else F.lit(None).cast("string")).alias(name))
+    noted = state.join(told(resolved, "_fresh"), key, "left").join(told(carried, "_carried"), key, "left").join(told(good, "_given"), key, "left")
+    note = F.when(F.col("kind") == "analyst", F.col("_given")).when(F.col("kind") == "review", F.col("_carried")).otherwise(F.col("_fresh"))
+    derived = rederive_address(noted.withColumn("note", F.coalesce(note, F.lit(""))).drop("_fresh", "_carried", "_given"), good)
     derived = derived.withColumn("unresolved", F.col("value").isNull())
     scores = score.grade_band(score.vendor_scores(score.category_scores(score.score_params(derived, params, rules, vendors))), grades)
     stale = state.where("stale").select("vendor_id", F.concat_ws(": ", F.lit("stale"), "parameter_id").alias("item"))
-    return {"problems": problems, "state": derived, "scores": scores, "stale": stale}
+    return {"problems": problems, "state": derived, "scores": scores, "stale": stale, "cross_checks": cross_check_items(derived).unionByName(stale)}
 
 
 def flatten_messages(traces: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def score_params(resolved: DataFrame, params: DataFrame, rules: DataFrame, vendo
     """
     scored = params.where(F.col("category_id").isin(*SCORED_CATEGORIES))
     parsed = small(parse_rules(rules).select("parameter_id", "ordinal", "expr", "condition", "assigned_score", "kind", "text", "lo", "lo_incl", "hi", "hi_incl"))
-    known = resolved.where(~F.coalesce("unresolved", F.lit(False)) & F.col("value").isNotNull())
+    known = resolved.where(~F.coalesce("unresolved", F.lit(False)) & F.col("value").isNotNull()).select("vendor_id", "parameter_id", "value")
     hit = known.join(parsed, "parameter_id").where(rule_holds(F.col("value")) | F.col("kind").isNull())
     first = hit.groupBy("vendor_id", "parameter_id").agg(F.min_by(F.struct("condition", "assigned_score", "kind", "expr"), "ordinal").alias("m"))
     each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in scored.columns]) for r in bounded(scored)])

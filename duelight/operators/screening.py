@@ -73,6 +73,43 @@ def sweep_verdict(findings: DataFrame) -> DataFrame:
     return rows.select("vendor_id", verdict.alias("verdict"), "unscreened")
 
 
-def aml_verdict(hits: Column, comprehensive: Column, fallback: Column, adverse: str, clean: str) -> Column:
-    """Hits beat a comprehensive clean sweep, which beats the fallback (AGG-13)."""
-    return F.when(hits > 0, adverse).when(comprehensive, clean).otherwise(fallback)
+# What a hit and a comprehensive sweep without one give, by parameter.
+VERDICTS = {
+    "legal_sanctions": ("listed", "not_listed"), "legal_pep": ("pep_identified", "no_pep"),
+    "legal_rbi_wilful_defaulter": ("listed", "not_listed"), "legal_ecourts": ("active_criminal", "no_criminal"),
+    "legal_drt_sarfaesi": ("active_drt", "no_drt"),
+}
+
+
+def resolve_legal(vendors: DataFrame, hits: DataFrame, sweeps: DataFrame, fallback: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """vendor_id, parameter_id, value, note, unresolved of the five legal parameters (AGG-13, RES-18..23).
+
+    hits: vendor_id, slot (a parameter or "other"), owner (of the owner's screen, not
+    the firm's), seq, text, summarised to a line per list. sweeps: vendor_id,
+    comprehensive, of the firm. fallback: vendor_id, parameter_id, value, note of the
+    free sources. dismissed: vendor_id, owner, seq, text of namesakes.
+
+    Hits beat a comprehensive clean sweep, which beats the fallback; without any of
+    them a parameter is unresolved. Hits outside the five slots turn sanctions that
+    are not listed into "adverse_watchlist", and are told beside listed ones; so are
+    dismissed namesakes.
+    """
+    told = lambda rows, *keys: rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("owner", "seq", "text"))), lambda r: r["text"]), "; ").alias("told"))
+    each = F.array(*[F.struct(F.lit(p).alias("parameter_id"), F.lit(bad).alias("bad"), F.lit(good).alias("good")) for p, (bad, good) in VERDICTS.items()])
+    grid = vendors.select("vendor_id", F.explode(each).alias("p")).select("vendor_id", "p.*")
+    sanctions = F.lit("legal_sanctions").alias("parameter_id")
+    key = ["vendor_id", "parameter_id"]
+    rows = grid.join(told(hits.where("slot <> 'other'").withColumnRenamed("slot", "parameter_id"), *key).withColumnRenamed("told", "hit"), key, "left")
+    rows = rows.join(sweeps.groupBy("vendor_id").agg(F.bool_or("comprehensive").alias("swept")), "vendor_id", "left")
+    rows = rows.join(fallback.select(*key, F.col("value").alias("_value"), F.col("note").alias("_note")), key, "left")
+    rows = rows.join(told(dismissed, "vendor_id").select("vendor_id", sanctions, F.concat(F.lit("namesakes dismissed: "), "told").alias("namesakes")), key, "left")
+    rows = rows.join(told(hits.where("slot = 'other'"), "vendor_id").select("vendor_id", sanctions, F.col("told").alias("other")), key, "left")
+    swept = F.coalesce("swept", F.lit(False))
+    value = F.when(F.col("hit").isNotNull(), F.col("bad")).when(swept, F.col("good")).otherwise(F.col("_value"))
+    note = F.when(F.col("hit").isNotNull(), F.col("hit")).when(swept, "a comprehensive sweep found no match").otherwise(F.col("_note"))
+    rows = rows.withColumn("value", value).withColumn("note", F.concat_ws(" | ", F.nullif(note, F.lit("")), "namesakes"))
+    outside = F.col("other").isNotNull() & ~F.coalesce(F.col("value") == "listed", F.lit(False))
+    lists = F.when(F.col("value").isNotNull() & (F.col("note") != ""), F.concat(F.lit("sanctions lists: "), "note"))
+    note = F.when(outside, F.concat_ws(" | ", F.concat(F.lit("WATCHLIST HIT (confirm or dismiss): "), "other"), lists)).otherwise(F.concat_ws(" | ", F.nullif("note", F.lit("")), F.concat(F.lit("ALSO: "), "other")))
+    value = F.when(outside, "adverse_watchlist").otherwise(F.col("value"))
+    return rows.select(*key, value.alias("value"), note.alias("note"), value.isNull().alias("unresolved"))

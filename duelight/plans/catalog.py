@@ -336,8 +336,11 @@ def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS found FROM events""")
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSN-01, JSN-03: a dotted path into a VARIANT, and a key at any depth."""
-    return table(spark, sf_dir, "events").select("event_id", text.dig(F.parse_json("props"), "k", "bigint").alias("k"), text.find_key(F.col("props"), "k").alias("found"))
+    """JSN-01, JSN-03: a dotted path into a VARIANT, and a key at any depth, past the key in a text and before a later one."""
+    deep = F.concat(F.lit(r'{"a": "\"k\": 5", "m": [{"k": null}, {"x": '), "props", F.lit('}], "n": {"k": -1}}'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("v"), F.parse_json(F.when(F.col("event_type") == "error", F.col("props")).otherwise(deep)).alias("w"))
+    rows = text.find_key(rows, "w", "k", "found")
+    return rows.select("event_id", text.dig(F.col("v"), "k", "bigint").alias("k"), F.col("found").cast("string").alias("found"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")

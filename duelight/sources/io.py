@@ -108,7 +108,8 @@ def apply_manual_overrides(resolved: DataFrame, overrides: DataFrame, parameter_
 
 
 def write_traces(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("vendor_id").json(path)
+    """Traces by vendor; other vendors' earlier ones stay (SNK-01)."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vendor_id").json(path)
 
 
 def write_outputs(tables: dict[str, DataFrame], path: str, partition_by: str | None = None) -> None:

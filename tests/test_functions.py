@@ -123,13 +123,16 @@ def test_small_functions(spark):
     assert one(spark, text.score_value, "?") == -1.0
     assert one(spark, lambda c: text.dig(F.parse_json(c), "a.0.b"), '{"a": [{"b": "x"}]}') == "x"
     assert one(spark, lambda c: text.first_of(F.parse_json(c), "a", "b"), '{"a": "", "b": 0}') == "0"
-    assert one(spark, lambda c: text.find_key(c, "k"), '{"a": {"k": "v"}}') == "v"
+    rows = spark.createDataFrame([(i, j) for i, j in enumerate(['{"a": {"k": "v"}}', '{"a": "\\"k\\": 1", "b": [1, {"c": {"k": 2}}], "k": null}', '{"b": {"k": 3}, "k": 4}', '[{"x": []}, {"k": {"k": 5}}]', '{"a": 1}', None, '{"k": [6]}', '{"k": [6]}'])], "i int, j string")
+    got = text.find_key(rows.select("i", F.try_parse_json("j").alias("v")), "v", "k", "found").select("i", F.to_json("found").alias("f"))
+    assert {r.i: r.f for r in got.collect()} == {0: '"v"', 1: "2", 2: "4", 3: '{"k":5}', 4: None, 5: None, 6: "[6]", 7: "[6]"}
+    assert one(spark, text.clean_party, "MESSRS KINGSTON INDUSTRIES AND OTHERS") == "KINGSTON INDUSTRIES"
     assert one(spark, lambda c: text.split_code(c)["code"], "22209 - Plastics") == "22209"
     assert one(spark, text.seller_type_kw, "Retail trade") == "trader"
     assert one(spark, text.seller_type_nic, "46620") == "trader"
     assert one(spark, text.constitution, "Limited Liability Partnership") == "llp"
     assert one(spark, text.headline, "No. 5 is fine. WARNING: look here. Rest.") == "WARNING: look here."
-    assert one(spark, text.strip_honorifics, "Mr. A Person") == "A Person"
+    assert one(spark, text.strip_honorifics, "Late Shri. A  Person") == "a person"
     assert one(spark, lambda c: text.split_flag(c)["head"], "a.pdf: missing page") == "a.pdf"
     assert one(spark, text.fmt_value, "5.0") == "5"
     assert one(spark, text.escape_html, "<a&b>") == "&lt;a&amp;b&gt;"
