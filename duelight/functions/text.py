@@ -228,6 +228,12 @@ def parse_override(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def parse_pairs(c: Column) -> Column:
+    """array<struct(code, description)> of a ";" list of "code - description" (STR-18); a description may be empty."""
+    part = lambda x, n: F.coalesce(F.trim(F.get(F.split(x, " - ", 2), n)), F.lit(""))
+    return F.transform(parse_override(c), lambda x: F.struct(part(x, 0).alias("code"), part(x, 1).alias("description")))
+
+
 def split_code(c: Column) -> Column:
     """struct(code, description) of "code - description" (JSN-04)."""
     return F.struct(extract(c, r"^\s*(\d+)\s*-").alias("code"), extract(c, r"^\s*\d+\s*-\s*(.+)$").alias("description"))

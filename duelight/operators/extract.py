@@ -232,6 +232,18 @@ def find_identifiers(docs: DataFrame, key: str, text: str, kinds=tuple(IDENTIFIE
     return docs.select(key, F.explode(F.concat(*found)).alias("i")).select(key, "i.*")
 
 
+# Words of the constitutions that have a company number.
+COMPANY_FORMS = ("private", "public", "limited", "llp", "company")
+
+
+def keep_company_number(entity: DataFrame) -> DataFrame:
+    """entity with cin dropped, and a warning, where the constitution says that it is another's (PRJ-16); an unknown constitution keeps it."""
+    form = F.lower(F.coalesce("constitution", F.lit("")))
+    other = F.col("cin").isNotNull() & (form != "") & ~any_of(form, COMPANY_FORMS)
+    warning = F.when(other, F.format_string("company number %s was ignored: a %s has none", "cin", "constitution"))
+    return entity.withColumn("warning", warning).withColumn("cin", F.when(~other, F.col("cin")))
+
+
 def company_number(docs: DataFrame) -> DataFrame:
     """The company number per vendor: the certificate's, else the first seen outside utility bills (PRJ-16)."""
     number = extract(F.col("text"), f"({IDENTIFIERS['cin']})")

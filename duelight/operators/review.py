@@ -78,6 +78,18 @@ def validate_overrides(overrides: DataFrame, specs: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).where("problem is not null").select("vendor_id", "parameter_id", "problem")
 
 
+def validate_entity_overrides(overrides: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """vendor_id, field, problem of overrides of fields that no report reads (OVR-01)."""
+    rows = overrides.where(F.trim(F.coalesce("analyst_value", F.lit(""))) != "")
+    return rows.where(~F.col("field").isin(*fields)).select("vendor_id", "field", F.lit("not a field of the report").alias("problem"))
+
+
+def validate_doc_overrides(overrides: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """vendor_id, file_name, problem of overrides to an unknown document type (OVR-01); "ignore" is one."""
+    kind = F.lower(F.trim("doc_type"))
+    return overrides.where((kind != "") & ~kind.isin("ignore", *types)).select("vendor_id", "file_name", F.concat(F.lit("not a document type: "), kind).alias("problem"))
+
+
 def rederive_address(resolved: DataFrame, overridden: DataFrame) -> DataFrame:
     """Rental and landlord rows after their sources changed, unless overridden themselves (OVR-02); a row that changes takes its new note."""
     pick = lambda p: F.max(F.when(F.col("parameter_id") == p, F.col("value")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelight.operators import classify, extract, filings, match, ocr, registry, resolve, review, score, screening
-from duelight.plans import catalog
+from duelight.plans import analogues, catalog  # noqa: F401
 from duelight.sources import io
 
 
