@@ -147,6 +147,24 @@ def test_copies_that_only_link_with_their_original(spark, monkeypatch):
     assert [r.class_id for r in got] == [0] * 151
 
 
+@pytest.mark.parametrize("sizes", [[70, 3], [9, 9, 9, 9, 9], [25, 1, 1], [5, 4]])
+def test_texts_of_different_classes_meet_in_one_block(spark, monkeypatch, sizes):
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    label = [k for k, n in enumerate(sizes) for _ in range(n)]
+    rows = [(i, k, 1, 0, False, len(label), 0, sizes[0]) for i, k in enumerate(label)]
+    found = neardup._large_blocks(spark.createDataFrame(rows, "nid long, label long, h long, at byte, second boolean, n long, main long, n_main long")).collect()
+    blocks = {}
+    for r in found:
+        blocks.setdefault((r.p, r.q), []).append(r)
+    assert max(map(len, blocks.values())) <= 50
+    met = set()
+    for block in blocks.values():
+        both = len({r.side for r in block}) == 2
+        met |= {(x.nid, y.nid) for x in block for y in block if x.nid < y.nid and not (both and x.side == y.side)}
+    assert {(i, j) for i in range(len(label)) for j in range(i + 1, len(label)) if label[i] != label[j]} <= met
+    assert len(found) == len(rows) or len(rows) > 10
+
+
 @pytest.mark.parametrize("n, similarity, least", [(300, 0.8, 0.98), (100, 0.8, 0.98), (30, 0.867, 0.98), (20, 0.85, 0.96)])
 def test_similar_texts_share_a_bucket(n, similarity, least):
     import pyarrow as pa
