@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.llm import bpe, embeddings, langid, mixing, neardup, qda, quality, secrets, substrings, warc
+from duelight.llm import bpe, dialogue, embeddings, langid, mixing, neardup, qda, quality, search, secrets, substrings, suffixes, warc
 from duelight.llm.tables import materialise, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that start anywhere else too."""
+    return suffixes.deduplicate(read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by its rows' checksums and repaired at least cost."""
+    return dialogue.repair(dialogue.damage(read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_score": op9_quality_score,
     "op10_secret_scan": op10_secret_scan,
+    "op11_shared_strings": op11_shared_strings,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_repaired_conversations": op13_repaired_conversations,
 }
 
 ORACLE: dict[str, str] = {
@@ -198,4 +216,113 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
         FROM d
     """,
+    "op11_shared_strings": """
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+        ), s AS (
+            SELECT rid, unnest(range(0, CAST(len(h) // 2 AS BIGINT) - 399, 1024)) AS base FROM d WHERE len(h) >= 800
+        ), c AS (
+            SELECT rid, base, array_slice(h, 2 * base + 1, 2 * base + 2 * (1023 + 400)) AS part FROM s JOIN d USING (rid)
+        ), w AS (
+            SELECT rid, base + at AS pos, md5(array_slice(part, 2 * at + 1, 2 * at + 800)) AS win FROM (SELECT rid, base, part, unnest(range(0, CAST(len(part) // 2 AS BIGINT) - 399)) AS at FROM c)
+        ), r AS (
+            SELECT rid, pos FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING count(*) > 1)
+        ), e AS (
+            SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS before FROM r
+        ), g AS (
+            SELECT rid, pos, sum(CASE WHEN before IS NULL OR pos > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos) AS run FROM e
+        ), gone AS (
+            SELECT rid, run, min(pos) AS a, max(pos) + 400 AS b FROM g GROUP BY rid, run
+        ), gap AS (
+            SELECT d.rid, doc_id, h, coalesce(b, 0) AS a, coalesce(lead(a) OVER (PARTITION BY d.rid ORDER BY a), len(h) // 2) AS b, a AS run_from, b AS run_to
+            FROM d LEFT JOIN gone USING (rid)
+        ), k AS (
+            SELECT rid, string_agg(array_slice(h, 2 * a + 1, 2 * b), '' ORDER BY a) AS rest, min(run_from) AS head, count(run_from) AS n_spans, coalesce(sum(run_to - run_from), 0) AS n_removed
+            FROM gap GROUP BY rid
+        )
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
+               sha256(unhex(CASE WHEN head > 0 THEN array_slice(h, 1, 2 * head) ELSE '' END || rest)) AS kept_sha256
+        FROM d JOIN k USING (rid)
+    """,
+    "op12_ranked_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+                   lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents WHERE text IS NOT NULL
+        ), i AS (
+            SELECT item_id, unnest(list_transform(regexp_extract_all(min(text), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+                   lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark GROUP BY item_id
+        ), q AS (
+            SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term
+        ), c AS (
+            SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0
+        ), p AS (
+            SELECT rid, doc_id, len(terms) AS size, unnest(terms) AS term FROM d
+        ), f AS (
+            SELECT rid, doc_id, size, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY rid, doc_id, size, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c
+        ), v AS (
+            SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // l))) AS v FROM f JOIN w USING (term), c
+        ), s AS (
+            SELECT item_id, rid, doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM q JOIN v USING (term) GROUP BY item_id, rid, doc_id
+        ), r AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        )
+        SELECT * FROM r WHERE rank <= 10
+    """,
+    "op13_repaired_conversations": """
+        WITH RECURSIVE o AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+            FROM conversations
+        ), f AS (
+            SELECT *, md5(role || ':' || text) AS tie,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST((ascii(ch) >> k) & 1 AS BIGINT) for k in range(8)] for ch in string_split(key, '')])),
+                       lambda c, b: xor(c >> 1, CAST(3988292384 AS BIGINT) * (xor(c, b) & 1))), CAST(4294967295 AS BIGINT)) % 20 AS fate
+            FROM o
+        ), d AS (
+            SELECT conv_id, turn, tie, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM f WHERE fate <> 0
+        ), n AS (
+            SELECT coalesce(CAST(conv_id AS VARCHAR), '-') AS c, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM d
+        ), t AS (
+            SELECT *, left(role, 1) AS r, left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+                   row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut
+            FROM n
+        ), a AS (
+            SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM t
+        ), g AS (
+            SELECT c, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, CAST(coalesce(sum(extra) // 3, 0) AS BIGINT) AS truncated,
+                   count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+            FROM a GROUP BY c
+        ), b AS (
+            SELECT c, i + 1 AS i, CAST([0, 6, 3, 0] AS BIGINT[]) AS v FROM a WHERE i = n
+            UNION ALL
+            SELECT c, i, CAST([least(z[1], z[3] + 3), least(z[2], z[3] + 3), least(z[3], z[4] + 3), least(z[4], z[3] + 3)] AS BIGINT[]) AS v FROM (
+                SELECT b.c, a.i, CASE WHEN gone THEN [v[1] + 4, v[2] + 4, v[3] + 4, v[4] + 4] ELSE [
+                    least(v[1] + 4, v[3] + extra + CASE WHEN r = 'u' THEN 0 ELSE 3 END, v[2] + extra + CASE WHEN r = 's' THEN 0 ELSE 1000 END),
+                    least(v[2] + 4, v[3] + extra + CASE WHEN r = 'u' THEN 0 ELSE 3 END), least(v[3] + 4, v[4] + extra + CASE WHEN r = 'a' THEN 0 ELSE 3 END),
+                    least(v[4] + 4, v[3] + extra + CASE WHEN r = 'u' THEN 0 ELSE 3 END)] END AS z
+                FROM b JOIN a ON a.c = b.c AND a.i = b.i - 1)
+        ), e AS (
+            SELECT c, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines, CAST('' AS VARCHAR) AS op FROM (SELECT DISTINCT c FROM a)
+            UNION ALL
+            SELECT c, CASE WHEN op = 'I' THEN i ELSE i + 1 END, CASE WHEN op = 'D' THEN q WHEN op = 'K' AND r = 's' THEN 2 WHEN q = 3 THEN 4 ELSE 3 END, audit || op,
+                   CASE op WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'R' THEN list_append(lines, due || ':' || text) ELSE list_append(lines, due || ':') END, op
+            FROM (
+                SELECT e.c, e.i, e.q, e.audit, e.lines, a.r, a.role, a.text, CASE WHEN e.q = 3 THEN 'assistant' ELSE 'user' END AS due,
+                       CASE WHEN a.i IS NOT NULL AND y.v[e.q] + 4 = x.v[e.q] THEN 'D' WHEN x.v[CASE WHEN e.q = 3 THEN 4 ELSE 3 END] + 3 = x.v[e.q] THEN 'I'
+                            WHEN r = 's' AND e.q = 1 AND y.v[2] + extra = x.v[e.q] OR r = 'u' AND e.q <> 3 AND y.v[3] + extra = x.v[e.q] OR r = 'a' AND e.q = 3 AND y.v[4] + extra = x.v[e.q] THEN 'K'
+                            ELSE 'R' END AS op
+                FROM e JOIN b x ON x.c = e.c AND x.i = e.i LEFT JOIN a ON a.c = e.c AND a.i = e.i LEFT JOIN b y ON y.c = e.c AND y.i = e.i + 1
+                WHERE a.i IS NOT NULL OR x.v[e.q] > 0)
+        ), z AS (
+            SELECT e.c, audit, lines FROM e JOIN b ON b.c = e.c AND b.i = e.i LEFT JOIN a ON a.c = e.c AND a.i = e.i WHERE a.i IS NULL AND b.v[e.q] = 0
+        ), x AS (
+            SELECT c, v[1] AS cost FROM b WHERE i = 1
+        )
+        SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN g ON g.c = coalesce(CAST(k.conv_id AS VARCHAR), '-') LEFT JOIN x ON x.c = g.c LEFT JOIN z ON z.c = g.c
+    """,
 }

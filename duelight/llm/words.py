@@ -22,7 +22,7 @@ IS_SEP[list(SEPARATORS)] = True
 BLOCK_BYTES = 1 << 20
 
 
-def _inverse(p: int) -> int:
+def inverse(p: int) -> int:
     return pow(p, -1, 1 << 64)
 
 
@@ -52,8 +52,8 @@ class Hasher:
         """Mixed hash of values[start:end] for each pair."""
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * self.powers(base, len(values)), out=sums[1:])
-        inverse = self.powers(_inverse(base), len(values) + 1)
-        return mix(((sums[end] - sums[start]) * inverse[start]) + (end - start).astype(np.uint64))
+        back = self.powers(inverse(base), len(values) + 1)
+        return mix(((sums[end] - sums[start]) * back[start]) + (end - start).astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
