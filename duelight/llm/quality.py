@@ -1,15 +1,21 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Counts of every whole text give ratios, taken as logarithms of (part + 1) / (whole + 1),
-so that texts without a single symbol or repetition spread too, by their lengths.
-Mergeable quantile sketches (percentile_approx) of each ratio are taken per language
-and source, per language, and over all. A group's quartiles shrink towards those of
-its language by the weight n / (n + PRIOR), and a language's towards those of all. A
-document fails when a ratio lies beyond its group's fence: the outer quartile plus
-STEPS times its distance to the median, where an exponential tail through the two
-leaves one document in 4 * 2**STEPS. Quartiles are not moved by junk in less than a
-quarter of a group. No fixed ratio and no label enters; so a habit of less than a
-quarter of a group's sound documents (tables, code) does not widen its fence either.
+Counts of every whole text give ratios: characters a word, and the shares of symbols,
+repeated lines and repeated words. Mergeable quantile sketches (percentile_approx) of
+each ratio are taken per language and source, per language, and over all. A group's
+quantiles shrink towards those of its language by the weight n / (n + PRIOR), and a
+language's towards those of all. A document fails when a ratio lies beyond its group's
+fence.
+
+Word length, as a logarithm, is fenced on both sides: the outer quartile plus STEPS times
+its distance to the median, which counts as LEAST_WIDTH at least, so that a group whose
+texts are alike keeps some room. A share is mostly zero, so its fence rises for two
+reasons: what a quarter of the group does is its habit (the same steps from the upper
+quartile, zero where that is zero), and its tail (TAIL times the 95% quantile) counts
+within a hard range of the rule, so that the junk of a group can neither raise it without
+bound nor a group without any lose its first such document. On the supplied tables few
+groups have a tail of repeated lines or words, so these two fences mostly lie at the lower
+end of their range. No label enters.
 
 The thresholds are joined back by group. Defined cases: a null text has no words and
 fails the base rule, as every text of under 50 words does; null languages and sources
@@ -28,22 +34,26 @@ from duelight.llm.tables import materialise
 from duelight.llm.textstats import rule_counts
 
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
-PRIOR, ACCURACY, STEPS = 100, 10_000, 5
-QUARTILES = (0.25, 0.5, 0.75)
+PRIOR, ACCURACY, STEPS, LEAST_WIDTH, TAIL = 100, 10_000, 5, 0.05, 4
+QUANTILES = (0.25, 0.5, 0.75, 0.95)
 #: A ratio this close to its fence is on it (rounding).
 ON = 1e-9
 
-#: name -> (part, whole, is it checked below too?)
+#: name -> (part, whole)
 RATIOS = {
-    "word_length": ("word_chars", "n_words", True),
-    "symbols": ("n_symbols", "n_words", False),
-    "dup_lines": ("n_dup_lines", "n_lines", False),
-    "repeats": ("n_repeat_words", "n_words", False),
+    "word_length": ("word_chars", "n_words"),
+    "symbols": ("n_symbols", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
 }
+#: Range of what a tail may allow.
+RANGES = {"symbols": (0.1, 0.3), "dup_lines": (0.35, 0.7), "repeats": (0.3, 0.45)}
 
 
-def _ratio(part: str, of: str) -> Column:
-    return F.log((F.col(part) + 1) / (F.col(of) + 1))
+def _ratio(name: str) -> Column:
+    part, of = RATIOS[name]
+    ratio = F.try_divide(F.col(part).cast("double"), F.col(of))
+    return ratio if name in RANGES else F.log(ratio)
 
 
 def base_failed() -> Column:
@@ -54,30 +64,34 @@ def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts of the text, base_failed and the ratios."""
     rows = docs.select("doc_id", "lang", "source", rule_counts("text").alias("c")).select("doc_id", "lang", "source", "c.*")
     rows = rows.withColumn("base_failed", base_failed())
-    return rows.select("*", *[_ratio(part, of).alias(f"r_{n}") for n, (part, of, _) in RATIOS.items()])
+    return rows.select("*", *[_ratio(n).alias(f"r_{n}") for n in RATIOS])
 
 
 def _shrunk(n: str, own: str, wide: list[Column]) -> list[Column]:
-    """Quartiles of a group, drawn to those of the wider one by its size."""
-    return [(F.col(n) * F.col(own)[k] + PRIOR * wide[k]) / (F.col(n) + PRIOR) for k in range(3)]
+    """Quantiles of a group, drawn to those of the wider one by its size."""
+    return [(F.col(n) * F.col(own)[k] + PRIOR * wide[k]) / (F.col(n) + PRIOR) for k in range(len(QUANTILES))]
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """_lang, _source, and the fences of each ratio: most_<name>, and least_<name> where it is checked below."""
     sound = rows.where(~F.col("base_failed"))
-    sketch = [F.percentile_approx(f"r_{n}", list(QUARTILES), ACCURACY).alias(f"q_{n}") for n in RATIOS]
+    sketch = [F.percentile_approx(f"r_{n}", list(QUANTILES), ACCURACY).alias(f"q_{n}") for n in RATIOS]
     levels = materialise(sound.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketch), "op6-sketches")
     whole = levels.where("level = 3").first()
     small = levels.where("level = 0")
     wide = levels.where("level = 1").select(F.col("lang").alias("_lang"), F.col("n").alias("lang_n"), *[F.col(f"q_{n}").alias(f"lang_{n}") for n in RATIOS])
     both = small.join(wide, small["lang"].eqNullSafe(wide["_lang"]))
     out = []
-    for name, (_, _, below) in RATIOS.items():
-        every = [F.lit(q) for q in (whole[f"q_{name}"] if whole and whole["n"] else (None,) * 3)]
-        low, mid, high = _shrunk("n", f"q_{name}", _shrunk("lang_n", f"lang_{name}", every))
-        out.append((high + STEPS * (high - mid) + ON).alias(f"most_{name}"))
-        if below:
-            out.append((low - STEPS * (mid - low) - ON).alias(f"least_{name}"))
+    for name in RATIOS:
+        every = [F.lit(q) for q in (whole[f"q_{name}"] if whole and whole["n"] else (None,) * len(QUANTILES))]
+        low, mid, high, tail = _shrunk("n", f"q_{name}", _shrunk("lang_n", f"lang_{name}", every))
+        if name in RANGES:
+            habit = F.when(high > 0, high + STEPS * (high - mid)).otherwise(0.0)
+            least, most = RANGES[name]
+            out.append((F.greatest(habit, F.least(F.greatest(TAIL * tail, F.lit(least)), F.lit(most))) + ON).alias(f"most_{name}"))
+        else:
+            width = lambda d: STEPS * F.greatest(d, F.lit(LEAST_WIDTH))
+            out += [(high + width(high - mid) + ON).alias(f"most_{name}"), (low - width(mid - low) - ON).alias(f"least_{name}")]
     return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *out)
 
 
@@ -91,8 +105,8 @@ def judge(docs: DataFrame) -> DataFrame:
     fence = thresholds(rows)
     met = rows.join(fence, rows["lang"].eqNullSafe(fence["_lang"]) & rows["source"].eqNullSafe(fence["_source"]), "left")
     reason = F.when(F.col("n_words") < LEAST_WORDS, "few_words").when(F.col("base_failed"), "repetition")
-    for name, (_, _, below) in RATIOS.items():
+    for name in RATIOS:
         outside = F.col(f"r_{name}") > F.col(f"most_{name}")
-        reason = reason.when(outside | (F.col(f"r_{name}") < F.col(f"least_{name}")) if below else outside, name)
+        reason = reason.when(outside if name in RANGES else outside | (F.col(f"r_{name}") < F.col(f"least_{name}")), name)
     met = met.withColumn("failed_rule", reason)
     return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule")

@@ -179,25 +179,32 @@ ORACLE: dict[str, str] = {
             FROM d LEFT JOIN g USING (rid)
         ), y AS (
             SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-                   [ln((word_chars + 1) / (n_words + 1)), ln((n_symbols + 1) / (n_words + 1)), ln((n_dup_lines + 1) / (n_lines + 1)), ln((n_repeat_words + 1) / (n_words + 1))] AS v
+                   [ln(word_chars / nullif(n_words, 0)), n_symbols / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), n_repeat_words / nullif(n_words, 0)] AS v
             FROM c
         ), z AS (
             SELECT rid, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS name, unnest(v) AS v FROM y WHERE NOT base_failed
         ), small AS (
-            SELECT lang, source, name, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM z GROUP BY lang, source, name
+            SELECT lang, source, name, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75, 0.95]) AS q FROM z GROUP BY lang, source, name
         ), wide AS (
-            SELECT lang, name, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM z GROUP BY lang, name
+            SELECT lang, name, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75, 0.95]) AS q FROM z GROUP BY lang, name
         ), whole AS (
-            SELECT name, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM z GROUP BY name
+            SELECT name, quantile_disc(v, [0.25, 0.5, 0.75, 0.95]) AS q FROM z GROUP BY name
         ), w AS (
-            SELECT lang, w.name, [(n * w.q[k] + 100 * a.q[k]) / (n + 100) for k in [1, 2, 3]] AS q FROM wide w JOIN whole a USING (name)
-        ), f AS (
-            SELECT s.lang, source, s.name, [(n * s.q[k] + 100 * w.q[k]) / (n + 100) for k in [1, 2, 3]] AS q
+            SELECT lang, w.name, [(n * w.q[k] + 100 * a.q[k]) / (n + 100) for k in [1, 2, 3, 4]] AS q FROM wide w JOIN whole a USING (name)
+        ), e AS (
+            SELECT s.lang, source, s.name, [(n * s.q[k] + 100 * w.q[k]) / (n + 100) for k in [1, 2, 3, 4]] AS q
             FROM small s JOIN w ON s.name = w.name AND s.lang IS NOT DISTINCT FROM w.lang
+        ), f AS (
+            SELECT lang, source, name, CASE WHEN name = 'word_length' THEN q[1] - 5 * greatest(q[2] - q[1], 0.05) END AS least,
+                   CASE WHEN name = 'word_length' THEN q[3] + 5 * greatest(q[3] - q[2], 0.05)
+                        ELSE greatest(CASE WHEN q[3] > 0 THEN q[3] + 5 * (q[3] - q[2]) ELSE 0 END,
+                                      least(greatest(4 * q[4], CASE name WHEN 'symbols' THEN 0.1 WHEN 'dup_lines' THEN 0.35 ELSE 0.3 END), CASE name WHEN 'symbols' THEN 0.3 WHEN 'dup_lines' THEN 0.7 ELSE 0.45 END))
+                   END AS most
+            FROM e
         ), j AS (
             SELECT rid, min(CASE z.name WHEN 'word_length' THEN 1 WHEN 'symbols' THEN 2 WHEN 'dup_lines' THEN 3 ELSE 4 END) AS first_rule
             FROM z JOIN f ON z.name = f.name AND z.lang IS NOT DISTINCT FROM f.lang AND z.source IS NOT DISTINCT FROM f.source
-            WHERE v > q[3] + 5 * (q[3] - q[2]) + 1e-9 OR z.name = 'word_length' AND v < q[1] - 5 * (q[2] - q[1]) - 1e-9
+            WHERE v > most + 1e-9 OR v < least - 1e-9
             GROUP BY rid
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first_rule IS NULL AS kept,
@@ -224,7 +231,7 @@ ORACLE: dict[str, str] = {
         ), c AS (
             SELECT rid, base, array_slice(h, 2 * base + 1, 2 * base + 2 * (1023 + 400)) AS part FROM s JOIN d USING (rid)
         ), w AS (
-            SELECT rid, base + at AS pos, md5(array_slice(part, 2 * at + 1, 2 * at + 800)) AS win FROM (SELECT rid, base, part, unnest(range(0, CAST(len(part) // 2 AS BIGINT) - 399)) AS at FROM c)
+            SELECT rid, base + o AS pos, md5(array_slice(part, 2 * o + 1, 2 * o + 800)) AS win FROM (SELECT rid, base, part, unnest(range(0, CAST(len(part) // 2 AS BIGINT) - 399)) AS o FROM c)
         ), r AS (
             SELECT rid, pos FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING count(*) > 1)
         ), e AS (

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from duelight.llm import langid, qda, quality, secrets, warc
 from duelight.llm.tables import read
@@ -205,7 +206,7 @@ def test_queries_and_sql_agree(spark, sf):
     from duelight.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, sf)
@@ -214,3 +215,35 @@ def test_queries_and_sql_agree(spark, sf):
         assert sorted(cols) == sorted(got.columns)
         want = Counter(rel.fetchall())
         assert Counter(tuple(r) for r in got.select(*cols).collect()) == want, name
+
+
+def test_each_rule_can_fail_a_planted_text(spark, sf):
+    """Among the supplied documents, whose groups have no symbols and few repeats, a planted text fails each rule, and sound ones of a like length don't."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    first = docs.where("lang is not null and source is not null").orderBy("doc_id").first()
+    word = lambda k: f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}"
+    plain = [word(k) for k in range(200)]
+    lines = [" ".join(plain[k : k + 10]) for k in range(0, 200, 10)]
+    planted = {
+        "word_length": " ".join(w * 4 for w in plain),
+        "symbols": " ".join(w + "#" for w in plain),
+        "dup_lines": "\n".join(["x y"] * 40 + lines),
+        "repeats": " ".join(plain[:150] + plain[:64]),
+    }
+    sound = {"plain": " ".join(plain), "lines": "\n".join(lines), "few symbols": " ".join(plain) + " #", "one line again": "\n".join([*lines, lines[0]])}
+    rows = [(-1 - k, t, first.lang, first.source) for k, t in enumerate([*planted.values(), *sound.values()])]
+    got = {r.doc_id: r.failed_rule for r in quality.judge(docs.union(spark.createDataFrame(rows, docs.schema))).where("doc_id < 0").collect()}
+    assert [got[-1 - k] for k in range(8)] == ["word_length", "symbols", "dup_lines", "repeats", None, None, None, None]
+
+
+def test_rules_in_a_group_of_equal_values(spark):
+    """Where half of a group shares one value, the others keep their room; a note of two lines fails nobody; a habit of a quarter is a habit."""
+    text = lambda k, n: " ".join(f"{'same' if j % 2 else 'word'}{'xy'[(k + j * j) % 2]}{chr(97 + (j * 7 + k) % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+    even = [(k, text(k, 120), "en", "even") for k in range(150)] + [(200 + k, text(k, 120) + " a", "en", "even") for k in range(150)]
+    note = [(400 + k, text(k, 100) + "\nsee below\nsee below" * (k < 30), "en", "note") for k in range(300)]
+    code = [(800 + k, text(k, 60) + " {} ".join("<|>"[: k % 3 + 1] for _ in range(40)), "en", "code") for k in range(300)]
+    rows = spark.createDataFrame(even + note + code, "doc_id long, text string, lang string, source string")
+    got = quality.judge(rows).where("not kept").collect()
+    assert not got
+    twice = quality.judge(rows.union(rows).withColumn("n_words", F.lit("clash")).withColumn("most_symbols", F.lit(0)))
+    assert twice.count() == 1800 and twice.where("not kept").count() == 0
