@@ -10,7 +10,8 @@ suffixes that can have such a neighbour are sorted:
    WINDOW - REACH bytes from an anchor on lie in all its windows; where they occur once
    in the corpus, no window of the run occurs again. Runs whose whole bytes occur again
    are repeated, all windows of them. What is left are runs at the edges of repeats, and
-   one copy each of repeated runs that may match them.
+   one copy each of repeated runs that may match them. Of these, stretches of PART windows
+   at one distance from the anchor go on if two runs agree in all that their windows share.
 2. Windows of those runs are the suffixes that are sorted. Sampled splitters
    range-partition them by their leading tokens (two words of 8 bytes) and a word that
    stands for the rest (a 64-bit hash; so neighbours equal in all three words are taken
@@ -45,9 +46,11 @@ from duelight.llm.substrings import squeeze
 from duelight.llm.tables import materialise
 from duelight.llm.words import HASH, U, blocks, inverse, mix
 
-WINDOW, REACH, GRAM = 400, 200, 16
+WINDOW, REACH, GRAM, PART = 400, 200, 16, 41
+PARTS = REACH // PART + 1
 BUCKET = 400_000
-RUNS = "lead long, full long, copies int, doc_id long, text_hash long, start int, n int"
+#: Of a run: hash from its anchor on, of all of it, of what each of its parts shares (4 bytes, only compared under one lead), and the anchor's distance.
+RUNS = "lead long, full long, " + "".join(f"k{i} int, " for i in range(PARTS)) + "back int, copies int, doc_id long, text_hash long, start int, n int"
 SUFFIXES = "w0 long, w1 long, w2 long, copies int, doc_id long, text_hash long, start int, n int"
 _LOW = U(0xFFFFFFFF)
 
@@ -65,12 +68,11 @@ class Prefixes:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
-def runs_of(data: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows in some documents: first window, number of windows, document, hash from the anchor on, hash of the whole."""
+def runs_of(data: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]] | None:
+    """Runs of windows in some documents: first window, number of windows, document, and the keys of RUNS up to `back`."""
     long = np.diff(doc_start)
-    none = np.zeros(0, np.int64)
     if not len(long) or long.max() < WINDOW:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return None
     prefixes = Prefixes(data)
     at = np.arange(len(data) - GRAM + 1)
     # the upper half of a gram's hash, then its place: the least is the leftmost of the least hashes
@@ -89,9 +91,15 @@ def runs_of(data: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.nda
     begin = np.flatnonzero(fresh)
     n = np.diff(np.append(begin, len(start)))
     first, anchor = start[begin], anchor[begin]
+    back = anchor - first
     lead = prefixes.of(anchor, anchor + WINDOW - REACH)
-    full = mix(prefixes.of(first, first + n - 1 + WINDOW) + mix((anchor - first).astype(np.uint64) * U(256) + n.astype(np.uint64)))
-    return first, n, doc[begin], lead, full
+    full = mix(prefixes.of(first, first + n - 1 + WINDOW) + mix(back.astype(np.uint64) * U(256) + n.astype(np.uint64)))
+    keys = [lead.view(np.int64), full.view(np.int64)]
+    for i in range(PARTS):
+        held = (back >= PART * i) & (back - n + 1 < PART * (i + 1))
+        at = np.where(held, anchor - PART * i, first)
+        keys.append((prefixes.of(at, at + WINDOW - PART + 1) >> U(33)).astype(np.int32))
+    return first, n, doc[begin], [*keys, back.astype(np.int32)]
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +130,11 @@ class _Ids:
         self.ids = np.array(ids.fill_null(0))
         self.texts = np.array(batch.column("text_hash"))
 
-    def rows(self, own: np.ndarray, keys: list[np.ndarray] | None, width: int, copies: np.ndarray, start: np.ndarray, n: np.ndarray, names: str) -> pa.RecordBatch:
+    def rows(self, own: np.ndarray, keys: list[np.ndarray] | None, copies: np.ndarray, start: np.ndarray, n: np.ndarray, names: str) -> pa.RecordBatch:
         """Rows of suffixes or runs, or (without keys) of windows known to be repeated."""
-        words = [pa.nulls(len(own), pa.int64())] * width if keys is None else [pa.array(k.view(np.int64)) for k in keys]
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        fields = [c.split() for c in names.split(", ")][:-5]
+        words = [pa.nulls(len(own), kinds[kind]) for _, kind in fields] if keys is None else [pa.array(k, kinds[kind]) for k, (_, kind) in zip(keys, fields)]
         rest = [pa.array(copies.astype(np.int32)), pa.array(self.ids[own], mask=self.null[own]), pa.array(self.texts[own]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
         return pa.RecordBatch.from_arrays(words + rest, [c.split()[0] for c in names.split(", ")])
 
@@ -134,21 +144,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = _Ids(batch)
         for block in blocks(batch.column("text")):
-            first, n, doc, lead, full = runs_of(block.data, block.doc_start)
-            if not len(first):
+            runs = runs_of(block.data, block.doc_start)
+            if runs is None:
                 continue
-            new, copies = _grouped(full)
+            first, n, doc, keys = runs
+            new, copies = _grouped(keys[1])
             own, start = doc + block.first_doc, first - block.doc_start[doc]
-            yield ids.rows(own[new], [lead[new], full[new]], 2, copies[new], start[new], n[new], RUNS)
+            yield ids.rows(own[new], [k[new] for k in keys], copies[new], start[new], n[new], RUNS)
             if not new.all():
                 again, begin, many = _merged(own[~new], start[~new], n[~new])
-                yield ids.rows(again, None, 2, np.full(len(again), 2), begin, many, RUNS)
+                yield ids.rows(again, None, np.full(len(again), 2), begin, many, RUNS)
 
 
 def words_of(data: np.ndarray, start: np.ndarray, prefixes: Prefixes) -> list[np.ndarray]:
     """The two leading words of suffixes, in an order as signed numbers, and a hash of the rest of their windows."""
     lead = [data[start[:, None] + np.arange(k, k + 8)].copy().view(">u8").ravel().astype(np.uint64) ^ U(1 << 63) for k in (0, 8)]
-    return [*lead, prefixes.of(start + 16, start + WINDOW)]
+    return [w.view(np.int64) for w in (*lead, prefixes.of(start + 16, start + WINDOW))]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +178,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start, *words = (np.concatenate(c) for c in zip(*parts))
         new, copies = _grouped(np.stack(words, axis=1))
         one = np.ones(len(own), dtype=np.int64)
-        yield ids.rows(own[new], [w[new] for w in words], 3, copies[new], start[new], one[new], SUFFIXES)
+        yield ids.rows(own[new], [w[new] for w in words], copies[new], start[new], one[new], SUFFIXES)
         if not new.all():
             again, begin, many = _merged(own[~new], start[~new], one[~new])
-            yield ids.rows(again, None, 3, np.full(len(again), 2), begin, many, SUFFIXES)
+            yield ids.rows(again, None, np.full(len(again), 2), begin, many, SUFFIXES)
 
 
 def multikey_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,11 +226,26 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = again[[0, len(order) - 1]] if len(order) > 1 else again[:1]
     for rows, flag in ((pick, None), (border, known)):
         part = table.select(["w0", "w1", "w2", "doc_id", "text_hash", "start", "n"]).take(pa.array(rows))
+        if flag is None:  # their words are of no use any more
+            for k, name in enumerate(("w0", "w1", "w2")):
+                part = part.set_column(k, name, pa.nulls(len(rows), pa.int64()))
         part = part.append_column("border", pa.array(np.full(len(rows), flag is not None)))
         part = part.append_column("times", pa.array(np.ones(len(rows), np.int32) if flag is None else np.where(flag, 2, 1).astype(np.int32)))
         yield from part.combine_chunks().to_batches()
 
 
+def _edges(again: DataFrame) -> DataFrame:
+    """doc_id, text_hash, span (256 * first window + number of windows): windows of edges that another run may hold too."""
+    parts = [F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(PARTS)]
+    rows = again.select("lead", "back", "doc_id", "text_hash", "start", "n", F.explode(F.array(*parts)).alias("p")).select("*", "p.i", "p.k")
+    low = F.greatest(F.lit(0), F.col("back") - PART * F.col("i") - (PART - 1))
+    high = F.least(F.col("n") - 1, F.col("back") - PART * F.col("i"))
+    rows = rows.withColumn("low", low).withColumn("high", high).where("high >= low")
+    met = rows.groupBy("lead", "i", "k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    span = (F.col("start").cast("long") + F.col("low")) * 256 + F.col("high") - F.col("low") + 1
+    return rows.join(met, ["lead", "i", "k"], "left_semi").select("doc_id", "text_hash", span.alias("span"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, n: the n windows from byte `start` on occur elsewhere too (docs: doc_id, text_hash, text)."""
     spark = docs.sparkSession
@@ -228,11 +254,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = [runs.where("lead is null").select(place)]
     runs = runs.where("lead is not null")
     leads = runs.groupBy("lead").agg(F.sum("copies").alias("c"), (F.min("full") != F.max("full")).alias("mixed")).where("c > 1").select("lead", "mixed")
-    fulls = runs.groupBy("full").agg(F.sum("copies").alias("c"), F.min(F.struct("doc_id", "text_hash", "start")).alias("one")).where("c > 1").select("full", "one")
+    place_hash = F.xxhash64("doc_id", "text_hash", "start")
+    fulls = runs.groupBy("full").agg(F.sum("copies").alias("c"), F.min(place_hash).alias("one")).where("c > 1").select("full", "one")
     again = materialise(runs.join(leads, "lead").join(fulls, "full", "left"), "op11-again")
     found.append(again.where("one is not null").select(place))
-    edges = again.where(F.col("mixed") & (F.col("one").isNull() | F.struct("doc_id", "text_hash", "start").eqNullSafe(F.col("one"))))
-    spans = edges.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.col("start").cast("long") * 256 + F.col("n")).alias("spans"))
+    edges = _edges(again.where(F.col("mixed") & (F.col("one").isNull() | (F.col("one") == place_hash))))
+    spans = edges.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("span").alias("spans"))
     texts = docs.select("doc_id", "text_hash", squeeze("text").alias("text"))
     met = texts.join(spans, texts["doc_id"].eqNullSafe(spans["_id"]) & (texts["text_hash"] == spans["_hash"])).select("doc_id", "text_hash", "text", "spans")
     suffixes = materialise(met.mapInArrow(_suffixes, SUFFIXES), "op11-suffixes")
