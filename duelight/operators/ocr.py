@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duelight.functions.text import iou
+
 LEAST_CONFIDENCE, SURE_CHARS, SURE_CONFIDENCE, SAME_BOX = 0.4, 120, 0.6, 0.5
 ANGLES = (0, 180, 90, 270)
 
@@ -26,35 +28,87 @@ def best_rotation(stats: DataFrame) -> DataFrame:
     return tried.groupBy("doc_id", "page").agg(F.max_by("angle", F.struct("chars", -F.col("place"))).alias("angle"))
 
 
-def _iou(a, b) -> float:
-    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-    inner = max(w, 0.0) * max(h, 0.0)
-    union = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - inner
-    return inner / union if union > 0 else 0.0
-
-
-def _fold(page: pd.DataFrame) -> pd.DataFrame:
-    """One page: the second pass merged into the first in order, then lines from the top, each from the left."""
-    kept = list(page[page["pass"] == "primary"].sort_values("ord").itertuples(index=False))
-    for t in page[page["pass"] != "primary"].sort_values("ord").itertuples(index=False):
-        at = next((i for i, k in enumerate(kept) if _iou(k, t) >= SAME_BOX), None)
-        if at is None:
-            kept.append(t)
-        elif t.conf > kept[at].conf:
-            kept[at] = t
-    heights = sorted(t.y1 - t.y0 for t in kept)
-    room = 0.6 * heights[len(heights) // 2] if heights else 0.0
-    lines: list[list] = []
-    for t in sorted(kept, key=lambda t: (t.y0 + t.y1) / 2):
-        middle = (t.y0 + t.y1) / 2
-        if lines and abs(middle - (lines[-1][0].y0 + lines[-1][0].y1) / 2) <= room:
-            lines[-1].append(t)
-        else:
-            lines.append([t])
-    rows = [(t.doc_id, t.page, n, k, t.text, float(t.conf)) for n, line in enumerate(lines) for k, t in enumerate(sorted(line, key=lambda t: t.x0))]
-    return pd.DataFrame(rows, columns=["doc_id", "page", "line", "place", "text", "conf"])
+PAGE = ["doc_id", "page"]
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _level(box: Column) -> Column:
+    """The least power of two that a box's longer side fits into."""
+    return F.ceil(F.log2(F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]))).cast("int")
+
+
+def overlapping(tokens: DataFrame) -> DataFrame:
+    """doc_id, page, tid, other, other_conf: tokens of the second pass with each earlier token of their page that they overlap by SAME_BOX.
+
+    Two such boxes differ by a factor of two at most in either side, and their centres
+    lie apart by half the smaller one at most. So a box goes into one cell, that of its
+    centre in a grid as wide as itself; it is looked up from the cells within half a
+    width of its centre, of its own grid and the next finer and coarser one.
+    """
+    box = F.struct(*BOX)
+    sized = tokens.where("x1 > x0 and y1 > y0").select(*PAGE, "tid", "conf", (F.col("pass") != "primary").alias("second"), box.alias("box"))
+    x, y = (F.col("box.x0") + F.col("box.x1")) / 2, (F.col("box.y0") + F.col("box.y1")) / 2
+    sized = sized.withColumn("level", _level(F.col("box")))
+    cell = lambda c, width: F.floor(c / width)
+    own = F.pow(F.lit(2.0), F.col("level"))
+    held = sized.select(*PAGE, F.col("tid").alias("other"), F.col("conf").alias("other_conf"), F.col("box").alias("other_box"), "level", cell(x, own).alias("cx"), cell(y, own).alias("cy"))
+    asked = sized.where("second").withColumn("level", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])))
+    near = lambda c: F.array_distinct(F.array(cell(c - own / 2, own), cell(c + own / 2, own)))
+    asked = asked.withColumn("cx", F.explode(near(x))).withColumn("cy", F.explode(near(y))).drop("conf", "second")
+    met = asked.join(held, [*PAGE, "level", "cx", "cy"]).where("other < tid").where(iou(F.col("box"), F.col("other_box")) >= SAME_BOX)
+    return met.select(*PAGE, "tid", "other", "other_conf")
+
+
+def merge_passes(tokens: DataFrame) -> DataFrame:
+    """tokens of both passes that stay, with the place `slot` in which each stands (JN-08).
+
+    The second pass is merged in order: a token that overlaps one in place takes the place
+    of the first such one if it is surer, and is dropped if not; others come after all.
+    Only tokens that overlap an earlier one are taken in turn, over what they overlap,
+    so a page's turn is as long as its contested tokens. A token without an area overlaps none.
+    """
+    at = W.partitionBy(*PAGE).orderBy(F.col("pass") != "primary", "ord", *BOX, "text", "conf")
+    rows = tokens.withColumn("tid", F.row_number().over(at))
+    pairs = overlapping(rows)
+    steps = pairs.groupBy(*PAGE, "tid").agg(F.collect_set("other").alias("others")).join(rows.select(*PAGE, "tid", "conf"), [*PAGE, "tid"])
+    steps = steps.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("tid", "conf", "others"))).alias("steps"))
+    first = pairs.groupBy(*PAGE).agg(F.collect_set(F.struct(F.col("other").alias("slot"), F.col("other").alias("tid"), F.col("other_conf").alias("conf"))).alias("first"))
+    both = steps.join(first, PAGE)
+    step_ids = F.transform("steps", lambda s: s["tid"])
+    start = F.filter("first", lambda h: ~F.array_contains(step_ids, h["tid"]))
+
+    def turn(held: Column, step: Column) -> Column:
+        hit = F.array_min(F.filter(held, lambda h: F.array_contains(step["others"], h["tid"])))
+        entry = lambda slot: F.array(F.struct(slot.alias("slot"), step["tid"].alias("tid"), step["conf"].alias("conf")))
+        surer = F.concat(F.filter(held, lambda h: h["slot"] != hit["slot"]), entry(hit["slot"]))
+        return F.when(hit.isNull(), F.concat(held, entry(step["tid"]))).when(step["conf"] > hit["conf"], surer).otherwise(held)
+
+    fixed = both.select(*PAGE, F.aggregate("steps", start, turn).alias("held"), F.array_union(step_ids, F.transform("first", lambda h: h["tid"])).alias("contested"))
+    slot = F.get(F.filter("held", lambda h: h["tid"] == F.col("tid")), 0)["slot"]
+    met = rows.join(fixed, PAGE, "left")
+    free = ~F.coalesce(F.array_contains("contested", F.col("tid")), F.lit(False))
+    return met.withColumn("slot", F.when(free, F.col("tid")).otherwise(slot)).where("slot is not null").drop("tid", "held", "contested")
+
+
+def reading_order(tokens: DataFrame) -> DataFrame:
+    """doc_id, page, line, place, text, conf of tokens (with `slot`): lines from the top, each from the left (WIN-05).
+
+    From the top down, a token whose middle is over 60% of the page's median height below
+    that of its line's first token begins a line. One without a box ends the page.
+    """
+    middle = (F.col("y0") + F.col("y1")) / 2
+    rows = tokens.withColumn("middle", middle)
+    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.col("y1") - F.col("y0"))).alias("heights"), F.array_sort(F.collect_set("middle")).alias("middles"))
+    room = 0.6 * F.greatest(F.lit(1.0), F.get("heights", F.floor(F.size("heights") / 2).cast("int")))
+    begins = lambda acc, y: F.when((F.size(acc) == 0) | (y - F.get(acc, F.size(acc) - 1) > F.col("room")), F.concat(acc, F.array(y))).otherwise(acc)
+    lines = pages.withColumn("room", room).select(*PAGE, F.aggregate("middles", F.array().cast("array<double>"), begins).alias("lines"))
+    line = F.coalesce(F.size(F.filter("lines", lambda y: y <= F.col("middle"))) - 1, F.size("lines"))
+    line = F.when(F.col("middle").isNull(), F.size("lines")).otherwise(line)
+    placed = rows.join(lines, PAGE).withColumn("line", line)
+    place = F.row_number().over(W.partitionBy(*PAGE, "line").orderBy(F.col("x0").asc_nulls_last(), "middle", "slot")) - 1
+    return placed.select(*PAGE, "line", place.alias("place"), "text", F.col("conf").cast("double").alias("conf"))
 
 
 def fold_pages(tokens: DataFrame) -> DataFrame:
-    """Merged tokens of each page in reading order (JN-08, WIN-05, UDF-02); a page is a bounded group."""
-    return tokens.groupBy("doc_id", "page").applyInPandas(_fold, "doc_id long, page int, line int, place int, text string, conf double")
+    """Both passes of each page merged, in reading order (JN-08, WIN-05, UDF-02)."""
+    return reading_order(merge_passes(tokens))
