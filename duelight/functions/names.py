@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +35,45 @@ def seq_ratio(a: Column, b: Column) -> Column:
     return _ratio(a, b)
 
 
-def _bounded_ratio(a: Column, b: Column, least: float, open_: Column) -> Column:
-    """Is the ratio at least `least`? Asked only where still open and the lengths allow it."""
-    can = open_ & (2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)))
-    return F.coalesce(seq_ratio(F.when(can, a), F.when(can, b)) >= least, F.lit(False))
+#: What cleaned names consist of.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def shared_letters(a: Column, b: Column) -> Column:
+    """Letters of ALPHABET that two strings have in common, copies counted: no alignment matches more."""
+    count = lambda c, letter: F.length(c) - F.length(F.replace(c, F.lit(letter), F.lit("")))
+    return reduce(lambda x, y: x + y, [F.least(count(a, letter), count(b, letter)) for letter in ALPHABET])
+
+
+@dataclass
+class Question:
+    """A verdict, null where it takes a ratio of `left` and `right` (null elsewhere) of at least `least`, or where nothing can be compared."""
+
+    known: Column
+    left: Column
+    right: Column
+    least: float
+
+
+def _question(a: Column, b: Column, least: float, open_: Column, known: Column) -> Question:
+    """Open only where the lengths, and then the letters in common, allow the ratio; equal strings need none."""
+    need = least * (F.length(a) + F.length(b))
+    can = F.when(~open_, False).when(2 * F.least(F.length(a), F.length(b)) < need, False).when(a == b, False).otherwise(2 * shared_letters(a, b) >= need)
+    can = F.coalesce(can, F.lit(False))
+    return Question(F.when(~can, F.when(open_ & (a == b), True).otherwise(known)), F.when(can, a), F.when(can, b), least)
+
+
+def decide(rows: DataFrame, out: str, question: Question) -> DataFrame:
+    """rows with the verdict as `out`. Only rows whose verdict is open pass through Python; they are split off, so rows should be cheap to read twice."""
+    marked = rows.withColumns({out: question.known, "_left": question.left, "_right": question.right})
+    settled, open_ = marked.where("_left is null"), marked.where("_left is not null")
+    open_ = open_.withColumn(out, seq_ratio(F.col("_left"), F.col("_right")) >= question.least)
+    return settled.unionByName(open_).drop("_left", "_right")
+
+
+def _answered(question: Question) -> Column:
+    """The verdict as a column, for plans that cannot split their rows: all of them pass Python's matcher, settled ones as nulls."""
+    return F.when(question.left.isNull(), question.known).otherwise(seq_ratio(question.left, question.right) >= question.least)
 
 
 def _words(c: Column, pattern: str) -> Column:
@@ -62,15 +100,18 @@ def token_match(entity: Column, target: Column) -> Column:
     return F.coalesce(named & ((normalize(entity) == normalize(target)) | several | single), F.lit(False))
 
 
-def name_match(a: Column, b: Column) -> Column:
+def match_question(a: Column, b: Column) -> Question:
     """Same name by 60% of its tokens, else by a ratio of 0.85; null if a side has nothing to compare (STR-04)."""
     parts = lambda c: F.array_distinct(F.filter(_words(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", " "), r"[^\s]+"), lambda w: ~w.isin(*NOISE)))
     sa, sb = parts(a), parts(b)
     share = F.size(F.array_intersect(sa, sb)) / F.greatest(F.size(sa), F.size(sb))
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", ""), r"\s+", " "))
     some = (F.size(sa) > 0) & (F.size(sb) > 0)
-    near = _bounded_ratio(clean(a), clean(b), 0.85, F.coalesce(some & (share < 0.6), F.lit(False)))
-    return F.when(some, (share >= 0.6) | near)
+    return _question(clean(a), clean(b), 0.85, F.coalesce(some & (share < 0.6), F.lit(False)), F.when(some, share >= 0.6))
+
+
+def name_match(a: Column, b: Column) -> Column:
+    return _answered(match_question(a, b))
 
 
 def name_parts(c: Column) -> Column:
@@ -81,7 +122,7 @@ def name_parts(c: Column) -> Column:
     return F.array_distinct(_words(c, r"[^\s]+"))
 
 
-def names_agree(a: Column, b: Column) -> Column:
+def agree_question(a: Column, b: Column) -> Question:
     """Agreement of two names with initials standing for words (STR-05); null if a side is empty."""
     sa, sb = name_parts(a), name_parts(b)
     initial = lambda t: F.length(t) == 1
@@ -96,5 +137,13 @@ def names_agree(a: Column, b: Column) -> Column:
     agree = ((F.size(shared) >= 2) & full) | ((F.least(F.size(sa), F.size(sb)) == 1) & (F.size(shared) > 0))
     some = (F.size(sa) > 0) & (F.size(sb) > 0)
     text = lambda s: F.array_join(F.array_sort(s), " ")
-    near = _bounded_ratio(text(sa), text(sb), 0.8, F.coalesce(some & ~apart & ~agree, F.lit(False)))
-    return F.when(some, ~apart & (agree | near))
+    return _question(text(sa), text(sb), 0.8, F.coalesce(some & ~apart & ~agree, F.lit(False)), F.when(some, ~apart & agree))
+
+
+def names_agree(a: Column, b: Column) -> Column:
+    return _answered(agree_question(a, b))
+
+
+def split_by(rows: DataFrame, out: str, question: Callable[[Column, Column], Question], a: str, b: str) -> DataFrame:
+    """`decide` over two columns of rows."""
+    return decide(rows, out, question(F.col(a), F.col(b)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelight.functions.text import clean_party, normalize, strip_honorifics
-from duelight.operators.match import screen_names
+from duelight.operators.match import TOGETHER, screen_names, split_hot
 
 
 def screening_names(entity: DataFrame) -> DataFrame:
@@ -39,11 +39,12 @@ def screen_cases(names: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFra
     return hits, rejected
 
 
-def holding(names: DataFrame, sides: DataFrame, width: int = 4) -> DataFrame:
+def holding(names: DataFrame, sides: DataFrame, width: int = 4, together: int = TOGETHER) -> DataFrame:
     """vendor_id, name, case_id, once each, of cases with a party text that holds a whole name of `width` letters or more.
 
     Names meet texts at one run of `width` letters: of a name's runs the one that
-    fewest texts hold. A name with a run that no text holds meets none.
+    fewest texts hold. A name with a run that no text holds meets none. Texts of a run that
+    more than `together` of them hold are split over tasks.
     """
     runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - width + 1), lambda i: F.substring(c, i, F.lit(width))))
     flat = lambda c: F.upper(F.trim(c))
@@ -52,7 +53,8 @@ def holding(names: DataFrame, sides: DataFrame, width: int = 4) -> DataFrame:
     own = names.select("vendor_id", "name", flat(F.col("name")).alias("flat")).where(F.length("flat") >= width).distinct()
     each = own.withColumn("run", F.explode(runs(F.col("flat")))).join(held, "run", "left")
     anchor = each.groupBy("vendor_id", "name", "flat").agg(F.min_by("run", F.struct(F.coalesce("df", F.lit(0)), "run")).alias("run"), F.count_if(F.col("df").isNull()).alias("lacking"))
-    met = anchor.where("lacking = 0").join(texts, "run").where(F.contains("text", F.col("flat")))
+    texts, anchor = split_hot(texts, anchor.where("lacking = 0"), held, "run", "case_id", together)
+    met = anchor.join(texts, ["run", "salt"]).where(F.contains("text", F.col("flat")))
     return met.select("vendor_id", "name", "case_id").distinct()
 
 

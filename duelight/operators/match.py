@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelight.functions.names import names_agree, name_match, significant, tokens
+from duelight.functions.names import agree_question, match_question, significant, split_by, tokens
 from duelight.functions.text import normalize
 
 
-def screen_names(entities: DataFrame, listed: DataFrame, salt: int = 1) -> DataFrame:
+#: Postings of one key that are dealt out together; more are split.
+TOGETHER = 20_000
+
+
+def split_hot(postings: DataFrame, probes: DataFrame, held: DataFrame, key: str, owner: str, together: int) -> tuple[DataFrame, DataFrame]:
+    """postings and probes with a `salt` that spreads each key of over `together` postings (by held: key, df) over as many tasks as it needs.
+
+    Only probes of such keys are repeated. Hot keys are few (the postings divided by
+    `together` at most); how their table is joined is left to the planner, which knows its size.
+    """
+    hot = held.where(F.col("df") > together).select(key, F.ceil(F.col("df") / together).cast("int").alias("n_salt"))
+    postings = postings.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(owner), F.col("n_salt")).cast("int"), F.lit(0))).drop("n_salt")
+    probes = probes.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("n_salt", F.lit(1)) - 1))).drop("n_salt")
+    return postings, probes
+
+
+def screen_names(entities: DataFrame, listed: DataFrame, together: int = TOGETHER) -> DataFrame:
     """entity_id, list_id pairs whose names match by whole tokens (JN-03).
 
     An inverted index replaces the comparison of all pairs. Names of two significant
@@ -17,8 +33,8 @@ def screen_names(entities: DataFrame, listed: DataFrame, salt: int = 1) -> DataF
     commonest token: only those are looked up, and the commonest one just verifies.
     Single-token names need a short listed name; equal names always match. A pair is
     given once, at its rarest common token, and verified there with the tokens that
-    both sides carry. `salt` spreads the postings of each listed token over so many
-    tasks, for tokens that a large share of the list holds.
+    both sides carry. Postings of a token that more than `together` listed names hold are
+    split by its own frequency; those of others stay whole.
     """
     own = entities.select("entity_id", normalize(F.col("name")).alias("flat"), significant(F.col("name")).alias("toks")).where("flat <> ''")
     other = listed.select("list_id", normalize(F.col("name")).alias("flat"), F.array_distinct(tokens(F.col("name"))).alias("toks"), F.size(F.array_distinct(significant(F.col("name")))).alias("n_significant")).where("flat <> ''")
@@ -31,22 +47,18 @@ def screen_names(entities: DataFrame, listed: DataFrame, salt: int = 1) -> DataF
     n_probe = F.when(F.size("toks") == 1, 1).otherwise(F.size("r") - 1)
     probe = F.array_distinct(F.transform(F.slice("r", F.lit(1), n_probe), lambda r: r["tok"]))
     a = ranked.select("entity_id", "toks", probe.alias("probe")).withColumn("tok", F.explode("probe"))
-    keys = ["tok"]
-    if salt > 1:
-        a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        b = b.withColumn("salt", F.pmod(F.xxhash64("list_id"), F.lit(salt)).cast("int"))
-        keys.append("salt")
+    b, a = split_hot(b, a, held, "tok", "list_id", together)
     hits = F.size(F.filter("toks", lambda w: F.array_contains("listed", w)))
     rarest = F.get(F.filter("probe", lambda w: F.array_contains("listed", w)), 0)
     enough = ((F.size("toks") >= 2) & (hits >= 2)) | ((F.size("toks") == 1) & (F.col("n_significant") <= 3))
-    by_tokens = a.join(b, keys).where((rarest == F.col("tok")) & enough).select("entity_id", "list_id")
+    by_tokens = a.join(b, ["tok", "salt"]).where((rarest == F.col("tok")) & enough).select("entity_id", "list_id")
     equal = own.join(other.select("list_id", "flat"), "flat").select("entity_id", "list_id")
     return by_tokens.union(equal).distinct()
 
 
 def match_any(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """vendor_id, matched: does a vendor's name match any candidate? Null if nothing could be compared (JN-07)."""
-    pairs = names.join(candidates, "vendor_id", "left").withColumn("same", name_match(F.col("name"), F.col("candidate")))
+    pairs = split_by(names.join(candidates, "vendor_id", "left"), "same", match_question, "name", "candidate")
     return pairs.groupBy("vendor_id").agg(F.bool_or("same").alias("matched"))
 
 
@@ -55,8 +67,8 @@ def dismiss_namesakes(hits: DataFrame) -> DataFrame:
     pans = F.array_distinct(F.flatten(F.transform("own_ids", lambda t: F.concat(F.regexp_extract_all(t, F.lit(r"\b\d{2}([A-Z]{5}[0-9]{4}[A-Z])\d[A-Z\d]{2}\b"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"), F.lit(1))))))
     rows = hits.withColumn("pans", pans)
     other_id = (F.size("pans") > 0) & F.col("vendor_pan").isNotNull() & ~F.array_contains("pans", F.upper("vendor_pan"))
-    agree = names_agree(F.col("entity_name"), F.col("matched_name"))
-    return rows.withColumn("agree", agree).withColumn("reason", F.when(F.coalesce(other_id, F.lit(False)), "another id").when(~F.col("agree"), "another name")).drop("agree")
+    rows = split_by(rows, "agree", agree_question, "entity_name", "matched_name")
+    return rows.withColumn("reason", F.when(F.coalesce(other_id, F.lit(False)), "another id").when(~F.col("agree"), "another name")).drop("agree")
 
 
 def merge_registrations(by_pan: DataFrame, details: DataFrame) -> DataFrame:

@@ -232,7 +232,7 @@ def screened_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-03: parts against the list of distinct names by an inverted index."""
     parts = table(spark, sf_dir, "part")
     listed = parts.select(text.normalize(F.col("p_name")).alias("list_id")).distinct().withColumn("name", F.col("list_id"))
-    return match.screen_names(parts.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")), listed, salt=4)
+    return match.screen_names(parts.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")), listed)
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,5 +391,6 @@ def agreeing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-04, STR-05, UDF-01: names of parts of one brand, type and size, each with the brand's first."""
     p = table(spark, sf_dir, "part")
     first = p.groupBy("p_brand", "p_type", "p_size").agg(F.min_by("p_name", "p_partkey").alias("first_name"))
-    rows = p.join(first, ["p_brand", "p_type", "p_size"])
-    return rows.select("p_partkey", names.name_match(F.col("p_name"), F.col("first_name")).alias("same_name"), names.names_agree(F.col("p_name"), F.col("first_name")).alias("agree"))
+    rows = p.join(first, ["p_brand", "p_type", "p_size"]).select("p_partkey", "p_name", "first_name")
+    rows = names.split_by(rows, "same_name", names.match_question, "p_name", "first_name")
+    return names.split_by(rows, "agree", names.agree_question, "p_name", "first_name").select("p_partkey", "same_name", "agree")

@@ -1,6 +1,9 @@
 """Golden cases of column functions; names and numbers are invented."""
 
 import datetime as dt
+import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +142,56 @@ def test_small_functions(spark):
     assert one(spark, text.display_address, "Block: -, City: Alpha, State: Beta") == "Alpha, Beta"
     assert one(spark, text.location, "Plot 1, Alphatown, Beta State 600001") == "Alphatown, Beta State"
     assert one(spark, text.location, "City: alpha State: beta PIN: 1") == "Alpha, Beta"
+
+
+def plain_match(a, b):
+    parts = lambda s: {w for w in re.sub(r"[^a-z0-9 ]", " ", s.lower()).split() if w not in names.NOISE}
+    sa, sb = parts(a), parts(b)
+    if not sa or not sb:
+        return None
+    clean = lambda s: " ".join(re.sub(r"[^a-z0-9 ]", "", s.lower()).split())
+    return len(sa & sb) / max(len(sa), len(sb)) >= 0.6 or SequenceMatcher(None, clean(a), clean(b)).ratio() >= 0.85
+
+
+def plain_agree(a, b):
+    def parts(s):
+        s = re.sub(r"^\s*m\s*/?\s*s\.?\s+", "", s.lower())
+        s = re.sub(r"\b(private|pvt|limited|ltd|llp|co|company|and|&)\b\.?", " ", s)
+        return set(re.sub(r"[^a-z0-9 ]", "", s.replace(".", " ")).split())
+
+    sa, sb = parts(a), parts(b)
+    if not sa or not sb:
+        return None
+    shared, lost = sa & sb, False
+    for x, y in ((sa, sb), (sb, sa)):
+        begins = {t[0] for t in y if len(t) > 1}
+        for t in x:
+            if len(t) == 1:
+                shared |= {t} & begins
+                lost |= t not in begins and t not in y
+    long = [{t for t in s if len(t) > 1} for s in (sa, sb)]
+    if lost and long[0] and long[0] == long[1]:
+        return False
+    if len(shared) >= 2 and any(len(t) > 1 for t in shared) or min(len(sa), len(sb)) == 1 and shared:
+        return True
+    return SequenceMatcher(None, " ".join(sorted(sa)), " ".join(sorted(sb))).ratio() >= 0.8
+
+
+def test_names_equal_plain_matching_and_few_reach_python(spark):
+    """Both matchers against difflib on all pairs of garbled names; rows whose letters settle the ratio never reach Python."""
+    rng = random.Random(4)
+    words = ["asha", "traders", "quill", "forge", "m", "a.b.", "rose", "mills", "pvt", "ltd", "kumar", "k", "engineering", "&", "works", "rosé"]
+    some = ["", "  ", "LTD", None] + [" ".join(rng.choices(words, k=rng.randrange(1, 5))) for _ in range(60)]
+    some += ["".join(rng.choice("aeiou?") if rng.random() < 0.15 else c for c in n) for n in some[4:40]]
+    pairs = [(x, y) for x in some for y in some]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for question, plain in ((names.match_question, plain_match), (names.agree_question, plain_agree)):
+        got = names.split_by(df, "v", question, "a", "b").collect()
+        assert len(got) == len(pairs)
+        for r in got:
+            assert r.v is (None if r.a is None or r.b is None else plain(r.a, r.b)), (r.a, r.b)
+        reach = df.where(question(F.col("a"), F.col("b")).left.isNotNull()).count()
+        able = sum(x is not None and y is not None and plain(x, y) is not None for x, y in pairs)
+        assert 0 < reach < 0.1 * able
+    plan = names.split_by(df, "v", names.match_question, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" in plan

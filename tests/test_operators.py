@@ -1,12 +1,13 @@
 """Operators on small tables, and registered queries against their SQL."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from duelight.operators import classify, extract, filings, match, ocr, registry, resolve, review, score, screening
+from duelight.operators import cases, classify, extract, filings, match, ocr, registry, resolve, review, score, screening
 from duelight.plans import analogues, assessments, catalog  # noqa: F401
 from duelight.sources import io
 
@@ -69,7 +70,7 @@ def test_screening_index_equals_all_pairs(spark, sf):
     from duelight.functions.names import token_match
 
     want = a.crossJoin(b.withColumnRenamed("name", "other")).where(token_match(F.col("name"), F.col("other"))).select("entity_id", "list_id")
-    assert rows_of(match.screen_names(a, b, salt=3)) == rows_of(want)
+    assert rows_of(match.screen_names(a, b)) == rows_of(match.screen_names(a, b, together=2)) == rows_of(want)
 
 
 def test_classification(spark):
@@ -205,6 +206,71 @@ def test_traces_of_other_vendors_stay(spark, tmp_path):
     assert {r.vendor_id for r in spark.read.json(str(tmp_path / "traces")).collect()} == {1, 2}
 
 
+def test_hot_tokens_and_runs_are_split(spark):
+    """A token in a third of all names, and a run in a third of all texts: no part of their postings is over three times the median part."""
+    listed = spark.range(1000, 4000).select(F.col("id").alias("list_id"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("rosewood w"), F.col("id"))).otherwise(F.concat(F.lit("v"), F.col("id"), F.lit(" u"), F.col("id"))).alias("name"))
+    postings = listed.select("list_id", F.explode(F.split("name", " ")).alias("tok"))
+    held = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    hot, probes = match.split_hot(postings, held.select("tok"), held, "tok", "list_id", 100)
+    parts = sorted(r["count"] for r in hot.where("tok = 'rosewood'").groupBy("salt").count().collect())
+    assert len(parts) == 10 and parts[-1] <= 3 * parts[5]
+    assert probes.where("tok = 'rosewood'").count() == 10 and probes.where("tok = 'v1001'").count() == 1
+    firms = spark.createDataFrame([(1, "rosewood w1003"), (2, "w1009 rosewood"), (3, "rosewood"), (4, "v1001 u1001")], "entity_id int, name string")
+    want = {(1, 1003), (2, 1009), (4, 1001)} | {(3, k) for k in range(1000, 4000, 3)}
+    assert {tuple(r) for r in match.screen_names(firms, listed, together=100).collect()} == want
+    sides = listed.select(F.col("list_id").alias("case_id"), F.col("name").alias("text"))
+    names = spark.createDataFrame([(1, "rosewood"), (2, "od w103"), (3, "absent"), (4, "u129")], "vendor_id int, name string")
+    got = {(r.vendor_id, r.case_id) for r in cases.holding(names, sides, together=100).collect()}
+    texts = {r.case_id: r.text.upper() for r in sides.collect()}
+    assert got == {(v, c) for v, n in names.collect() for c, t in texts.items() if n.upper() in t}
+
+
+def fold(page):
+    """One page merged and put in order token by token, as read."""
+    def over(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        inner = max(w, 0) * max(h, 0)
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inner
+        return inner / union if inner and union > 0 else 0
+
+    kept = [t for t in page if t[0] == "primary"]
+    for t in (t for t in page if t[0] != "primary"):
+        at = next((k for k, o in enumerate(kept) if over(o[2:6], t[2:6]) >= 0.5), None)
+        if at is None:
+            kept.append(t)
+        elif t[7] > kept[at][7]:
+            kept[at] = t
+    heights = sorted(t[5] - t[3] for t in kept)
+    room, lines = 0.6 * max(1.0, heights[len(heights) // 2]), []
+    middle = lambda t: (t[3] + t[5]) / 2
+    for t in sorted(kept, key=lambda t: (middle(t), t[2])):
+        if lines and middle(t) - middle(lines[-1][0]) <= room:
+            lines[-1].append(t)
+        else:
+            lines.append([t])
+    return [(n, k, t[6], t[7]) for n, line in enumerate(lines) for k, t in enumerate(sorted(line, key=lambda t: t[2]))]
+
+
+def test_pages_equal_the_fold(spark):
+    """Random pages of crowded boxes in both passes, some of no area, against the fold in order."""
+    rng = random.Random(11)
+    pages, rows = {}, []
+    for page in range(40):
+        own = pages[page] = []
+        for ord_ in range(rng.randrange(1, 40)):
+            x, y, w, h = rng.randrange(0, 60) * 1.0, rng.randrange(0, 40) * 1.0, rng.choice([0, 3, 8, 16, 31]) * 1.0, rng.choice([1, 4, 9]) * 1.0
+            own.append((rng.choice(["primary", "second"]), ord_, x, y, x + w, y + h, f"t{ord_}", rng.randrange(5) / 4))
+        rows += [(page // 7, page % 7, *t, "clash") for t in own]
+    df = spark.createDataFrame(rows, "doc_id long, page int, pass string, ord int, x0 double, y0 double, x1 double, y1 double, text string, conf double, level string").repartition(5)
+    got = {}
+    for r in ocr.fold_pages(df).collect():
+        got.setdefault(r.doc_id * 7 + r.page, []).append((r.line, r.place, r.text, r.conf))
+    assert {k: sorted(v) for k, v in got.items()} == {k: fold(v) for k, v in pages.items()}
+    boxless = spark.createDataFrame([(1, 1, "primary", 1, None, None, None, None, "none", 0.5, ""), (1, 1, "primary", 2, 0.0, 0.0, 9.0, 9.0, "box", 0.5, "")], df.schema)
+    assert [(r.line, r.text) for r in ocr.fold_pages(boxless).orderBy("line").collect()] == [(0, "box"), (1, "none")]
+    assert ocr.fold_pages(df.where("false")).count() == 0
+
+
 def test_pages(spark):
     tokens = [(1, 1, "primary", 0, 1, 0.0, 0.0, 10.0, 10.0, "top", 0.9), (1, 1, "primary", 0, 2, 50.0, 1.0, 60.0, 11.0, "rigth", 0.5), (1, 1, "second", 0, 1, 50.0, 1.0, 60.0, 11.0, "right", 0.8), (1, 1, "second", 0, 2, 0.0, 40.0, 10.0, 50.0, "below", 0.7)]
     df = spark.createDataFrame(tokens, "doc_id long, page int, pass string, angle int, ord int, x0 double, y0 double, x1 double, y1 double, text string, conf double")
