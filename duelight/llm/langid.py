@@ -32,9 +32,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLE_BUCKETS, SAMPLE_CHARS, EXCERPTS, MOST_LANGUAGES = 48, 1_500, 5, 500
+#: Bounds of what is learned from: rows and characters of a language, and the length over which a text is only taken for want of shorter ones.
+SAMPLE_BUCKETS, SAMPLE_CHARS, SHORT, MOST_LANGUAGES = 48, 72_000, 4_000, 500
 COMMON = 120
 SEGMENT = 2_048
 #: Characters times languages that are parsed together.
@@ -220,30 +222,29 @@ def _clean(text: str) -> str:
     return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def _excerpts(text: Column) -> Column:
-    """A text of up to SAMPLE_CHARS characters, or evenly spaced pieces of a longer one."""
-    long, piece = F.length(text), SAMPLE_CHARS // EXCERPTS
-    parts = [text.substr((F.floor((long - piece) * k / (EXCERPTS - 1)) + 1).cast("int"), F.lit(piece)) for k in range(EXCERPTS)]
-    return F.when(long <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
-
-
 def fit(docs: DataFrame, buckets: int = SAMPLE_BUCKETS) -> dict[str, str]:
-    """A bounded sample of labelled text per language (doc_id, text, lang).
+    """A bounded sample of labelled text per language (doc_id, text, lang): whole texts only.
 
-    Candidates are reduced to one id per language and hash bucket before any text
-    is read; one row of each of those few ids reaches the driver.
+    One row per language and hash bucket is picked, by its id's hash among those of up
+    to SHORT characters, else the shortest; of these, bucket by bucket, as many as make up
+    SAMPLE_CHARS characters (the first one whatever its length). Only those few reach the driver.
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.xxhash64("doc_id")
-    picks = labelled.groupBy("lang", F.pmod(place, F.lit(buckets)).alias("bucket")).agg(F.min_by("doc_id", place).alias("doc_id"))
+    place, long = F.xxhash64("doc_id"), F.length("text")
+    first = F.min_by(F.struct("doc_id", long.alias("long")), F.struct(F.when(long > SHORT, long).otherwise(0), place, long))
+    picks = labelled.groupBy("lang", F.pmod(place, F.lit(buckets)).alias("bucket")).agg(first.alias("p")).select("lang", "bucket", "p.*")
+    so_far = F.sum("long").over(W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
+    picks = picks.withColumn("so_far", so_far).where((F.col("so_far") <= SAMPLE_CHARS) | (F.col("so_far") == F.col("long"))).select("lang", "doc_id")
     picks = picks.limit(buckets * MOST_LANGUAGES + 1).collect()
     if len(picks) > buckets * MOST_LANGUAGES:
         raise ValueError(f"there are over {MOST_LANGUAGES} languages")
     ids = [r.doc_id for r in picks]
-    rows = labelled.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min(_excerpts(F.col("text"))).alias("text")).collect() if ids else []
+    rows = labelled.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min_by("text", F.struct(long, "text")).alias("text")).collect() if ids else []
+    wanted = {(r.lang, r.doc_id) for r in picks}
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
-        samples[r.lang] = samples.get(r.lang, "") + " " + r.text
+        if (r.lang, r.doc_id) in wanted:
+            samples[r.lang] = samples.get(r.lang, "") + " " + r.text
     return samples
 
 
