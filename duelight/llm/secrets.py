@@ -5,7 +5,9 @@ of clauses, each a set of trigrams that a match must hold (in lower case) if it
 takes that alternative. The index keeps postings of just the trigrams that some
 query names, one row per trigram and document. A rule's candidates are the
 documents in the intersection of a clause's postings; only they are verified with
-the rule's expression. A rule without mandatory trigrams scans every document.
+the rule's expression. A rule without mandatory trigrams scans every document. Documents
+whose own trigrams satisfy no clause are known in the scan to be in no intersection:
+they send no postings, and their texts are not dealt out to meet candidates.
 
 Spans count code points, end exclusive, and are leftmost and non-overlapping per
 kind. Positions come from the lengths of the matches and of the texts between them;
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,12 +119,24 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return None if any(not c for c in least) else sorted(least, key=sorted)
 
 
-def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id) of the given trigrams."""
+def _held(trigrams: list[str]) -> Column:
+    """Which of the given trigrams a text holds."""
     wanted = F.array(*[F.lit(t) for t in trigrams])
     low = F.array(F.lower(F.coalesce("text", F.lit(""))))
-    held = F.flatten(F.transform(low, lambda t: F.filter(wanted, lambda g: F.contains(t, g))))
-    return docs.select("doc_id", F.explode(held).alias("trigram"))
+    return F.flatten(F.transform(low, lambda t: F.filter(wanted, lambda g: F.contains(t, g))))
+
+
+def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """Postings (trigram, doc_id) of the given trigrams."""
+    return docs.select("doc_id", F.explode(_held(trigrams)).alias("trigram"))
+
+
+def hopeful(queries: dict[str, list[frozenset[str]]], trigrams: list[str]) -> Column:
+    """Does a text hold all trigrams of some clause? Others are in no intersection of postings, so neither they nor their postings are dealt out."""
+    clauses = {c for cs in queries.values() for c in cs}
+    least = sorted((sorted(c) for c in clauses if not any(d < c for d in clauses)), key=lambda c: (len(c), c))
+    every = lambda h: reduce(lambda x, y: x | y, [F.size(F.array_except(F.array(*[F.lit(t) for t in c]), h)) == 0 for c in least])
+    return F.get(F.transform(F.array(_held(trigrams)), every), 0)
 
 
 def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -173,21 +188,28 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (doc_id, text, and others not named spans) with `spans`: all verified spans by start, then rule order."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
-    own = docs.columns
-    if indexed:
-        postings = index(docs, sorted({t for q in indexed.values() for c in q for t in c}))
-        may = candidates(postings, indexed).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
-        docs = docs.join(may, docs["doc_id"].eqNullSafe(may["_id"]), "left")
-    text = F.coalesce("text", F.lit(""))
-    none = F.array().cast(SPAN)
-    parts = []
-    for rank, rule in enumerate(rules):
-        if rule.kind in indexed:
-            scan = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
-        else:
-            scan = text.rlike(rule.pattern)
-        parts.append(F.when(scan, _spans(text, rule, rank)).otherwise(none))
-    return docs.select(*own, F.array_sort(F.concat(*parts)).alias("spans"))
+    own, text, none = docs.columns, F.coalesce("text", F.lit("")), F.array().cast(SPAN)
+
+    def scanned(rows: DataFrame, may: bool) -> DataFrame:
+        parts = []
+        for rank, rule in enumerate(rules):
+            if rule.kind not in indexed:
+                scan = text.rlike(rule.pattern)
+            elif may:
+                scan = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
+            else:
+                continue
+            parts.append(F.when(scan, _spans(text, rule, rank)).otherwise(none))
+        return rows.select(*own, F.array_sort(F.concat(none, *parts)).alias("spans"))
+
+    if not indexed:
+        return scanned(docs, False)
+    trigrams = sorted({t for q in indexed.values() for c in q for t in c})
+    hope = hopeful(indexed, trigrams)
+    rest = docs.where(hope)
+    may = candidates(index(rest, trigrams), indexed).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
+    met = rest.join(may, rest["doc_id"].eqNullSafe(may["_id"]), "left")
+    return scanned(met, True).union(scanned(docs.where(~hope), False))
 
 
 def render(spans: Column) -> Column:
