@@ -150,13 +150,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(again.where(F.col("n_runs") > all_runs / MOST_HOT).select("anchor"))
     runs = rows.mapInArrow(pack, RUNS).select(F.col("anchor"), "doc_id", "text_hash", (F.shiftleft(F.col("start").cast("long"), 8) + F.col("n")).alias("span"), "hashes")
     known = F.octet_length("hashes") == 0
-    open_ = runs.where(~known)
+    # packed once: known and hot runs go on, others if their anchor occurs again. Only these look for an anchor; the rest is dealt out by place
+    free = known | F.col("hot").isNotNull()
+    runs = runs.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").withColumn("free", free)
+    runs = runs.withColumn("k", F.when(F.col("free"), F.xxhash64("doc_id", "text_hash", "span")).otherwise(F.col("anchor")))
+    runs = runs.join(again.select(F.col("anchor").alias("k"), F.lit(True).alias("met")), "k", "left").where("free or met")
+    runs = materialise(runs.select("anchor", "doc_id", "text_hash", "span", "hashes", F.col("hot").isNotNull().alias("hot")), "op5-runs")
+    open_ = runs.where(~known).withColumnRenamed("anchor", "key")
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("span")]
     rank = lambda *by: F.rank().over(W.partitionBy(*by).orderBy(*order))
-    cold = open_.join(hot, "anchor", "left_anti").join(again, "anchor", "left_semi").withColumnRenamed("anchor", "key")
-    cold = _windows(cold).withColumn("nth", rank("key", "hash")).where("nth > 1")
-    warm = _windows(open_.join(hot, "anchor", "left_semi").withColumnRenamed("anchor", "key")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
+    cold = _windows(open_.where("not hot")).withColumn("nth", rank("key", "hash")).where("nth > 1")
+    warm = _windows(open_.where("hot")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
     warm = warm.withColumn("nth", rank("key", "hash", "salt")).withColumn("salt", F.when(F.col("nth") > 1, F.col("salt")))
     warm = warm.withColumn("first", rank("key", "hash", "salt")).where("nth > 1 or first > 1")
     late = [part.select("doc_id", "text_hash", "span") for part in (runs.where(known), cold, warm)]
