@@ -95,22 +95,48 @@ def licensed_note(bill: Column, licences: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def bill_verdict(registered: Column, bill: Column, bill_pin: Column, village: Column) -> Column:
-    """match, minor_discrepancy or not_match of a bill's and a registered address (RES-11); never null."""
+def bill_answer(registered: Column, bill: Column, bill_pin: Column, village: Column, licences: list[tuple[str, Column]] | None = None) -> Column:
+    """struct(value, note): match, minor_discrepancy or not_match of a bill's and a registered address, and on what evidence (RES-11); never null."""
     some = lambda *c: F.concat_ws(" ", *c)
     reg, own = addr_tokens(registered), addr_tokens(some(bill, village, bill_pin))
     plots = compare_premises(premises_ids(registered), premises_ids(some(bill, village)))
     pin_a, pin_b = F.get(reg["pins"], 0), F.coalesce(bill_pin, F.get(own["pins"], 0))
     same = (F.arrays_overlap(reg["premises"], own["premises"]) | plots["agree"]) & ~plots["conflict"]
-    place = F.size(place_overlap(reg["places"], own["places"])) > 0
+    places = place_overlap(reg["places"], own["places"])
+    place = F.size(places) > 0
     agree, differ = F.coalesce(pin_a == pin_b, F.lit(False)), F.coalesce(pin_a != pin_b, F.lit(False))
-    return (
-        F.when(registered.isNull() | (bill.isNull() & bill_pin.isNull()), "not_match")
+    unread, alone = bill.isNull() & bill_pin.isNull(), registered.isNull()
+    value = (
+        F.when(alone | unread, "not_match")
         .when(plots["conflict"], "not_match")
         .when(same & place & ~differ, "match")
         .when(same | place | agree, "minor_discrepancy")
         .otherwise("not_match")
     )
+    slashes = lambda a: F.array_join(F.transform(a, lambda t: F.replace(t, F.lit("_"), F.lit("/"))), ", ")
+    shared = F.array_intersect(reg["premises"], own["premises"])
+    pieces = F.flatten(F.transform(F.filter(shared, lambda t: t.contains("_")), lambda t: F.split(t, "_")))
+    shared = F.array_except(shared, pieces)
+    shared = F.when(F.size(shared) > 0, shared).otherwise(F.array_intersect(plots["a"], plots["b"]))
+    said = F.concat_ws(
+        "; ",
+        F.when(plots["conflict"], F.concat(F.lit("DISCREPANCY: the bill is for premises "), slashes(plots["b"]), F.lit(", the registration for "), slashes(plots["a"]))).when(same, F.concat(F.lit("premises match: "), slashes(shared))),
+        F.when(place, F.concat(F.lit("places match: "), F.array_join(places, ", "))),
+        F.when(agree, F.concat(F.lit("PIN "), pin_a, F.lit(" matches"))),
+        F.when(~plots["conflict"] & ~same & (place | agree), F.when(plots["comparable"], "the premises could not be matched").otherwise("the premises are numbered in different registers and cannot be compared")),
+        F.when(~plots["conflict"] & same & ~place, "but the place is named differently"),
+        F.when(~plots["conflict"] & ~same & ~place & agree, "only the PIN agrees; check the bill's text"),
+        F.when(~plots["conflict"] & ~same & ~place & ~agree, "the two addresses share nothing"),
+        F.when(differ, F.concat(F.lit("NOTE: the bill's PIN "), pin_b, F.lit(" differs from "), pin_a, F.when(same & place, ", which is never a full match").otherwise(""))),
+    )
+    licensed = licensed_note(some(bill, village), licences) if licences else F.lit(None).cast("string")
+    licensed = F.when(bill.isNotNull() & (value == "not_match"), F.concat(F.lit("NOTE: the bill's premises are those of the vendor's "), licensed))
+    note = F.when(unread, "no bill address could be read").when(alone, "no registered address to compare the bill with").otherwise(F.concat_ws("; ", said, licensed))
+    return F.struct(value.alias("value"), note.alias("note"))
+
+
+def bill_verdict(registered: Column, bill: Column, bill_pin: Column, village: Column) -> Column:
+    return bill_answer(registered, bill, bill_pin, village)["value"]
 
 
 def registration_note(registered: Column, other: Column) -> Column:

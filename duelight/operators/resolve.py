@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelight.functions.address import bill_verdict, registration_note
+from duelight.functions.address import bill_answer, registration_note
 from duelight.functions.names import name_match
 from duelight.functions.text import any_of, constitution, seller_type_kw, seller_type_nic, years_since
+from duelight.operators.screening import VERDICTS
 
 # Keywords that a trade in the goods of a chapter is described with.
 CHAPTERS = {
@@ -78,7 +79,7 @@ def bank_verification(called: Column, holder: Column, live_account: Column, port
     """RES-07: a live result decides; without one only agreeing documents count, never negatively."""
     live = (
         F.when(F.coalesce(holder, F.lit("")) == "", "penny_unsuccessful")
-        .when(portal_account.isNull(), "penny_success_gst_unavailable")
+        .when(portal_account.isNull() | live_account.isNull(), "penny_success_gst_unavailable")
         .when(portal_account == live_account, "penny_success_gst_match")
         .otherwise("penny_success_gst_mismatch")
     )
@@ -87,6 +88,42 @@ def bank_verification(called: Column, holder: Column, live_account: Column, port
     return _answer(value, F.when(value.isNull(), "no live result and documents don't settle it"))
 
 
+def bank_answer(accounts: Column, called: Column, holder: Column, holder_matched: Column, live_account: Column, portal_account: Column, portal_verified: Column, portal_status: Column, marked: Column) -> Answer:
+    """RES-07 with its note, from one vendor's evidence: accounts is an array of (source, number).
+
+    The groups of equal numbers decide both: one number on two sources agrees, several
+    conflict. holder_matched says whether the holder bears a name of the vendor, null if
+    it has none; marked, whether the cheque is cancelled, null if it was not looked at.
+    """
+    told = F.array_sort(F.filter(accounts, lambda x: F.coalesce(F.trim(x["number"]), F.lit("")) != ""))
+    numbers = F.array_distinct(F.transform(told, lambda x: F.trim(x["number"])))
+    sources = F.array_join(F.transform(told, lambda x: x["source"]), ", ")
+    n, kinds = F.size(told), F.size(numbers)
+    asked, named = F.coalesce(called, F.lit(False)), F.coalesce(holder, F.lit("")) != ""
+    value, _ = bank_verification(called, holder, live_account, portal_account, portal_verified, F.when(kinds == 1, n).otherwise(0))
+    papers = (
+        F.when(kinds > 1, F.concat(F.lit("CRITICAL: the account number differs between sources: "), F.array_join(F.transform(told, lambda x: F.concat_ws(" ", x["source"], x["number"])), ", ")))
+        .when(n >= 2, F.concat(F.lit("account "), F.get(numbers, 0), F.lit(" agrees across "), sources))
+        .when(n == 1, F.concat(F.lit("account "), F.get(numbers, 0), F.lit(" is on one source only, not cross-checked: "), sources))
+        .otherwise("no document names an account")
+    )
+    cheque = F.when(marked, "the cheque carries a cancellation mark").when(~marked, "WARNING: the cheque shows no cancellation mark, so it is no valid proof")
+    whose = F.when(holder_matched, "a name on record").when(~holder_matched, "CRITICAL: none of the vendor's names on record").otherwise("the vendor has no name on record to compare")
+    live = F.when(asked & named, F.concat(F.lit("the live check names "), holder, F.lit(" as holder: "), whose)).when(asked, "the live check returned no holder")
+    portal = (
+        F.when(value == "penny_success_gst_mismatch", F.concat(F.lit("CRITICAL: the tax portal registers a different account, "), portal_account))
+        .when(asked & (value == "penny_success_gst_match"), "the tax portal registers this account")
+        .when(value == "penny_success_gst_unavailable", "no GST portal page names an account to compare")
+    )
+    paper = F.when(
+        ~asked,
+        F.when(value.isNotNull(), "the portal shows the account as validated")
+        .when(~portal_verified, F.concat(F.lit("not scored: the portal shows the account as "), F.coalesce(portal_status, F.lit("not validated")), F.lit(", which is no result of a live check")))
+        .otherwise("not scored: paperwork agreement alone is not treated as bank verification"),
+    )
+    return value, F.concat_ws("; ", papers, cheque, live, portal, paper)
+
+
 def pf_status(has_establishment: Column, page_flag: Column) -> Answer:
     """RES-09: without an establishment not applicable; with one, only a page's flag decides."""
     value = F.when(has_establishment & (page_flag == "compliant"), "compliant").when(has_establishment & page_flag.isNotNull(), "non_compliant")
@@ -150,31 +187,40 @@ def consumer_is_entity(consumer: Column, *names: Column) -> Column:
     return F.when(any_true, True).when(reduce(lambda a, b: a | b, [f.isNotNull() for f in found]), False)
 
 
-def resolve_all(entity: DataFrame, as_of: Column) -> DataFrame:
-    """vendor_id, parameter_id, value, note, unresolved from one wide row per vendor.
+#: Where an account number can stand, and the column of the wide row that has it.
+ACCOUNTS = {"cancelled cheque": "cheque_account", "MSME certificate": "account_number_msme", "customer form": "kyc_account", "GST portal": "portal_account"}
+
+
+def resolve_all(entity: DataFrame, as_of: Column, legal: DataFrame | None = None) -> DataFrame:
+    """vendor_id, parameter_id, value, note, unresolved from one wide row per vendor, and the legal parameters of `screening.resolve_legal`.
 
-    Columns that are absent count as null, so partial inputs resolve what they can.
+    Columns that are absent count as null, so partial inputs resolve what they can; without `legal` its five are unresolved.
     """
     c = lambda n, kind="string": F.col(n).cast(kind) if n in entity.columns else F.lit(None).cast(kind)
     flag = lambda n: F.coalesce(c(n, "boolean"), F.lit(False))
     mine = consumer_is_entity(c("bill_consumer_name"), c("legal_name"), c("trade_name"), c("pan_entity_name"))
-    rows = entity.withColumn("_bill", bill_verdict(c("address"), c("bill_address"), c("bill_pincode"), c("bill_village"))).withColumn("_mine", F.coalesce(mine, F.lit(True)))
+    bill = bill_answer(c("address"), c("bill_address"), c("bill_pincode"), c("bill_village"), [("factory licence", c("factory_address")), ("pollution consent", c("consent_address"))])
+    rows = entity.withColumn("_bill_answer", bill).withColumn("_bill", F.col("_bill_answer.value")).withColumn("_mine", F.coalesce(mine, F.lit(True)))
     rows = rows.withColumn("_gstin", gstin_active(c("gstin_status"))[0])
     owner = ownership(flag("has_sale_deed"), flag("has_rental"), flag("has_bill"), F.col("_bill"), F.col("_mine"))
     rows = rows.withColumn("_owner", owner[0])
     codes = F.col("hsn_codes") if "hsn_codes" in entity.columns else F.lit(None).cast("array<string>")
+    held = [F.struct(F.lit(source).alias("source"), c(name).alias("number")) for source, name in ACCOUNTS.items()]
+    # a count given in place of the numbers stands for so many sources of one account
+    counted = F.transform(F.sequence(F.lit(1), c("agreeing_accounts", "int")), lambda i: F.struct(F.concat(F.lit("source "), i.cast("string")).alias("source"), F.lit("the account").alias("number")))
+    accounts = F.when(c("agreeing_accounts", "int") > 0, counted).otherwise(F.array(*held)) if "agreeing_accounts" in entity.columns else F.array(*held)
     answers: dict[str, Answer] = {
         "com_gstin_active": gstin_active(c("gstin_status")),
         "com_gst_vintage": gst_vintage(c("registered_on"), c("oldest_registration"), c("date_of_registration"), as_of),
-        "com_gst_filing_compliance": _answer(c("filing_bucket")),
-        "com_filing_frequency": _answer(c("filing_frequency")),
-        "com_multiple_registrations": _answer(c("registration_value")),
+        "com_gst_filing_compliance": _answer(c("filing_bucket"), F.coalesce(c("filing_note"), F.lit("no filing of the last twelve months"))),
+        "com_filing_frequency": _answer(c("filing_frequency"), F.when(c("filing_frequency").isNull(), "no known frequency of filing").otherwise("")),
+        "com_multiple_registrations": _answer(c("registration_value"), F.when(c("registration_value").isNull(), "a registration's status is unclear, or none is known").otherwise("")),
         "com_hsn_match": hsn_match(codes, F.concat_ws(" ", c("nic_5_description"), c("nic_4_description"), c("major_activity"), c("bill_activity"), c("trade_name"))),
-        "com_bank_verification": bank_verification(c("bank_called", "boolean"), c("bank_holder"), c("account_number"), c("portal_account"), c("portal_verified", "boolean"), F.coalesce(c("agreeing_accounts", "int"), F.lit(0))),
-        "com_gst_delay_days": _answer(c("max_delay")),
+        "com_bank_verification": bank_answer(accounts, c("bank_called", "boolean"), c("bank_holder"), c("holder_matched", "boolean"), c("account_number"), c("portal_account"), c("portal_verified", "boolean"), c("portal_status"), c("cheque_marked", "boolean")),
+        "com_gst_delay_days": _answer(c("max_delay"), F.when(c("max_delay").isNull(), "no filing of the last twelve months").otherwise("")),
         "com_pf_filing_status": pf_status(flag("has_pf"), c("pf_flag")),
         "addr_ownership_type": owner,
-        "addr_electricity_bill": _answer(F.col("_bill")),
+        "addr_electricity_bill": _answer(F.col("_bill"), F.col("_bill_answer.note")),
         "addr_rental_validation": rental_validation(F.col("_owner"), F.col("_bill")),
         "addr_msme": (msme(c("msme_called", "boolean"), c("msme_number"), c("udyam_number"))[0], registration_note(c("address"), c("msme_address"))),
         "addr_landlord_declaration": landlord(flag("has_landlord"), F.col("_owner")),
@@ -182,10 +228,13 @@ def resolve_all(entity: DataFrame, as_of: Column) -> DataFrame:
         "ident_seller_type": seller_type(c("gst_nature"), c("nic_5_code"), c("major_activity"), c("form_activity")),
         "ident_constitution": _answer(constitution(c("constitution")), "no known constitution"),
         "ident_pan_name_match": _answer(F.when(name_match(c("pan_entity_name"), c("legal_name")), "match").when(~name_match(c("pan_entity_name"), c("legal_name")), "not_match")),
-        "legal_sanctions": _answer(c("sanctions_verdict")), "legal_pep": _answer(c("pep_verdict")), "legal_rbi_wilful_defaulter": _answer(c("defaulter_verdict"), "only a comprehensive sweep decides"),
-        "legal_ecourts": _answer(c("ecourts_verdict"), "only a comprehensive sweep decides"), "legal_drt_sarfaesi": _answer(c("drt_verdict")),
     }
-    return as_rows(rows, answers)
+    own = as_rows(rows, answers)
+    if legal is None:
+        none = F.array(*[F.struct(F.lit(p).alias("parameter_id"), F.lit(None).cast("string").alias("value"), F.lit("not screened").alias("note")) for p in VERDICTS])
+        legal = rows.select("vendor_id", F.explode(none).alias("r")).select("vendor_id", "r.*")
+    legal = legal.select("vendor_id", "parameter_id", "value", "note", F.col("value").try_cast("double").alias("num_value"), F.col("value").isNull().alias("unresolved"))
+    return own.unionByName(legal)
 
 
 def as_rows(rows: DataFrame, answers: dict[str, Answer]) -> DataFrame:
