@@ -98,11 +98,21 @@ def licensed_note(bill: Column, licences: list[tuple[str, Column]]) -> Column:
 def bill_answer(registered: Column, bill: Column, bill_pin: Column, village: Column, licences: list[tuple[str, Column]] | None = None) -> Column:
     """struct(value, note): match, minor_discrepancy or not_match of a bill's and a registered address, and on what evidence (RES-11); never null."""
     some = lambda *c: F.concat_ws(" ", *c)
-    reg, own = addr_tokens(registered), addr_tokens(some(bill, village, bill_pin))
-    plots = compare_premises(premises_ids(registered), premises_ids(some(bill, village)))
+    read = F.struct(
+        addr_tokens(registered).alias("reg"), addr_tokens(some(bill, village, bill_pin)).alias("own"), premises_ids(registered).alias("ids_a"), premises_ids(some(bill, village)).alias("ids_b"),
+        registered.alias("registered"), bill.alias("bill"), bill_pin.alias("pin"), (licensed_note(some(bill, village), licences) if licences else F.lit(None).cast("string")).alias("licensed"),
+    )
+    compared = lambda s: F.transform(F.array(F.struct(s.alias("s"), compare_premises(s["ids_a"], s["ids_b"]).alias("plots"), place_overlap(s["reg"]["places"], s["own"]["places"]).alias("places"))), _bill)
+    # a lambda's argument is computed once, however often it is named
+    return F.get(F.flatten(F.transform(F.array(read), compared)), 0)
+
+
+def _bill(c: Column) -> Column:
+    """The verdict on a bill, from its tokens beside the registered address's."""
+    s, plots, places = c["s"], c["plots"], c["places"]
+    reg, own, registered, bill, bill_pin = s["reg"], s["own"], s["registered"], s["bill"], s["pin"]
     pin_a, pin_b = F.get(reg["pins"], 0), F.coalesce(bill_pin, F.get(own["pins"], 0))
     same = (F.arrays_overlap(reg["premises"], own["premises"]) | plots["agree"]) & ~plots["conflict"]
-    places = place_overlap(reg["places"], own["places"])
     place = F.size(places) > 0
     agree, differ = F.coalesce(pin_a == pin_b, F.lit(False)), F.coalesce(pin_a != pin_b, F.lit(False))
     unread, alone = bill.isNull() & bill_pin.isNull(), registered.isNull()
@@ -129,8 +139,7 @@ def bill_answer(registered: Column, bill: Column, bill_pin: Column, village: Col
         F.when(~plots["conflict"] & ~same & ~place & ~agree, "the two addresses share nothing"),
         F.when(differ, F.concat(F.lit("NOTE: the bill's PIN "), pin_b, F.lit(" differs from "), pin_a, F.when(same & place, ", which is never a full match").otherwise(""))),
     )
-    licensed = licensed_note(some(bill, village), licences) if licences else F.lit(None).cast("string")
-    licensed = F.when(bill.isNotNull() & (value == "not_match"), F.concat(F.lit("NOTE: the bill's premises are those of the vendor's "), licensed))
+    licensed = F.when(bill.isNotNull() & (value == "not_match"), F.concat(F.lit("NOTE: the bill's premises are those of the vendor's "), s["licensed"]))
     note = F.when(unread, "no bill address could be read").when(alone, "no registered address to compare the bill with").otherwise(F.concat_ws("; ", said, licensed))
     return F.struct(value.alias("value"), note.alias("note"))
 

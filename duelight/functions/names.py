@@ -57,10 +57,19 @@ class Question:
 
 def _question(a: Column, b: Column, least: float, open_: Column, known: Column) -> Question:
     """Open only where the lengths, and then the letters in common, allow the ratio; equal strings need none."""
-    need = least * (F.length(a) + F.length(b))
-    can = F.when(~open_, False).when(2 * F.least(F.length(a), F.length(b)) < need, False).when(a == b, False).otherwise(2 * shared_letters(a, b) >= need)
-    can = F.coalesce(can, F.lit(False))
-    return Question(F.when(~can, F.when(open_ & (a == b), True).otherwise(known)), F.when(can, a), F.when(can, b), least)
+
+    def settle(s: Column) -> Column:
+        x, y = s["a"], s["b"]
+        need = least * (F.length(x) + F.length(y))
+        can = F.when(~s["open"], False).when(2 * F.least(F.length(x), F.length(y)) < need, False).when(x == y, False).otherwise(2 * shared_letters(x, y) >= need)
+        verdict = F.when(s["open"] & (x == y), True).otherwise(s["known"])
+        return F.when(F.coalesce(can, F.lit(False)), F.struct(F.lit(None).cast("boolean").alias("known"), x.alias("left"), y.alias("right"))).otherwise(
+            F.struct(verdict.alias("known"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
+        )
+
+    # a lambda's argument is computed once, however often it is named
+    found = F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), open_.alias("open"), known.alias("known"))), settle), 0)
+    return Question(found["known"], found["left"], found["right"], least)
 
 
 def decide(rows: DataFrame, out: str, question: Question) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.operators import ocr
+from duelight.functions.text import MONTHS
+from duelight.operators import ocr, resolve
+from duelight.plans import vendors
+from duelight.plans.analogues import _certificates
 from duelight.plans.catalog import query, table
 
 
@@ -45,3 +48,97 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), *box, F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("text"), F.col("l_tax").cast("double").alias("conf"),
     )
     return ocr.fold_pages(tokens)
+
+
+# ---- whole vendors
+_VENDOR_SQL = """WITH c AS (SELECT c_custkey // 10 AS v, c_custkey % 10 AS kind FROM customer), d AS (SELECT v, list(kind) AS kinds FROM c GROUP BY v),
+    f AS (SELECT o_custkey // 10 AS v, count(*) FILTER (o_orderkey % 8 > 4) AS late, max(greatest(0, o_orderkey % 8 - 4)) AS longest FROM orders WHERE o_orderkey % 12 + 1 NOT IN (4, 5, 6) GROUP BY 1),
+    q AS (SELECT o_custkey // 10 AS v, arg_max(o_orderstatus, {'q': o_orderkey % 4, 'k': o_orderkey}) AS last FROM orders GROUP BY 1),
+    s AS (SELECT user_id AS v, count(*) FILTER (value > 100) AS peps FROM events WHERE user_id % 2 = 0 GROUP BY 1),
+    w AS (SELECT d.*, f.late, f.longest, q.last, s.v IS NOT NULL AS swept, coalesce(s.peps, 0) AS peps, s_suppkey, list_contains(kinds, 0) AS gst, list_contains(kinds, 1) AS msme, list_contains(kinds, 2) AS cheque, list_contains(kinds, 3) AS bill, list_contains(kinds, 4) AS portal, list_contains(kinds, 5) AS pan,
+            CASE d.v % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'suspended' ELSE 'cancelled' END AS active
+        FROM d LEFT JOIN f ON f.v = d.v LEFT JOIN q ON q.v = d.v LEFT JOIN s ON s.v = d.v LEFT JOIN supplier ON s_suppkey = d.v),
+    x AS (SELECT *, CASE WHEN gst AND bill THEN 'minor_discrepancy' ELSE 'not_match' END AS bill_value FROM w),
+    o AS (SELECT *, CASE WHEN bill_value = 'not_match' THEN 'address_mismatch' ELSE 'owned' END AS own FROM x),
+    p AS (
+        SELECT v, 'com_gstin_active' AS parameter_id, active AS value FROM o
+        UNION ALL SELECT v, 'com_gst_vintage', CASE WHEN gst THEN '7.0' END FROM o
+        UNION ALL SELECT v, 'com_gst_filing_compliance', CASE WHEN late = 0 THEN 'timely' WHEN late <= 3 THEN 'minor_delays' WHEN late <= 5 THEN 'five_delays' WHEN late IS NOT NULL THEN 'significant_delays' END FROM o
+        UNION ALL SELECT v, 'com_filing_frequency', CASE last WHEN 'F' THEN 'monthly' WHEN 'O' THEN 'quarterly' END FROM o
+        UNION ALL SELECT v, 'com_multiple_registrations', CASE WHEN s_suppkey IS NULL THEN NULL WHEN v % 3 = 0 THEN 'active_multi_state' WHEN v % 3 = 1 THEN 'cancelled_present' END FROM o
+        UNION ALL SELECT v, 'com_hsn_match', 'not_available' FROM o
+        UNION ALL SELECT v, 'com_bank_verification', CASE WHEN v % 2 = 0 THEN CASE WHEN v % 6 = 0 THEN 'penny_unsuccessful' WHEN NOT portal OR NOT (cheque OR portal) THEN 'penny_success_gst_unavailable' WHEN cheque THEN 'penny_success_gst_mismatch' ELSE 'penny_success_gst_match' END END FROM o
+        UNION ALL SELECT v, 'com_gst_delay_days', CASE WHEN longest IS NOT NULL THEN CAST(CAST(longest AS DOUBLE) AS VARCHAR) END FROM o
+        UNION ALL SELECT v, 'com_pf_filing_status', NULL FROM o
+        UNION ALL SELECT v, 'addr_ownership_type', own FROM o
+        UNION ALL SELECT v, 'addr_electricity_bill', bill_value FROM o
+        UNION ALL SELECT v, 'addr_rental_validation', CASE WHEN own = 'owned' THEN 'owned' ELSE 'not_match' END FROM o
+        UNION ALL SELECT v, 'addr_msme', CASE WHEN msme THEN 'valid_active' ELSE 'not_valid' END FROM o
+        UNION ALL SELECT v, 'addr_landlord_declaration', CASE WHEN own = 'owned' THEN 'not_applicable' ELSE 'absent' END FROM o
+        UNION ALL SELECT v, 'ident_pan_active', CASE WHEN active = 'active' THEN 'active' END FROM o
+        UNION ALL SELECT v, 'ident_seller_type', CASE WHEN msme THEN 'manufacturer' END FROM o
+        UNION ALL SELECT v, 'ident_constitution', CASE WHEN gst THEN 'partnership_proprietorship' END FROM o
+        UNION ALL SELECT v, 'ident_pan_name_match', CASE WHEN gst AND pan THEN 'match' END FROM o
+        UNION ALL SELECT v, 'legal_sanctions', CASE WHEN swept OR gst OR pan THEN 'not_listed' END FROM o
+        UNION ALL SELECT v, 'legal_pep', CASE WHEN peps > 0 THEN 'pep_identified' WHEN swept THEN 'no_pep' WHEN s_suppkey IS NOT NULL THEN CASE WHEN v % 5 = 0 THEN 'pep_identified' ELSE 'no_pep' END END FROM o
+        UNION ALL SELECT v, 'legal_rbi_wilful_defaulter', CASE WHEN swept THEN 'not_listed' END FROM o
+        UNION ALL SELECT v, 'legal_ecourts', CASE WHEN swept THEN 'no_criminal' END FROM o
+        UNION ALL SELECT v, 'legal_drt_sarfaesi', CASE WHEN swept THEN 'no_drt' WHEN s_suppkey IS NOT NULL AND v % 7 = 0 THEN 'active_drt' WHEN gst OR pan OR s_suppkey IS NOT NULL THEN 'no_drt' END FROM o)
+    SELECT v AS vendor_id, parameter_id, value, value IS NULL AS unresolved FROM p"""
+
+
+def _registers(spark: SparkSession, sf_dir: str) -> vendors.Registers:
+    """Registers of vendors (ten customers each), of orders, events, suppliers and nations."""
+    v, k = F.floor(F.col("c_custkey") / 10), F.col("o_orderkey")
+    ids = table(spark, sf_dir, "customer").select(v.alias("vendor_id")).distinct()
+    own = F.col("vendor_id")
+    status = F.element_at(F.array(F.lit("Active"), F.lit("Suspended"), F.lit("Cancelled")), (own % 3 + 1).cast("int"))
+    answers = ids.select("vendor_id", status.alias("gstin_status"), (own % 2 == 0).alias("bank_called"), F.when(own % 6 == 0, "").when(own % 4 == 0, "Quill Forge").otherwise("Alpha Mills").alias("bank_holder"))
+    orders = table(spark, sf_dir, "orders").withColumn("vendor_id", F.floor(F.col("o_custkey") / 10))
+    month = (k % 12 + 1).cast("int")
+    start = F.make_date(F.when(month < 4, 2024).otherwise(2023), month, F.lit(1))
+    filed = F.date_format(F.date_add(F.add_months(start, 1), (k % 8 + 15).cast("int")), "dd/MM/yyyy")
+    filings = orders.select("vendor_id", F.lit("GSTR3B").alias("return_type"), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month).alias("tax_period"), F.lit("2023-2024").alias("financial_year"), filed.alias("date_of_filing"))
+    frequency = F.when(F.col("o_orderstatus") == "F", "Monthly").when(F.col("o_orderstatus") == "O", "Quarterly (QRMP)").otherwise("odd")
+    frequencies = orders.select("vendor_id", F.lit("2023-2024").alias("financial_year"), F.concat(F.lit("Q"), (k % 4).cast("string")).alias("quarter"), k.alias("pos"), frequency.alias("frequency"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("name"))
+    by_pan = s.select("vendor_id", F.concat(F.lit("G"), own.cast("string")).alias("gstin"), F.element_at(F.array(F.lit("Active"), F.lit("Cancelled suo motu"), F.lit("Inactive")), (own % 3 + 1).cast("int")).alias("status"), F.lit("S").alias("state"))
+    e = table(spark, sf_dir, "events").where("user_id % 2 = 0")
+    row = F.create_map(F.lit("list"), F.lit("Heads of state"), F.lit("source"), F.col("props"))
+    per = e.groupBy(F.col("user_id").alias("vendor_id")).agg(F.count_if(F.col("value") > 100).cast("int").alias("n"), F.collect_list(F.when(F.col("value") > 100, row)).alias("rows"))
+    blank = F.array().cast("array<map<string,string>>")
+    categories = F.map_from_arrays(F.array(F.lit("PEPCheck"), *[F.lit(f"list {i}") for i in range(11)]), F.array("rows", *[blank] * 11))
+    screens = per.select("vendor_id", F.lit(False).alias("owner"), F.create_map(F.lit("PEPCheck"), "n").alias("hits_found"), categories.alias("categories"), F.lit(None).cast("string").alias("error"))
+    watched = table(spark, sf_dir, "nation").select(F.lit("nations").alias("source"), F.col("n_nationkey").cast("string").alias("list_id"), F.col("n_name").alias("name"))
+    docket = s.where("vendor_id % 7 = 0").select(own.alias("case_id"), F.lit(None).cast("string").alias("applicant"), F.concat(F.lit("Mr. "), "name").alias("respondent"))
+    return vendors.Registers(answers, filings, frequencies, by_pan, None, s, screens, watched, ("nations",), ("offline list",), s.where("vendor_id % 5 = 0").select("name"), None, docket)
+
+
+@query(_VENDOR_SQL)
+def assessed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RES-01..05, 07..13, 15..23, JN-07, PRJ-10..12, AGG-03..05, 12, 13 (values): all 23 parameters of vendors from their documents and registers."""
+    docs = _certificates(spark, sf_dir).withColumn("vendor_id", F.floor(F.col("vendor_id") / 10))
+    out = vendors.resolve_vendors(docs, docs.select("vendor_id").distinct(), _registers(spark, sf_dir), F.to_date(F.lit("2024-07-01")))
+    return out["resolved"].select("vendor_id", "parameter_id", "value", "unresolved")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '11' END AS cheque, CASE c_custkey % 3 WHEN 0 THEN '11' WHEN 1 THEN '22' END AS msme, CASE c_custkey % 5 WHEN 0 THEN '11' WHEN 1 THEN '33' END AS portal, c_custkey % 7 < 3 AS called, CASE WHEN c_custkey % 7 > 0 THEN 'H' END AS holder FROM customer),
+    a AS (SELECT *, list_filter([cheque, msme, portal], lambda x: x IS NOT NULL) AS numbers, list_filter(['GST portal' || CASE WHEN portal IS NULL THEN NULL ELSE '' END, 'MSME certificate' || CASE WHEN msme IS NULL THEN NULL ELSE '' END, 'cancelled cheque' || CASE WHEN cheque IS NULL THEN NULL ELSE '' END], lambda x: x IS NOT NULL) AS sources,
+        list_filter(['GST portal ' || portal, 'MSME certificate ' || msme, 'cancelled cheque ' || cheque], lambda x: x IS NOT NULL) AS told FROM c),
+    v AS (SELECT *, len(list_distinct(numbers)) AS kinds, CASE WHEN called THEN CASE WHEN holder IS NULL THEN 'penny_unsuccessful' WHEN portal IS NULL OR cheque IS NULL THEN 'penny_success_gst_unavailable' WHEN portal = cheque THEN 'penny_success_gst_match' ELSE 'penny_success_gst_mismatch' END
+        WHEN k % 4 = 0 AND len(list_distinct(numbers)) = 1 AND len(numbers) >= 2 THEN 'penny_success_gst_match' END AS value FROM a)
+    SELECT k AS vendor_id, value, concat_ws('; ',
+        CASE WHEN kinds > 1 THEN 'CRITICAL: the account number differs between sources: ' || array_to_string(told, ', ') WHEN len(numbers) >= 2 THEN 'account ' || numbers[1] || ' agrees across ' || array_to_string(sources, ', ')
+             WHEN len(numbers) = 1 THEN 'account ' || numbers[1] || ' is on one source only, not cross-checked: ' || sources[1] ELSE 'no document names an account' END,
+        CASE k % 6 WHEN 0 THEN 'the cheque carries a cancellation mark' WHEN 1 THEN 'WARNING: the cheque shows no cancellation mark, so it is no valid proof' END,
+        CASE WHEN called AND holder IS NOT NULL THEN 'the live check names H as holder: ' || CASE k % 3 WHEN 0 THEN 'a name on record' WHEN 1 THEN 'CRITICAL: none of the vendor''s names on record' ELSE 'the vendor has no name on record to compare' END WHEN called THEN 'the live check returned no holder' END,
+        CASE WHEN value = 'penny_success_gst_mismatch' THEN 'CRITICAL: the tax portal registers a different account, ' || portal WHEN called AND value = 'penny_success_gst_match' THEN 'the tax portal registers this account' WHEN value = 'penny_success_gst_unavailable' THEN 'no GST portal page names an account to compare' END,
+        CASE WHEN called THEN NULL WHEN value IS NOT NULL THEN 'the portal shows the account as validated' WHEN k % 4 = 1 THEN 'not scored: the portal shows the account as not validated, which is no result of a live check' ELSE 'not scored: paperwork agreement alone is not treated as bank verification' END) AS note FROM v""")
+def bank_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RES-07: what a customer's account numbers, cheque, live check and portal settle, and the evidence told."""
+    k = F.col("c_custkey")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(x).cast("string") for x in values]), (k % n + 1).cast("int"))
+    cheque, msme, portal = pick(2, "11", None), pick(3, "11", "22", None), pick(5, "11", "33", None, None, None)
+    accounts = F.array(*[F.struct(F.lit(s).alias("source"), c.alias("number")) for s, c in (("cancelled cheque", cheque), ("MSME certificate", msme), ("GST portal", portal))])
+    value, note = resolve.bank_answer(accounts, k % 7 < 3, F.when(k % 7 > 0, "H"), F.when(k % 3 < 2, k % 3 == 0), cheque, portal, F.when(k % 4 < 2, k % 4 == 0), F.lit(None).cast("string"), F.when(k % 6 < 2, k % 6 == 0))
+    return table(spark, sf_dir, "customer").select(k.alias("vendor_id"), value.alias("value"), note.alias("note"))
