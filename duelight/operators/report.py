@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelight.functions.text import headline, split_flag
-from duelight.operators.resolve import MARKERS, any_of
 
 
 def scoring_rows(param_scores: DataFrame, codes: DataFrame) -> DataFrame:
@@ -18,13 +17,95 @@ def scoring_rows(param_scores: DataFrame, codes: DataFrame) -> DataFrame:
     return param_scores.join(codes, "parameter_id", "left").select("vendor_id", "parameter_id", "code", option.alias("option"), "assigned_score", "max_score")
 
 
-def findings(param_scores: DataFrame) -> DataFrame:
-    """vendor_id, kind, text: confirmed from 60% of the points, notes below, open points, and marked notes; without repeats (RPT-02)."""
-    kind = F.when(F.col("unresolved"), "open").when(F.col("assigned_score") >= 0.6 * F.col("max_score"), "confirmed").otherwise("note")
-    text = F.concat_ws(": ", "parameter_id", F.coalesce(headline(F.col("note")), F.col("matched_condition"), F.lit("no evidence")))
-    rows = param_scores.select("vendor_id", kind.alias("kind"), text.alias("text"))
-    marked = param_scores.where(any_of(F.lower(F.col("note")), MARKERS)).select("vendor_id", F.lit("marked").alias("kind"), F.concat_ws(": ", "parameter_id", headline(F.col("note"))).alias("text"))
-    return rows.unionByName(marked).dropDuplicates(["vendor_id", "kind", "text"])
+#: parameter, what it must be (ok from 60% of its points, low below, open; "any" of the first two), a value and a word of the note it
+#: must have (None: any), kind (c confirmed, n note), text. The first that fits a parameter tells of it; {v} is the option scored.
+TEMPLATES = [
+    ("com_gstin_active", "ok", None, None, "c", "GST registration is active{since}{taxpayer}"), ("com_gstin_active", "low", None, None, "n", "GST registration status: {v}"),
+    ("com_gst_vintage", "ok", None, None, "c", "GST vintage: {vintage}"), ("com_gst_vintage", "low", None, None, "n", "Short GST record: {v}"),
+    ("com_gst_filing_compliance", "ok", None, None, "c", "GST returns filed: {v}"), ("com_gst_filing_compliance", "low", None, None, "n", "GST returns filed late: {v}"),
+    ("com_filing_frequency", "ok", None, None, "c", "Filing frequency: {v}"), ("com_filing_frequency", "low", None, None, "n", "Filing frequency: {v}, not monthly"),
+    ("com_multiple_registrations", "any", "cancelled_present", None, "n", "Cancelled registrations on the entity's PAN: {note}"),
+    ("com_multiple_registrations", "any", "active_multi_state", None, "c", "Several active registrations on the entity's PAN: it works in several states"),
+    ("com_multiple_registrations", "ok", None, None, "c", "A single clean registration on the entity's PAN"), ("com_multiple_registrations", "low", None, None, "n", "Registrations on the entity's PAN: {v}"),
+    ("com_multiple_registrations", "open", None, None, "n", "Other registrations on the entity's PAN are neither clearly cancelled nor active: check by hand"),
+    ("com_hsn_match", "ok", None, None, "c", "Goods codes match the declared trade"), ("com_hsn_match", "low", None, None, "n", "Goods codes: {v}"),
+    ("com_gst_delay_days", "ok", None, None, "c", "No filing delay of over ten days"), ("com_gst_delay_days", "low", None, None, "n", "Longest filing delay: {v} days"),
+    ("com_bank_verification", "ok", None, None, "c", "Bank account checked live and registered with the tax portal"), ("com_bank_verification", "low", None, None, "n", "Bank account check: {v}"),
+    ("com_bank_verification", "open", None, None, "n", "Bank account not independently verified: no live check, and the tax portal does not vouch for it"),
+    ("com_pf_filing_status", "ok", None, None, "c", "Provident fund returns filed in time"), ("com_pf_filing_status", "low", None, None, "n", "Provident fund returns: {v}"),
+    ("addr_ownership_type", "any", "owned", "NO SALE DEED", "c", "Business premises owned, by inference: no sale deed on file"),
+    ("addr_ownership_type", "ok", None, None, "c", "Business premises: {v}"), ("addr_ownership_type", "low", None, None, "n", "Business premises: {v}"),
+    ("addr_electricity_bill", "ok", None, None, "c", "Electricity bill agrees with the registered address"), ("addr_electricity_bill", "low", None, None, "n", "Electricity bill address: {v}"),
+    ("addr_msme", "ok", None, None, "c", "MSME registration valid{udyam}"), ("addr_msme", "low", None, None, "n", "MSME registration: {v}"),
+    ("ident_pan_active", "ok", None, None, "c", "PAN is active"), ("ident_pan_active", "low", None, None, "n", "PAN status: {v}"),
+    ("ident_pan_name_match", "ok", None, None, "c", "PAN name agrees with the registered name"), ("ident_pan_name_match", "low", None, None, "n", "PAN name against the registered name: {v}; ask for clarification"),
+]
+#: Open parameters of these have no line of their own: their ownership is told by its note, legal ones are pooled.
+SILENT = ("addr_ownership_type",)
+NOTE_MARKERS = r"\b(GAP|WARNING|CRITICAL|DISCREPANCY|NOTE|CONFLICT|WATCHLIST HIT|namesakes dismissed)\b"
+
+
+def findings(param_scores: DataFrame, entity: DataFrame | None = None) -> DataFrame:
+    """vendor_id, kind (c confirmed, n note), text, without repeats (RPT-02).
+
+    Per parameter the first template that fits; PAN status and name in one line where
+    both are right; legal parameters pooled to a watchlist line, a clean line and how
+    many could not be screened; then why a parameter is open, and what marked notes say.
+    param_scores: vendor_id, category_id, parameter_id, value, matched_condition,
+    assigned_score, max_score, unresolved, note. entity: date_of_registration,
+    taxpayer_type, udyam_number, vintage per vendor, as far as it has them.
+    """
+    told = ("date_of_registration", "taxpayer_type", "udyam_number", "vintage")
+    have = [] if entity is None else [c for c in told if c in entity.columns]
+    rows = param_scores.join(entity.select("vendor_id", *have), "vendor_id", "left") if have else param_scores
+    known = {c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in have else F.lit(None).cast("string") for c in told}
+    ok = F.col("assigned_score") >= 0.6 * F.col("max_score")
+    state = F.when(F.col("unresolved"), F.when(F.col("max_score") > 0, "open")).when(ok, "ok").otherwise("low")
+    note = F.trim(F.coalesce("note", F.lit("")))
+    rows = rows.withColumn("_state", state).withColumn("_note", note)
+
+    templates = param_scores.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "t_ord int, t_param string, t_state string, t_value string, t_word string, t_kind string, t_text string")
+    fits = (F.col("t_param") == F.col("parameter_id")) & ((F.col("t_state") == F.col("_state")) | ((F.col("t_state") == "any") & F.col("_state").isin("ok", "low")))
+    fits = fits & (F.col("t_value").isNull() | (F.col("t_value") == F.col("value"))) & (F.col("t_word").isNull() | F.contains("_note", F.col("t_word")))
+    pan = F.col("parameter_id").isin("ident_pan_active", "ident_pan_name_match")
+    right = F.coalesce((F.col("_state").isin("ok", "low")) & F.col("value").isin("active", "match"), F.lit(False))
+    both = rows.where(pan).groupBy("vendor_id").agg(F.count_if(right).alias("n")).where("n = 2").select("vendor_id", F.lit(True).alias("_both"))
+    rows = rows.join(both, "vendor_id", "left")
+    each = rows.where((F.col("category_id") != "legal_aml") & F.col("_state").isNotNull() & ~(F.coalesce("_both", F.lit(False)) & pan))
+    scored = F.coalesce("matched_condition", "value", F.lit(""))
+    fill = {
+        "{v}": scored, "{note}": F.coalesce(F.nullif("_note", F.lit("")), F.lit("see the scores")),
+        "{since}": F.coalesce(F.concat(F.lit(" since "), known["date_of_registration"]), F.lit("")), "{taxpayer}": F.coalesce(F.concat(F.lit(", "), known["taxpayer_type"], F.lit(" taxpayer")), F.lit("")),
+        "{vintage}": F.coalesce(known["vintage"], scored), "{udyam}": F.coalesce(F.concat(F.lit(": "), known["udyam_number"]), F.lit("")),
+    }
+    text = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), kv[1]), fill.items(), F.col("t_text"))
+    first = each.join(F.broadcast(templates), fits, "left").groupBy("vendor_id", "parameter_id", "_state").agg(F.min_by(F.struct("t_kind", text.alias("text")), "t_ord").alias("t"))
+    silent = (F.col("_state") == "open") & ~F.col("parameter_id").isin(*SILENT)
+    lines = first.select("vendor_id", F.when(F.col("t").isNotNull(), F.col("t")).when(silent, F.struct(F.lit("n").alias("t_kind"), F.concat("parameter_id", F.lit(": not verified automatically")).alias("text"))).alias("t"))
+    lines = lines.where("t is not null").select("vendor_id", F.col("t.t_kind").alias("kind"), "t.text")
+    out = [lines, both.select("vendor_id", F.lit("c").alias("kind"), F.lit("PAN is active, and its name agrees with the registered name").alias("text"))]
+
+    aml = rows.where("category_id = 'legal_aml'")
+    pool = aml.groupBy("vendor_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("unresolved").alias("missing"), F.count_if(~F.col("unresolved") & (F.col("max_score") != 0) & (F.col("assigned_score") < F.col("max_score"))).alias("hit"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("unresolved"), F.col("parameter_id")))), ", ").alias("screened"),
+        F.max(F.when(~F.col("unresolved") & (F.col("parameter_id") == "legal_sanctions") & (F.col("value") == "adverse_watchlist"), F.col("_note"))).alias("watch"),
+    )
+    line = lambda when, kind, c: F.when(when, F.struct(F.lit(kind).alias("kind"), c.alias("text")))
+    clean, some = F.col("hit") == 0, F.col("missing") < F.col("n")
+    hit = F.left(F.trim(F.element_at(F.split(F.element_at(F.split("watch", r" \| "), 1), ":", 2), -1)), F.lit(280))
+    pooled = F.array_compact(F.array(
+        line(F.col("watch").isNotNull(), "n", F.concat(F.lit("Watchlist hit, to confirm or dismiss: "), hit)),
+        line(clean & some & (F.col("missing") == 0), "c", F.lit("No legal or AML record on any register")),
+        line(clean & some & (F.col("missing") > 0), "c", F.concat(F.lit("No record on the registers that were screened: "), "screened")),
+        line(F.col("missing") > 0, "n", F.format_string("%d of %d legal and AML registers could not be screened, and do not count as clean", "missing", "n")),
+    ))
+    out.append(pool.select("vendor_id", F.explode(pooled).alias("l")).select("vendor_id", "l.*"))
+
+    why = F.when((F.col("_state") == "open") & (F.col("_note") != ""), F.concat("parameter_id", F.lit(", not determined: "), headline(F.col("_note"))))
+    marked = F.when(F.col("_state").isin("ok", "low") & F.col("_note").rlike(NOTE_MARKERS), F.concat("parameter_id", F.lit(": "), headline(F.col("_note"), marker=NOTE_MARKERS)))
+    out.append(rows.select("vendor_id", F.lit("n").alias("kind"), F.coalesce(why, marked).alias("text")).where("text is not null"))
+    return reduce(lambda x, y: x.unionByName(y), out).dropDuplicates(["vendor_id", "kind", "text"])
 
 
 # Chips and the values that earn them.

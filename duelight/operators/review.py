@@ -20,10 +20,11 @@ def normalise_codes(findings: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def route_corrections(findings: DataFrame, resolved: DataFrame, specs: DataFrame) -> DataFrame:
-    """findings with route and reason: apply, note_only, or escalate (JN-16).
+    """findings with route and reason: apply, note_only, escalate, or none (JN-16).
 
     Only verified findings that ask to correct a known parameter act; a value must be
-    a number where the rules ask for one, else an allowed bucket.
+    a number where the rules ask for one, else an allowed bucket. Findings that ask for
+    neither a correction nor an escalation ask for nothing.
     """
     rows = findings.join(specs, "parameter_id", "left").join(resolved.select("vendor_id", "parameter_id", F.col("value").alias("_now")), ["vendor_id", "parameter_id"], "left")
     value = F.nullif(F.trim("proposed_value"), F.lit(""))
@@ -34,8 +35,49 @@ def route_corrections(findings: DataFrame, resolved: DataFrame, specs: DataFrame
         .when(F.col("numeric") & value.isNotNull() & value.try_cast("double").isNull(), "not a number")
         .when(~F.col("numeric") & value.isNotNull() & ~F.array_contains("buckets", F.lower(value)), "not an allowed value")
     )
-    route = F.when(reason.isNotNull(), "escalate").when(value.isNull(), "note_only").otherwise("apply")
-    return rows.withColumn("reason", reason).withColumn("route", route).drop("_now", "numeric", "buckets")
+    asks = F.coalesce(F.col("action").isin("correct", "escalate"), F.lit(False))
+    route = F.when(~asks, "none").when(reason.isNotNull(), "escalate").when(value.isNull(), "note_only").otherwise("apply")
+    return rows.withColumn("reason", F.when(asks, reason)).withColumn("route", route).drop("_now", "numeric", "buckets")
+
+
+# Fields of the entity that reports read.
+REPORT_FIELDS = (
+    "address", "bank_name", "bank_name_msme", "constitution", "date_of_incorporation", "date_of_registration", "declared_hsn", "electricity_bill_activity", "enterprise_type",
+    "gst_annual_aggregate_turnover", "gst_annual_aggregate_turnover_year", "gst_nature_of_business_activity", "gstin", "legal_name", "major_activity", "nature_of_business",
+    "nic_5_code", "nic_5_description", "pan", "state", "taxpayer_type", "trade_name", "udyam_number",
+)
+
+
+def route_field_corrections(findings: DataFrame, fields: tuple[str, ...] = REPORT_FIELDS) -> DataFrame:
+    """Findings that name no parameter, with route and reason (JN-16): verified corrections of a field that reports read apply."""
+    rows = findings.where(F.coalesce(F.trim("parameter_id"), F.lit("")) == "")
+    reason = (
+        F.when((F.col("action") != "correct") | (F.col("confidence") != "verified"), "not a verified correction")
+        .when(F.coalesce(F.trim("field"), F.lit("")) == "", "names neither a parameter nor a field")
+        .when(~F.col("field").isin(*fields), F.concat(F.lit("the report does not read "), "field", F.lit("; it reads "), F.lit(", ".join(fields))))
+        .when(F.coalesce(F.trim("proposed_value"), F.lit("")) == "", "no value is proposed")
+    )
+    asks = F.coalesce(F.col("action").isin("correct", "escalate"), F.lit(False))
+    return rows.withColumn("reason", F.when(asks, reason)).withColumn("route", F.when(~asks, "none").when(reason.isNotNull(), "escalate").otherwise("apply"))
+
+
+def apply_field_corrections(entity: DataFrame, routed: DataFrame) -> DataFrame:
+    """vendor_id, fields, version, changes: fields (a map) after every patch (JN-16).
+
+    The last writer of a field by pass and order wins; version counts the patches, and
+    changes tells each one in order with the value before it.
+    """
+    live = routed.where("route = 'apply'").select("vendor_id", "pass", "ord", "field", F.col("proposed_value").alias("after"))
+    earlier = F.lag("after").over(W.partitionBy("vendor_id", "field").orderBy("pass", "ord"))
+    live = live.withColumn("earlier", earlier)
+    last = live.groupBy("vendor_id", "field").agg(F.max_by("after", F.struct("pass", "ord")).alias("after"), F.collect_list(F.struct("pass", "ord", "field", "earlier", "after")).alias("steps"))
+    per = last.groupBy("vendor_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "after"))).alias("patch"), F.array_sort(F.flatten(F.collect_list("steps"))).alias("steps"))
+    # within one select a lambda would see the new column of the same name
+    rows = entity.withColumnRenamed("fields", "own").join(per, "vendor_id", "left")
+    kept = F.map_filter("own", lambda k, _: ~F.map_contains_key("patch", k))
+    before = F.transform("steps", lambda s: F.struct(s["pass"].alias("pass"), s["ord"].alias("ord"), s["field"].alias("field"), F.coalesce(s["earlier"], F.try_element_at("own", s["field"])).alias("before"), s["after"].alias("after")))
+    patched = F.when(F.col("patch").isNull(), F.col("own")).otherwise(F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), "patch"))
+    return rows.select("vendor_id", patched.alias("fields"), F.coalesce(F.size("steps"), F.lit(0)).alias("version"), F.coalesce(before, F.array().cast("array<struct<pass:bigint,ord:bigint,field:string,before:string,after:string>>")).alias("changes"))
 
 
 def apply_corrections(resolved: DataFrame, routed: DataFrame) -> DataFrame:
@@ -116,19 +158,43 @@ def usage_rollup(messages: DataFrame) -> DataFrame:
     return messages.rollup("vendor_id", "pass").agg(F.count(F.lit(1)).alias("messages"), *sums).where("vendor_id is not null")
 
 
-def evaluate_traces(findings: DataFrame, calls: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per vendor: findings, verified ones in passes without a tool call, expected ids hit and missed (AGG-16)."""
-    used = calls.select("vendor_id", "pass").distinct().withColumn("_used", F.lit(True))
+#: The call with which a reviewer hands in a pass; it looks nothing up.
+REPORT_CALL = "ReviewReport"
+
+
+def evaluate_traces(findings: DataFrame, calls: DataFrame, expected: DataFrame, corrections: DataFrame | None = None, report_call: str = REPORT_CALL) -> DataFrame:
+    """Per vendor (AGG-16): findings, verified ones in passes without a look-up, expected ids hit and missed, calls in all, and by
+    tool, findings by action and confidence, corrections applied and escalations.
+
+    findings: vendor_id, pass, parameter_id, confidence (and action, field). calls:
+    vendor_id, pass (and tool). corrections: routed findings (route). Counts are summed
+    per kind before they meet in one row, so a long trace is never gathered.
+    """
+    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    real = F.coalesce(has(calls, "tool") != report_call, F.lit(True))
+    used = calls.where(real).select("vendor_id", "pass").distinct().withColumn("_used", F.lit(True))
     rows = findings.join(used, ["vendor_id", "pass"], "left")
+    named = F.coalesce(F.col("parameter_id"), has(findings, "field"))
     per = rows.groupBy("vendor_id").agg(
         F.count(F.lit(1)).alias("findings"),
         F.count_if((F.col("confidence") == "verified") & F.col("_used").isNull()).alias("unsupported"),
-        F.collect_set("parameter_id").alias("flagged"),
+        F.collect_set(named).alias("flagged"),
     )
+    kinds = lambda df, c, name: df.groupBy("vendor_id", F.coalesce(c, F.lit("")).alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("vendor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
     both = per.join(expected.groupBy("vendor_id").agg(F.collect_set("parameter_id").alias("want")), "vendor_id", "full_outer")
-    none = F.array().cast("array<string>")
+    both = both.join(calls.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("calls")), "vendor_id", "left")
+    both = both.join(kinds(calls.where(real), has(calls, "tool"), "tools"), "vendor_id", "left")
+    both = both.join(kinds(findings, has(findings, "action"), "by_action"), "vendor_id", "left").join(kinds(findings, F.col("confidence"), "by_confidence"), "vendor_id", "left")
+    if corrections is not None:
+        routes = corrections.groupBy("vendor_id").agg(F.count_if(F.col("route").isin("apply", "note_only")).alias("corrections"), F.count_if(F.col("route") == "escalate").alias("escalations"))
+        both = both.join(routes, "vendor_id", "left")
+    else:
+        both = both.withColumns({"corrections": F.lit(0), "escalations": F.lit(0)})
+    none, blank = F.array().cast("array<string>"), F.create_map().cast("map<string,bigint>")
     hit, missed = recall_sets(F.coalesce("want", none), F.coalesce("flagged", none))
-    return both.select("vendor_id", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("unsupported", F.lit(0)).alias("unsupported"), hit.alias("hit"), missed.alias("missed"))
+    count = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("calls", "corrections", "escalations")]
+    maps = [F.coalesce(c, blank).alias(c) for c in ("tools", "by_action", "by_confidence")]
+    return both.select("vendor_id", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("unsupported", F.lit(0)).alias("unsupported"), hit.alias("hit"), missed.alias("missed"), *count, *maps)
 
 
 def recall_sets(expected: Column, flagged: Column) -> tuple[Column, Column]:
@@ -154,11 +220,16 @@ def route_passes(passes: DataFrame, most: int = 4) -> DataFrame:
     return passes.withColumn("route", F.when(again, "llm_review").otherwise("finalize")).withColumn("approved", F.col("verdict") == "approved")
 
 
-def state_text(resolved: DataFrame) -> DataFrame:
-    """One text per vendor with a line per parameter (REV-04)."""
+def state_text(resolved: DataFrame, entity: DataFrame | None = None, fields: tuple[str, ...] = REPORT_FIELDS) -> DataFrame:
+    """One text per vendor with a line per parameter, and where entity (vendor_id, fields map) is given one per field that reports read (REV-04)."""
     line = F.concat_ws(" = ", "parameter_id", F.coalesce("value", F.lit("UNRESOLVED")))
     rows = F.array_sort(F.collect_list(F.struct("parameter_id", line.alias("line"))))
-    return resolved.groupBy("vendor_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    per = resolved.groupBy("vendor_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    if entity is None:
+        return per
+    value = lambda f: F.coalesce(F.nullif(F.try_element_at("fields", F.lit(f)), F.lit("")), F.lit("None (the report shows N/A)"))
+    told = entity.select("vendor_id", F.concat_ws("\n", *[F.concat(F.lit(f"- {f}: "), value(f)) for f in fields]).alias("told"))
+    return per.join(told, "vendor_id", "full_outer").select("vendor_id", F.concat_ws("\n", "text", "told").alias("text"))
 
 
 def cap_result(c: Column, limit: int = 6000) -> Column:

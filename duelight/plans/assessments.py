@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelight.functions.text import MONTHS
-from duelight.operators import ocr, resolve
+from duelight.operators import ocr, report, resolve, review
 from duelight.plans import vendors
 from duelight.plans.analogues import _certificates
 from duelight.plans.catalog import query, table
@@ -142,3 +142,74 @@ def bank_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts = F.array(*[F.struct(F.lit(s).alias("source"), c.alias("number")) for s, c in (("cancelled cheque", cheque), ("MSME certificate", msme), ("GST portal", portal))])
     value, note = resolve.bank_answer(accounts, k % 7 < 3, F.when(k % 7 > 0, "H"), F.when(k % 3 < 2, k % 3 == 0), cheque, portal, F.when(k % 4 < 2, k % 4 == 0), F.lit(None).cast("string"), F.when(k % 6 < 2, k % 6 == 0))
     return table(spark, sf_dir, "customer").select(k.alias("vendor_id"), value.alias("value"), note.alias("note"))
+
+
+# ---- review and report
+@query("""WITH f AS (SELECT user_id AS vendor_id, CAST(day(ts) AS BIGINT) AS pass, event_id AS ord, CASE event_type WHEN 'view' THEN 'gstin' WHEN 'purchase' THEN 'state' WHEN 'refund' THEN 'gst_since' END AS field, CASE WHEN value > 20 THEN CAST(event_id AS VARCHAR) END AS v, value > 10 AS sure, event_id % 4 > 0 AS correct FROM events),
+    r AS (SELECT *, CASE WHEN NOT correct THEN 'none' WHEN sure AND field IN ('gstin', 'state') AND v IS NOT NULL THEN 'apply' ELSE 'escalate' END AS route FROM f),
+    l AS (SELECT vendor_id, arg_max(v, {'p': pass, 'o': ord}) FILTER (field = 'gstin') AS gstin, arg_max(v, {'p': pass, 'o': ord}) FILTER (field = 'state') AS state, count(*) AS version, min_by(ord, {'p': pass, 'o': ord}) AS first FROM r WHERE route = 'apply' GROUP BY vendor_id),
+    s AS (SELECT vendor_id, count(*) FILTER (route = 'escalate') AS escalated FROM r GROUP BY vendor_id)
+    SELECT vendor_id, coalesce(gstin, 'G' || vendor_id) AS gstin, coalesce(state, CASE WHEN vendor_id % 2 = 0 THEN 'Goa' END) AS state, 'kept' AS legal_name, CAST(coalesce(version, 0) AS INTEGER) AS version,
+        (SELECT CASE WHEN field = 'gstin' THEN 'G' || vendor_id ELSE CASE WHEN vendor_id % 2 = 0 THEN 'Goa' END END FROM r WHERE r.vendor_id = s.vendor_id AND r.ord = l.first AND route = 'apply') AS first_before, escalated FROM s LEFT JOIN l USING (vendor_id)""")
+def corrected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-16: entity fields of users after every correction of a field, how many there were, and what the first one found."""
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    field = F.when(F.col("event_type") == "view", "gstin").when(F.col("event_type") == "purchase", "state").when(F.col("event_type") == "refund", "gst_since")
+    rows = e.select(
+        F.col("user_id").alias("vendor_id"), F.dayofmonth("ts").cast("long").alias("pass"), F.col("event_id").alias("ord"), F.lit(None).cast("string").alias("parameter_id"), field.alias("field"),
+        F.when(v > 20, F.col("event_id").cast("string")).alias("proposed_value"), F.when(v > 10, "verified").otherwise("likely").alias("confidence"), F.when(F.col("event_id") % 4 > 0, "correct").otherwise("confirm_ok").alias("action"),
+    )
+    routed = review.route_field_corrections(rows)
+    own = F.col("vendor_id")
+    fields = F.map_filter(F.create_map(F.lit("gstin"), F.concat(F.lit("G"), own.cast("string")), F.lit("state"), F.when(own % 2 == 0, "Goa"), F.lit("legal_name"), F.lit("kept")), lambda _, x: x.isNotNull())
+    out = review.apply_field_corrections(rows.select("vendor_id").distinct().withColumn("fields", fields), routed)
+    escalated = routed.groupBy("vendor_id").agg(F.count_if(F.col("route") == "escalate").alias("escalated"))
+    of = lambda name: F.try_element_at("fields", F.lit(name)).alias(name)
+    return out.join(escalated, "vendor_id").select("vendor_id", of("gstin"), of("state"), of("legal_name"), "version", F.get("changes", 0)["before"].alias("first_before"), "escalated")
+
+
+_TOLD = [
+    ("compliance", "com_gstin_active", 5.0), ("compliance", "com_multiple_registrations", 2.0), ("compliance", "com_bank_verification", 5.0), ("compliance", "com_pf_filing_status", 0.0), ("proof_of_address", "addr_ownership_type", 5.0),
+    ("proof_of_identity", "ident_pan_active", 2.0), ("proof_of_identity", "ident_pan_name_match", 3.0), ("legal_aml", "legal_sanctions", 1.0), ("legal_aml", "legal_pep", 1.0),
+]
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg FROM customer), l AS (
+        SELECT k, 'c' AS kind, 'GST registration is active since ' || seg AS text FROM c WHERE k % 3 = 0
+        UNION ALL SELECT k, 'n', 'GST registration status: option suspended' FROM c WHERE k % 3 = 1
+        UNION ALL SELECT k, 'n', 'com_gstin_active: not verified automatically' FROM c WHERE k % 3 = 2
+        UNION ALL SELECT k, 'n', 'Cancelled registrations on the entity''s PAN: GAP: two states' FROM c WHERE k % 4 = 0
+        UNION ALL SELECT k, 'n', 'com_multiple_registrations: GAP: two states' FROM c WHERE k % 4 = 0
+        UNION ALL SELECT k, 'c', 'Several active registrations on the entity''s PAN: it works in several states' FROM c WHERE k % 4 = 1
+        UNION ALL SELECT k, 'c', 'A single clean registration on the entity''s PAN' FROM c WHERE k % 4 = 2
+        UNION ALL SELECT k, 'n', 'Other registrations on the entity''s PAN are neither clearly cancelled nor active: check by hand' FROM c WHERE k % 4 = 3
+        UNION ALL SELECT k, 'c', 'Bank account checked live and registered with the tax portal' FROM c WHERE k % 5 = 0
+        UNION ALL SELECT k, 'n', unnest(['Bank account check: option x', 'com_bank_verification: CRITICAL: another holder']) FROM c WHERE k % 5 = 1
+        UNION ALL SELECT k, 'n', unnest(['Bank account not independently verified: no live check, and the tax portal does not vouch for it', 'com_bank_verification, not determined: no result.']) FROM c WHERE k % 5 > 1
+        UNION ALL SELECT k, 'c', CASE WHEN k % 2 = 0 THEN 'Business premises owned, by inference: no sale deed on file' ELSE 'Business premises: option owned' END FROM c
+        UNION ALL SELECT k, 'c', 'PAN is active, and its name agrees with the registered name' FROM c WHERE k % 2 = 0 AND k % 3 = 0
+        UNION ALL SELECT k, 'c', 'PAN is active' FROM c WHERE k % 2 = 0 AND k % 3 > 0
+        UNION ALL SELECT k, 'n', 'ident_pan_active: not verified automatically' FROM c WHERE k % 2 = 1
+        UNION ALL SELECT k, 'c', 'PAN name agrees with the registered name' FROM c WHERE k % 2 = 1 AND k % 3 = 0
+        UNION ALL SELECT k, 'n', 'PAN name against the registered name: option not_match; ask for clarification' FROM c WHERE k % 3 > 0
+        UNION ALL SELECT k, 'n', unnest(['Watchlist hit, to confirm or dismiss: dealers', 'legal_sanctions: WATCHLIST HIT (confirm or dismiss): dealers | lists: none']) FROM c WHERE k % 7 = 0
+        UNION ALL SELECT k, 'c', CASE WHEN k % 6 = 0 THEN 'No record on the registers that were screened: legal_sanctions' ELSE 'No legal or AML record on any register' END FROM c WHERE k % 7 > 0
+        UNION ALL SELECT k, 'n', '1 of 2 legal and AML registers could not be screened, and do not count as clean' FROM c WHERE k % 6 = 0)
+    SELECT k AS vendor_id, kind, text FROM l""")
+def told_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT-02: what the report says of every customer's parameters."""
+    k = F.col("vendor_id")
+    v = {
+        "com_gstin_active": F.when(k % 3 == 0, "active").when(k % 3 == 1, "suspended"), "com_multiple_registrations": F.when(k % 4 == 0, "cancelled_present").when(k % 4 == 1, "active_multi_state").when(k % 4 == 2, "no_additional"),
+        "com_bank_verification": F.when(k % 5 == 0, "ok").when(k % 5 == 1, "x"), "com_pf_filing_status": F.lit(None).cast("string"), "addr_ownership_type": F.lit("owned"), "ident_pan_active": F.when(k % 2 == 0, "active"),
+        "ident_pan_name_match": F.when(k % 3 == 0, "match").otherwise("not_match"), "legal_sanctions": F.when(k % 7 == 0, "adverse_watchlist").otherwise("not_listed"), "legal_pep": F.when(k % 6 > 0, "no_pep"),
+    }
+    good = ("active", "no_additional", "active_multi_state", "ok", "owned", "match", "not_listed", "no_pep")
+    note = {
+        "com_multiple_registrations": F.when(k % 4 == 0, "GAP: two states"), "com_bank_verification": F.when(k % 5 == 1, "CRITICAL: another holder").when(k % 5 > 1, "no result."),
+        "com_pf_filing_status": F.lit("N/A: no establishment"), "addr_ownership_type": F.when(k % 2 == 0, "inferred; NO SALE DEED ON FILE"), "legal_sanctions": F.when(k % 7 == 0, "WATCHLIST HIT (confirm or dismiss): dealers | lists: none"),
+    }
+    row = lambda c, p, most: F.struct(F.lit(c).alias("category_id"), F.lit(p).alias("parameter_id"), v[p].alias("value"), F.concat(F.lit("option "), v[p]).alias("matched_condition"), F.when(v[p].isin(*good), most).otherwise(0.0).alias("assigned_score"), F.lit(most).alias("max_score"), v[p].isNull().alias("unresolved"), note.get(p, F.lit(None)).cast("string").alias("note"))
+    vendors_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vendor_id"), "c_mktsegment")
+    scores = vendors_.select("vendor_id", F.explode(F.array(*[row(*t) for t in _TOLD])).alias("r")).select("vendor_id", "r.*")
+    return report.findings(scores, vendors_.withColumnRenamed("c_mktsegment", "date_of_registration"))

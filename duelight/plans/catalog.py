@@ -284,17 +284,30 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.usage_rollup(rows)
 
 
-@query("""WITH f AS (SELECT user_id AS vendor_id, CAST(day(ts) AS BIGINT) AS pass, event_type AS parameter_id, CASE WHEN value > 50 THEN 'verified' ELSE 'likely' END AS confidence FROM events),
-    u AS (SELECT DISTINCT vendor_id, pass FROM f WHERE parameter_id = 'view'),
-    p AS (SELECT f.vendor_id, count(*) AS findings, count(*) FILTER (confidence = 'verified' AND u.vendor_id IS NULL) AS unsupported, list(DISTINCT parameter_id) AS flagged FROM f LEFT JOIN u ON f.vendor_id = u.vendor_id AND f.pass = u.pass GROUP BY f.vendor_id)
-    SELECT vendor_id, findings, unsupported, array_to_string(list_sort(list_intersect(['error', 'purchase', 'refund'], flagged)), ',') AS hit, array_to_string(list_sort(list_filter(['error', 'purchase', 'refund'], lambda x: NOT list_contains(flagged, x))), ',') AS missed FROM p""")
+@query("""WITH f AS (SELECT user_id AS vendor_id, CAST(day(ts) AS BIGINT) AS pass, event_type AS parameter_id, CASE WHEN value > 50 THEN 'verified' ELSE 'likely' END AS confidence, CASE event_id % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'escalate' ELSE 'confirm_ok' END AS action, event_id % 5 AS t FROM events),
+    c AS (SELECT vendor_id, pass, CASE t WHEN 0 THEN 'ReviewReport' WHEN 1 THEN 'look' ELSE 'ask' END AS tool FROM f WHERE parameter_id = 'view'),
+    u AS (SELECT DISTINCT vendor_id, pass FROM c WHERE tool <> 'ReviewReport'),
+    p AS (SELECT f.vendor_id, count(*) AS findings, count(*) FILTER (confidence = 'verified' AND u.vendor_id IS NULL) AS unsupported, list(DISTINCT parameter_id) AS flagged,
+            count(*) FILTER (action = 'correct' AND confidence = 'verified') AS corrections, count(*) FILTER (action = 'escalate' OR action = 'correct' AND confidence <> 'verified') AS escalations
+        FROM f LEFT JOIN u ON f.vendor_id = u.vendor_id AND f.pass = u.pass GROUP BY f.vendor_id),
+    k AS (SELECT vendor_id, 'a' AS kind, action AS name, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT vendor_id, 'c', confidence, count(*) FROM f GROUP BY ALL UNION ALL SELECT vendor_id, 't', tool, count(*) FROM c WHERE tool <> 'ReviewReport' GROUP BY ALL),
+    m AS (SELECT vendor_id, coalesce(string_agg(name || ':' || n, ',' ORDER BY name) FILTER (kind = 'a'), '') AS by_action, coalesce(string_agg(name || ':' || n, ',' ORDER BY name) FILTER (kind = 'c'), '') AS by_confidence, coalesce(string_agg(name || ':' || n, ',' ORDER BY name) FILTER (kind = 't'), '') AS tools FROM k GROUP BY vendor_id),
+    n AS (SELECT vendor_id, count(*) AS calls FROM c GROUP BY vendor_id)
+    SELECT vendor_id, findings, unsupported, array_to_string(list_sort(list_intersect(['error', 'purchase', 'refund'], flagged)), ',') AS hit, array_to_string(list_sort(list_filter(['error', 'purchase', 'refund'], lambda x: NOT list_contains(flagged, x))), ',') AS missed,
+        coalesce(calls, 0) AS calls, corrections, escalations, tools, by_action, by_confidence FROM p JOIN m USING (vendor_id) LEFT JOIN n USING (vendor_id)""")
 def trace_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-16: findings of a user's days, unsupported ones, and recall of three expected kinds."""
-    e = table(spark, sf_dir, "events")
-    found = e.select(F.col("user_id").alias("vendor_id"), F.dayofmonth("ts").cast("long").alias("pass"), F.col("event_type").alias("parameter_id"), F.when(F.col("value") > 50, "verified").otherwise("likely").alias("confidence"))
+    """AGG-16: findings of a user's days, unsupported ones, recall of three expected kinds, and counts of calls, tools, actions, confidence, corrections and escalations."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    action = F.when(k % 3 == 0, "correct").when(k % 3 == 1, "escalate").otherwise("confirm_ok")
+    tool = F.when(k % 5 == 0, review.REPORT_CALL).when(k % 5 == 1, "look").otherwise("ask")
+    found = e.select(F.col("user_id").alias("vendor_id"), F.dayofmonth("ts").cast("long").alias("pass"), F.col("event_type").alias("parameter_id"), F.when(F.col("value") > 50, "verified").otherwise("likely").alias("confidence"), action.alias("action"), tool.alias("tool"))
     want = found.select("vendor_id").distinct().select("vendor_id", F.explode(F.array(F.lit("error"), F.lit("purchase"), F.lit("refund"))).alias("parameter_id"))
-    rows = review.evaluate_traces(found, found.where("parameter_id = 'view'"), want)
-    return rows.select("vendor_id", "findings", "unsupported", F.array_join("hit", ",").alias("hit"), F.array_join("missed", ",").alias("missed"))
+    asked = found.withColumns({"proposed_value": F.lit("1"), "proposed_note": F.lit("")})
+    kinds = found.select("parameter_id").distinct().select("parameter_id", F.lit(True).alias("numeric"), F.array().cast("array<string>").alias("buckets"))
+    routed = review.route_corrections(asked, asked.where("false").select("vendor_id", "parameter_id", F.col("proposed_value").alias("value")), kinds)
+    rows = review.evaluate_traces(found, found.where("parameter_id = 'view'"), want, routed)
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias(c)
+    return rows.select("vendor_id", "findings", "unsupported", F.array_join("hit", ",").alias("hit"), F.array_join("missed", ",").alias("missed"), "calls", "corrections", "escalations", shown("tools"), shown("by_action"), shown("by_confidence"))
 
 
 @query("""SELECT event_id AS call_no, CASE WHEN event_id > min(event_id) OVER w THEN min(event_id) OVER w END AS repeats FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE), event_type, props)""")
