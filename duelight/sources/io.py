@@ -19,9 +19,9 @@ def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("vendor_id", "path", "file_name", order.alias("seq"))
 
 
-def scan_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Cached answers with their data as VARIANT, one "data" envelope unwrapped (SRC-03)."""
-    rows = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+def scan_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Cached answers, a file or (once compacted) a line each, with their data as VARIANT, one "data" envelope unwrapped (SRC-03)."""
+    rows = spark.read.text(path, wholetext=not lines).select(F.try_parse_json("value").alias("v"))
     get = lambda p, kind: F.try_variant_get("v", p, kind)
     data = F.coalesce(get("$.data.data", "variant"), get("$.data", "variant"))
     return rows.select(get("$._path", "string").alias("endpoint"), F.timestamp_seconds(get("$._fetched_at", "double")).alias("fetched_at"), get("$._params", "string").alias("params"), data.alias("data"))
@@ -42,8 +42,9 @@ def scan_watchlist_xml(spark: SparkSession, path: str, row_tag: str, name_cols:
     return rows.select(F.explode(F.array_compact(F.array(*[F.col(c).cast("string") for c in have]))).alias("name")) if have else spark.createDataFrame([], "name string")
 
 
-def scan_watchlist_json(spark: SparkSession, path: str, array_path: str, name_col: str) -> DataFrame:
-    rows = spark.read.json(path, multiLine=True)
+def scan_watchlist_json(spark: SparkSession, path: str, array_path: str, name_col: str, lines: bool = False) -> DataFrame:
+    """name of every entry of an array of JSON objects, a file or a line each (SRC-05)."""
+    rows = spark.read.json(path, multiLine=not lines)
     return rows.select(F.explode(array_path).alias("r")).select(F.col(f"r.{name_col}").alias("name"))
 
 
@@ -76,9 +77,9 @@ def scan_bindings(rows: DataFrame) -> DataFrame:
     return b.select(F.col("b.personLabel.value").alias("name"), F.col("b.positionLabel.value").alias("position"), F.left("b.start.value", F.lit(10)).alias("since"))
 
 
-def load_score_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """score_params, score_rules, grades of a nested scoring model, in its order (SRC-11)."""
-    model = spark.read.json(path, multiLine=True)
+def load_score_rules(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """score_params, score_rules, grades of a nested scoring model (or of one a line), in its order (SRC-11)."""
+    model = spark.read.json(path, multiLine=not lines)
     cats = model.select(F.posexplode("categories").alias("cat_ord", "c"))
     params = cats.select(F.col("c.categoryId").alias("category_id"), F.col("c.categoryName").alias("category_name"), "cat_ord", F.posexplode("c.parameters").alias("param_ord", "p"))
     flat = params.select("category_id", "category_name", "cat_ord", F.col("p.parameterId").alias("parameter_id"), F.col("p.parameterName").alias("parameter_name"), "param_ord", F.col("p.maxParameterScore").cast("double").alias("max_score"), F.coalesce("p.conditional", F.lit(False)).alias("conditional"))
@@ -95,8 +96,9 @@ def load_overrides(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn(value, F.lower(F.trim(value))) if value == "doc_type" else rows
 
 
-def scan_traces(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def scan_traces(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Traces, a file or (as `write_traces` leaves them) a line each (SRC-13)."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def apply_manual_overrides(resolved: DataFrame, overrides: DataFrame, parameter_id: str) -> DataFrame:

@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def write_once(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back, so that whatever starts from it computes it once and no executor holds it alone.
-
-    Where a local session leaves the setting unset, a temporary folder stands in.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder of spark.checkpoint.dir. Where a local session leaves the setting unset, a temporary folder stands in."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read back, so that whatever starts from it computes it once and no executor holds it alone."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelight.operators import cases, classify, extract, filings, match, ocr, registry, resolve, review, score, screening
-from duelight.plans import analogues, assessments, catalog  # noqa: F401
+from duelight.plans import analogues, assessments, catalog, formats  # noqa: F401
 from duelight.sources import io
 
 
