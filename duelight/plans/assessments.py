@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelight.functions import names, text
 from duelight.functions.text import MONTHS
-from duelight.operators import ocr, report, resolve, review
+from duelight.operators import classify, consistency, ocr, registry, report, resolve, review, score, screening
 from duelight.plans import vendors
 from duelight.plans.analogues import _certificates
 from duelight.plans.catalog import query, table
@@ -213,3 +214,114 @@ def told_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     vendors_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vendor_id"), "c_mktsegment")
     scores = vendors_.select("vendor_id", F.explode(F.array(*[row(*t) for t in _TOLD])).alias("r")).select("vendor_id", "r.*")
     return report.findings(scores, vendors_.withColumnRenamed("c_mktsegment", "date_of_registration"))
+
+
+# ---- operators on one table each
+def _part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per part, of its type."""
+    size = F.col("p_size")
+    expr = F.when(size % 2 == 0, F.concat(F.lit('value == "'), F.lower("p_brand"), F.lit('"'))).otherwise(F.concat(F.lit("value > "), size.cast("string")))
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("parameter_id"), F.col("p_partkey").cast("int").alias("ordinal"), expr.alias("expr"), F.col("p_brand").alias("condition"), size.cast("double").alias("assigned_score"))
+
+
+_PART_RULES_SQL = """SELECT p_type AS parameter_id, p_partkey AS ordinal, CASE WHEN p_size % 2 = 0 THEN 'value == "' || lower(p_brand) || '"' ELSE 'value > ' || p_size END AS expr, p_brand AS condition, CAST(p_size AS DOUBLE) AS assigned_score, p_size % 2 = 0 AS word, lower(p_brand) AS text FROM part"""
+
+
+@query(f"""SELECT left(sha256(string_agg(concat_ws('|', parameter_id, CAST(ordinal AS VARCHAR), expr, condition, CAST(assigned_score AS VARCHAR)), chr(10) ORDER BY parameter_id, ordinal)), 12) AS rules_hash FROM ({_PART_RULES_SQL})""")
+def rule_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-19: the fingerprint of a rule table."""
+    return score.rules_hash(_part_rules(spark, sf_dir))
+
+
+@query(f"""SELECT parameter_id, bool_or(NOT word) AS numeric, coalesce(string_agg(DISTINCT text, ',' ORDER BY text) FILTER (word), '') AS buckets FROM ({_PART_RULES_SQL}) GROUP BY parameter_id""")
+def allowed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REV-01, OVR-04: what may be corrected to, by parameter."""
+    return score.param_specs(_part_rules(spark, sf_dir)).withColumn("buckets", F.array_join("buckets", ","))
+
+
+@query("""SELECT o_custkey AS vendor_id, o_orderkey AS id, o_orderstatus AS kind, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS note FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+def carried_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-06: earlier audit rows with new ones, which have a column more."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("vendor_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("note"))
+    return review.append_audit(o.where("kind = 'F'").drop("note"), o.where("kind = 'O'"))
+
+
+@query("""WITH n AS (SELECT user_id AS vendor_id, event_type AS parameter_id, CASE event_id % 4 WHEN 0 THEN 'GAP: ' || props WHEN 1 THEN ' value Inferred from ' || repeat(props, 20) WHEN 2 THEN props END AS note FROM events)
+    SELECT vendor_id, parameter_id || ': ' || CASE WHEN length(trim(note)) > 220 THEN left(trim(note), 220) || '...' ELSE trim(note) END AS item FROM n WHERE note LIKE 'GAP%' OR note LIKE '%Inferred%'""")
+def cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-07: notes that ask for a second look."""
+    k = F.col("event_id") % 4
+    note = F.when(k == 0, F.concat(F.lit("GAP: "), "props")).when(k == 1, F.concat(F.lit(" value Inferred from "), F.repeat("props", F.lit(20)))).when(k == 2, F.col("props"))
+    return resolve.cross_check_items(table(spark, sf_dir, "events").select(F.col("user_id").alias("vendor_id"), F.col("event_type").alias("parameter_id"), note.alias("note")))
+
+
+@query("""SELECT user_id AS vendor_id, count(DISTINCT event_id) >= 10 AND count(*) FILTER (event_type = 'error') = 0 AS comprehensive FROM events GROUP BY user_id""")
+def comprehensive_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-10: users' answers of ten categories and more and no error."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("vendor_id")).agg(F.collect_set(F.col("event_id").cast("string")).alias("categories"), F.max(F.when(F.col("event_type") == "error", "failed")).alias("error"))
+    return e.select("vendor_id", screening.is_comprehensive(F.col("categories"), F.col("error")).alias("comprehensive"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS v, string_agg(o_orderkey, ',' ORDER BY CAST(o_orderkey AS VARCHAR)) FILTER (nth <= 15) AS codes, greatest(max(nth) - 15, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) AS nth FROM orders) GROUP BY 1),
+    r AS (SELECT o_custkey AS v, string_agg(o_orderkey, ',' ORDER BY nth) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders) WHERE nth <= 26 GROUP BY 1)
+    SELECT c_custkey AS vendor_id, c_name AS name, coalesce(codes, '') AS codes, more AS more_hsn, coalesce(latest, '') AS latest FROM customer LEFT JOIN h ON h.v = c_custkey LEFT JOIN r ON r.v = c_custkey""")
+def compact_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-14: a customer's answer cut to its first codes and latest filings."""
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "vendor_id")
+    detail = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vendor_id"), F.col("c_name").alias("name"))
+    hsn = o.select("vendor_id", F.col("o_orderkey").cast("string").alias("code"), F.repeat("o_orderpriority", F.lit(20)).alias("description"))
+    recent = o.select("vendor_id", F.col("o_orderdate").alias("period"), F.col("o_orderkey").alias("return_type"), F.lit(0).alias("delay_days"))
+    summary = o.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("periods"))
+    out = registry.compact_registry(detail, hsn, summary, recent)
+    joined = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda r: r[f].cast("string")), ","), F.lit(""))
+    return out.select("vendor_id", "name", joined("hsn", "code").alias("codes"), "more_hsn", joined("recent", "return_type").alias("latest"))
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 10 = 2 THEN 'cancelled_cheque' WHEN c_custkey % 3 > 0 THEN CASE c_custkey % 10 WHEN 1 THEN 'msme_certificate' ELSE 'pan_entity' END END AS doc_type, c_custkey % 10 <> 2 AND c_custkey % 3 > 0 AS by_text
+    FROM customer WHERE c_custkey % 10 IN (1, 2, 5)""")
+def reclassified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-03: documents typed by name, else by a confident text."""
+    docs = _certificates(spark, sf_dir).where("doc_id % 10 in (1, 2, 5)")
+    named = docs.select("vendor_id", "doc_id", F.when(F.col("doc_id") % 10 == 2, "cancelled cheque.jpg").otherwise("scan.pdf").alias("file_name"), "seq")
+    read = docs.select("doc_id", "text", (F.col("doc_id") % 3 > 0).alias("confident"))
+    return classify.classify(named, read).select("doc_id", "doc_type", "by_text")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) WHEN event_id % 3 = 1 THEN '0' ELSE json_extract_string(props, '$.k') END AS value FROM events""")
+def first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN-02: the first of several paths that holds more than nothing; zero counts."""
+    k = F.col("event_id") % 3
+    body = F.when(k == 0, F.to_json(F.struct(F.col("user_id").alias("a")))).when(k == 1, '{"a": "", "b": {"c": [0]}}').otherwise(F.concat(F.lit('{"a": null, "d": '), "props", F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", text.first_of(F.parse_json(body), "a", "b.c.0", "d.k").alias("value"))
+
+
+_STOPPED = ", ".join(f"'{w}'" for w in names.STOP_WORDS)
+
+
+@query(rf"""WITH p AS (SELECT p_partkey, lower(trim(p_name)) AS own, min(lower(trim(p_name))) OVER (PARTITION BY p_brand) AS other FROM part),
+    t AS (SELECT *, list_filter(regexp_extract_all(own, '\b[a-z0-9]{{3,}}\b'), lambda w: w NOT IN ({_STOPPED})) AS mine, regexp_extract_all(other, '\b[a-z0-9]{{3,}}\b') AS theirs FROM p),
+    h AS (SELECT *, len(list_filter(mine, lambda w: list_contains(theirs, w))) AS hits, len(list_distinct(list_filter(theirs, lambda w: w NOT IN ({_STOPPED})))) AS few FROM t)
+    SELECT p_partkey, own = other OR len(mine) >= 2 AND (hits = len(mine) OR hits >= 2) OR len(mine) = 1 AND hits = 1 AND few <= 3 AS same FROM h""")
+def token_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03: each part's name in its brand's first name, by whole tokens."""
+    p = table(spark, sf_dir, "part").withColumn("own", F.lower(F.trim("p_name")))
+    first = p.groupBy("p_brand").agg(F.min("own").alias("other"))
+    return p.join(first, "p_brand").select("p_partkey", names.token_match(F.col("p_name"), F.col("other")).alias("same"))
+
+
+@query("""WITH d AS (SELECT c_custkey // 3 AS v, c_custkey AS k, c_custkey % 3 AS kind, c_custkey // 3 % 4 AS m FROM customer), a AS (SELECT v FROM d WHERE kind = 0)
+    SELECT v AS vendor_id, CAST(k AS BIGINT) AS doc_id, w AS warning FROM (
+        SELECT d.v, k, unnest(CASE WHEN kind = 1 AND m = 0 THEN ['another GSTIN than the certificate'] WHEN kind = 1 AND m = 1 THEN ['name does not match the certificate: Quill Forge']
+            WHEN kind = 2 AND m = 2 THEN ['an individual''s PAN filed as the entity''s', 'in the name of partner Rose Kumar'] WHEN kind = 2 AND m = 3 THEN ['another PAN than the certificate'] ELSE [] END) AS w FROM d JOIN a ON a.v = d.v)
+    UNION ALL SELECT DISTINCT v, CAST(NULL AS BIGINT), 'no readable certificate to compare with' FROM d WHERE v NOT IN (SELECT v FROM a)""")
+def consistency_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-19: documents of three customers each against their certificate."""
+    k = F.col("c_custkey")
+    v, kind, m = F.floor(k / 3), k % 3, F.floor(k / 3) % 4
+    fields = lambda **kv: F.map_filter(F.create_map(*[x for n, c in kv.items() for x in (F.lit(n), c.cast("string") if not isinstance(c, str) else F.lit(c))]), lambda _, x: x.isNotNull())
+    certificate = fields(gstin="27AAAFA1234B1Z5", legal_name="Asha Traders")
+    form = fields(gstin=F.when(m == 0, "27AAAFZ9999B1Z5").otherwise("27AAAFA1234B1Z5"), name=F.when(m == 1, "Quill Forge").otherwise("M/s. Asha Traders Ltd"))
+    card = fields(pan=F.when(m == 2, "BBBPK1234C").when(m == 3, "BBBFK1234C").otherwise("AAAFA1234B"), name=F.when(m == 2, "Rose Kumar").otherwise("ASHA TRADERS"))
+    rows = table(spark, sf_dir, "customer").select(v.alias("vendor_id"), k.alias("doc_id"), F.when(kind == 0, "gst_certificate").when(kind == 1, "kyc_form").otherwise("pan_entity").alias("doc_type"), kind.alias("seq"), F.when(kind == 0, certificate).when(kind == 1, form).otherwise(card).alias("fields"))
+    people = rows.select("vendor_id").distinct().withColumn("person", F.lit("Rose Kumar"))
+    return consistency.check_consistency(rows, people)
