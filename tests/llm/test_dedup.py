@@ -253,3 +253,47 @@ def test_blocks_split_words_alike(size):
     texts = ["a bb  c", None, "", "x", "y z", "\x0bq\x0c", "é ü"]
     got = [[bytes(b.data[s:e]).decode() for s, e in zip(b.start[i:j], b.end[i:j])] for b in blocks(pa.array(texts), size) for i, j in zip(b.word_from[:-1], b.word_from[1:])]
     assert got == [(t or "").split() for t in texts]
+
+
+def test_short_texts_link_wherever_they_are_edited(spark, monkeypatch):
+    """Every pair of short texts within 20% of edits ends in one class, also in hot buckets: equal to all pairs by plain edit distance."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(30)]
+    docs = {}
+    for k in range(90):
+        base = rng.choices(words, k=rng.randrange(5, 24))
+        docs[3 * k] = base
+        for j in (1, 2):
+            new = list(base)
+            for _ in range(rng.randrange(1, len(base) // 5 + 1)):
+                at, what = rng.randrange(len(new)), rng.randrange(3)
+                new[at : at + (what < 2)] = [rng.choice(words)] if what != 1 else []
+            docs[3 * k + j] = new
+    ids = sorted(docs)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if docs[a] == docs[b] or distance(docs[a], docs[b]) <= int(0.2 * max(len(docs[a]), len(docs[b])) + 1e-9)]
+    links = [(a, b) for a, b in links if min(len(docs[a]), len(docs[b])) <= neardup.SHORT]
+    want = parts(links, ids)
+    assert len(links) > 150
+    table = spark.createDataFrame([(i, " ".join(w), "x") for i, w in docs.items()], "doc_id long, text string, key string")
+    for cold in (64, 3):
+        monkeypatch.setattr(neardup, "COLD", cold)
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()}
+        assert all(got[a] == got[b] for a, b in links)
+        assert all(got[i] == want[i] for i in ids if len(docs[i]) <= neardup.SHORT and all(len(docs[j]) <= neardup.SHORT for j in ids if want[j] == want[i]))
+
+
+def test_segments_meet_for_every_pair(spark):
+    """The stretches of the shorter text hold an intact segment of the longer one, for random edits of texts over few words."""
+    rng = random.Random(3)
+    for _ in range(3000):
+        long = [rng.randrange(4) for _ in range(rng.randrange(5, 26))]
+        most = neardup.most_edits(len(long))
+        other = list(long)
+        for _ in range(most):
+            at, what = rng.randrange(len(other)), rng.randrange(3)
+            other[at : at + (what < 2)] = [rng.randrange(4)] if what != 1 else []
+        a, b = sorted((long, other), key=len)
+        if len(a) > neardup.SHORT or distance(a, b) > neardup.most_edits(len(b)):
+            continue
+        keys = [{(n, tuple(t[s:e])) for s, e, n in zip(*(x.tolist() for x in neardup.segments(len(t))))} for t in (a, b)]
+        assert keys[0] & keys[1], (a, b)
