@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duelight.functions.text import headline, split_flag
+from duelight.functions.text import headline, location, split_flag, vintage_phrase
 
 
 def scoring_rows(param_scores: DataFrame, codes: DataFrame) -> DataFrame:
@@ -167,3 +167,76 @@ def profile(entity: DataFrame) -> DataFrame:
     say = lambda lead, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(lead), F.col(c))) if c in entity.columns else F.lit(None).cast("string")
     parts = [say("", "legal_name"), say("constitution: ", "constitution"), say("registered on ", "date_of_registration"), say("in ", "state"), say("activity: ", "major_activity")]
     return entity.select("vendor_id", F.concat(F.concat_ws("; ", *parts), F.lit(".")).alias("text"))
+
+
+def _values(param_scores: DataFrame, *parameters: str) -> DataFrame:
+    """vendor_id and a struct (value, unresolved, assigned_score, max_score) per named parameter, null where a vendor has no such row."""
+    pick = lambda p: F.max(F.when(F.col("parameter_id") == p, F.struct("value", "unresolved", "assigned_score", "max_score"))).alias(p)
+    return param_scores.groupBy("vendor_id").agg(*[pick(p) for p in parameters])
+
+
+def _field(entity: DataFrame, name: str) -> Column:
+    """A field of the entity, null where it is blank or not there."""
+    return F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) if name in entity.columns else F.lit(None).cast("string")
+
+
+def header_chips(param_scores: DataFrame, entity: DataFrame) -> DataFrame:
+    """vendor_id, ordinal, kind, label: what the head of a report may claim (RPT-03), each from a resolved value.
+
+    Legal rows first (a scored hit before unscreened registers), then GST, bank and PAN
+    (only where active), place and type of seller.
+    """
+    aml = param_scores.where("category_id = 'legal_aml'").groupBy("vendor_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("unresolved").alias("missing"), F.count_if(~F.col("unresolved") & (F.col("max_score") > 0) & (F.col("assigned_score") < F.col("max_score"))).alias("hits")
+    )
+    own = entity.select("vendor_id", F.coalesce(location(_field(entity, "address")), _field(entity, "state"), F.lit("N/A")).alias("place"))
+    rows = own.join(_values(param_scores, "com_gstin_active", "com_bank_verification", "ident_pan_active", "ident_seller_type"), "vendor_id", "left").join(aml, "vendor_id", "left")
+    known = lambda p: F.coalesce(~F.col(p)["unresolved"], F.lit(False))
+    chip = lambda kind, label: F.struct(F.lit(kind).alias("kind"), (label if isinstance(label, Column) else F.lit(label)).alias("label"))
+    gst, pan, seller = F.col("com_gstin_active"), F.col("ident_pan_active"), F.col("ident_seller_type")
+    legal = F.when(F.col("hits") > 0, chip("amber", "AML adverse finding")).when(F.col("missing") > 0, chip("amber", F.format_string("AML partly screened (%d/%d)", F.col("n") - F.col("missing"), F.col("n")))).when(F.col("n") > 0, chip("teal", "AML cleared"))
+    status = F.when(known("com_gstin_active") & (gst["value"] == "active"), chip("teal", "GST active")).when(known("com_gstin_active"), chip("amber", F.concat(F.lit("GST "), gst["value"]))).otherwise(chip("amber", "GST status unconfirmed"))
+    bank = F.when(known("com_bank_verification") & (F.col("com_bank_verification")["assigned_score"] > 0), chip("blue", "Bank verified")).otherwise(chip("amber", "Bank not verified"))
+    card = F.when(known("ident_pan_active") & (pan["value"] == "active"), chip("white", "PAN active"))
+    kind = chip("white", F.when(known("ident_seller_type"), F.initcap(seller["value"])).otherwise("Unclassified"))
+    every = F.array_compact(F.array(legal, status, bank, card, chip("white", F.col("place")), kind))
+    return rows.select("vendor_id", F.posexplode(every).alias("ordinal", "c")).select("vendor_id", "ordinal", "c.*")
+
+
+def registration_rows(entity: DataFrame, param_scores: DataFrame) -> DataFrame:
+    """vendor_id, ordinal, label, value, ok (null: not verified) of the registrations (RPT-04)."""
+    rows = entity.join(_values(param_scores, "com_gstin_active", "com_bank_verification"), "vendor_id", "left")
+    gst, bank = F.col("com_gstin_active"), F.col("com_bank_verification")
+    none = F.lit(None).cast("boolean")
+    line = lambda label, value, ok=none: F.struct(F.lit(label).alias("label"), value.alias("value"), ok.alias("ok"))
+    told = lambda name, otherwise: F.coalesce(_field(entity, name), F.lit(otherwise))
+    resolved = lambda p: F.coalesce(~p["unresolved"], F.lit(False))
+    each = F.array(
+        line("PAN number", told("pan", "Not available")), line("GSTIN", told("gstin", "Not available")), line("Udyam number", told("udyam_number", "Not available")),
+        line("GST status", F.when(resolved(gst), F.initcap(gst["value"])).otherwise("Unknown"), F.when(resolved(gst), gst["value"] == "active")),
+        line("Taxpayer type", told("taxpayer_type", "N/A")), line("GST since", told("date_of_registration", "N/A")),
+        line("Bank", F.coalesce(_field(entity, "bank_name"), _field(entity, "bank_name_msme"), F.lit("Not available")), F.when(resolved(bank), bank["assigned_score"] > 0)),
+    )
+    return rows.select("vendor_id", F.posexplode(each).alias("ordinal", "r")).select("vendor_id", "ordinal", "r.*")
+
+
+def profile_text(entity: DataFrame, param_scores: DataFrame, as_of: Column) -> DataFrame:
+    """vendor_id, text: who the vendor is, where, since when, and under what registrations (RPT-05).
+
+    The age of its registration and that of the firm itself are told apart.
+    """
+    f = lambda name: _field(entity, name)
+    rows = entity.join(_values(param_scores, "addr_msme"), "vendor_id", "left")
+    trade, kind = F.coalesce(f("trade_name"), f("legal_name"), F.lit("The entity")), F.coalesce(F.lower(f("constitution")), F.lit("firm of unknown form"))
+    nic = F.lower(F.regexp_replace(f("nic_5_description"), r"\.$", ""))
+    seen = F.concat(F.lit(", as its electricity bill says too ("), f("electricity_bill_activity"), F.lit(")"))
+    trade_in = F.concat(nic, F.coalesce(F.concat(F.lit(" (NIC "), f("nic_5_code"), F.lit(")")), F.lit("")), F.coalesce(seen, F.lit("")))
+    lead = F.concat(trade, F.lit(" is a "), kind, F.lit(" engaged in "), F.coalesce(trade_in, F.lower(f("nature_of_business")), F.lower(f("major_activity")), F.lit("an undeclared trade")), F.lit("."))
+    since = F.concat(F.lit(" and has held its GSTIN for "), vintage_phrase(f("date_of_registration"), as_of), F.lit(" (since "), f("date_of_registration"), F.lit(")"))
+    founded = F.when(f("date_of_incorporation") != F.coalesce(f("date_of_registration"), F.lit("")), F.concat(F.lit("; the firm itself dates to "), f("date_of_incorporation"), F.coalesce(F.concat(F.lit(" ("), vintage_phrase(f("date_of_incorporation"), as_of), F.lit(")")), F.lit(""))))
+    place = F.concat(F.lit("It is based in "), F.coalesce(f("state"), location(f("address")), F.lit("an unknown place")), F.coalesce(since, F.lit("")), F.coalesce(founded, F.lit("")), F.lit("."))
+    msme = F.when(F.coalesce(~F.col("addr_msme")["unresolved"], F.lit(False)) & (F.col("addr_msme")["value"] == "valid_active"), F.concat(F.lit("Its MSME registration is valid"), F.coalesce(F.concat(F.lit(", class "), f("enterprise_type")), F.lit("")), F.lit(".")))
+    band = F.trim(F.regexp_replace(f("gst_annual_aggregate_turnover"), r"(?i)^\s*slab\s*:\s*", ""))
+    turnover = F.concat(F.lit("GST records place its turnover in the band "), band, F.coalesce(F.concat(F.lit(" for "), f("gst_annual_aggregate_turnover_year")), F.lit("")), F.lit("."))
+    under = F.concat(F.lit("It operates under GSTIN "), F.coalesce(f("gstin"), F.lit("N/A")), F.coalesce(F.concat(F.lit(" as a "), F.lower(f("taxpayer_type")), F.lit(" taxpayer")), F.lit("")), F.lit("."))
+    return rows.select("vendor_id", F.concat_ws(" ", lead, place, msme, turnover, under).alias("text"))

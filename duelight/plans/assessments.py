@@ -325,3 +325,57 @@ def consistency_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(v.alias("vendor_id"), k.alias("doc_id"), F.when(kind == 0, "gst_certificate").when(kind == 1, "kyc_form").otherwise("pan_entity").alias("doc_type"), kind.alias("seq"), F.when(kind == 0, certificate).when(kind == 1, form).otherwise(card).alias("fields"))
     people = rows.select("vendor_id").distinct().withColumn("person", F.lit("Rose Kumar"))
     return consistency.check_consistency(rows, people)
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as entities, and a few of their parameters."""
+    k = F.col("c_custkey")
+    entity = table(spark, sf_dir, "customer").select(
+        k.alias("vendor_id"), F.col("c_name").alias("legal_name"), F.when(k % 3 == 0, "Rose Works").otherwise("").alias("trade_name"), F.when(k % 2 == 0, "Plot 1, Alphatown, Beta State 600001").alias("address"),
+        F.when(k % 5 > 0, F.col("c_mktsegment")).alias("state"), F.when(k % 4 > 0, "Partnership").alias("constitution"), F.when(k % 2 == 0, "01/07/2017").alias("date_of_registration"), F.when(k % 6 == 0, "10/05/2003").alias("date_of_incorporation"),
+        F.when(k % 3 > 0, "Making of Plastics.").alias("nic_5_description"), F.when(k % 9 > 0, "22209").alias("nic_5_code"), F.when(k % 2 == 1, "Industrial").alias("electricity_bill_activity"), F.lit("Trading").alias("major_activity"),
+        F.when(k % 7 > 0, "Small").alias("enterprise_type"), F.when(k % 8 == 0, "Slab: 5 to 25 Cr").alias("gst_annual_aggregate_turnover"), F.concat(F.lit("G"), k.cast("string")).alias("gstin"), F.when(k % 2 == 0, "Regular").alias("taxpayer_type"),
+        F.when(k % 3 == 1, "Sample Bank").alias("bank_name_msme"), F.lit(None).cast("string").alias("pan"),
+    )
+    v = {
+        ("compliance", "com_gstin_active"): F.when(k % 3 == 0, "active").when(k % 3 == 1, "suspended"), ("compliance", "com_bank_verification"): F.when(k % 4 == 0, "good").when(k % 4 == 1, "bad"),
+        ("proof_of_identity", "ident_pan_active"): F.when(k % 2 == 0, "active"), ("proof_of_identity", "ident_seller_type"): F.when(k % 5 > 0, "trader"), ("proof_of_address", "addr_msme"): F.when(k % 2 == 0, "valid_active").otherwise("not_valid"),
+        ("legal_aml", "legal_pep"): F.when(k % 7 == 0, "pep_identified").when(k % 7 > 1, "no_pep"), ("legal_aml", "legal_sanctions"): F.lit("not_listed"),
+    }
+    row = lambda c, p, x: F.struct(F.lit(c).alias("category_id"), F.lit(p).alias("parameter_id"), x.alias("value"), F.when(x.isin("bad", "pep_identified", "suspended", "not_valid") | x.isNull(), 0.0).otherwise(1.0).alias("assigned_score"), F.lit(1.0).alias("max_score"), x.isNull().alias("unresolved"))
+    scores = table(spark, sf_dir, "customer").select(k.alias("vendor_id"), F.explode(F.array(*[row(c, p, x) for (c, p), x in v.items()])).alias("r")).select("vendor_id", "r.*")
+    return entity, scores
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg FROM customer), l AS (
+        SELECT k, list_filter([CASE WHEN k % 7 = 0 THEN 'amber|AML adverse finding' WHEN k % 7 = 1 THEN 'amber|AML partly screened (1/2)' ELSE 'teal|AML cleared' END, CASE k % 3 WHEN 0 THEN 'teal|GST active' WHEN 1 THEN 'amber|GST suspended' ELSE 'amber|GST status unconfirmed' END,
+            CASE WHEN k % 4 = 0 THEN 'blue|Bank verified' ELSE 'amber|Bank not verified' END, CASE WHEN k % 2 = 0 THEN 'white|PAN active' END, 'white|' || CASE WHEN k % 2 = 0 THEN 'Alphatown, Beta State' WHEN k % 5 > 0 THEN seg ELSE 'N/A' END,
+            CASE WHEN k % 5 > 0 THEN 'white|Trader' ELSE 'white|Unclassified' END], lambda x: x IS NOT NULL) AS chips FROM c),
+    e AS (SELECT k, unnest(chips) AS chip, generate_subscripts(chips, 1) AS i FROM l)
+    SELECT k AS vendor_id, CAST(i - 1 AS INTEGER) AS ordinal, split_part(chip, '|', 1) AS kind, split_part(chip, '|', 2) AS label FROM e""")
+def header_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT-03: what the head of every customer's report claims."""
+    entity, scores = _reported(spark, sf_dir)
+    return report.header_chips(scores, entity)
+
+
+@query("""SELECT c_custkey AS vendor_id, CAST(i AS INTEGER) AS ordinal, label, value, ok FROM customer, LATERAL (VALUES (0, 'PAN number', 'Not available', NULL), (1, 'GSTIN', 'G' || c_custkey, NULL), (2, 'Udyam number', 'Not available', NULL),
+        (3, 'GST status', CASE c_custkey % 3 WHEN 0 THEN 'Active' WHEN 1 THEN 'Suspended' ELSE 'Unknown' END, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END), (4, 'Taxpayer type', CASE WHEN c_custkey % 2 = 0 THEN 'Regular' ELSE 'N/A' END, NULL),
+        (5, 'GST since', CASE WHEN c_custkey % 2 = 0 THEN '01/07/2017' ELSE 'N/A' END, NULL), (6, 'Bank', CASE WHEN c_custkey % 3 = 1 THEN 'Sample Bank' ELSE 'Not available' END, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END)) t(i, label, value, ok)""")
+def registration_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT-04: the registrations of every customer, and which of them are verified."""
+    return report.registration_rows(*_reported(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg FROM customer)
+    SELECT k AS vendor_id, concat_ws(' ',
+        CASE WHEN k % 3 = 0 THEN 'Rose Works' ELSE c_name END || ' is a ' || CASE WHEN k % 4 > 0 THEN 'partnership' ELSE 'firm of unknown form' END || ' engaged in ' || CASE WHEN k % 3 > 0 THEN 'making of plastics' || CASE WHEN k % 9 > 0 THEN ' (NIC 22209)' ELSE '' END
+            || CASE WHEN k % 2 = 1 THEN ', as its electricity bill says too (Industrial)' ELSE '' END ELSE 'trading' END || '.',
+        'It is based in ' || CASE WHEN k % 5 > 0 THEN seg WHEN k % 2 = 0 THEN 'Alphatown, Beta State' ELSE 'an unknown place' END || CASE WHEN k % 2 = 0 THEN ' and has held its GSTIN for ~7 years 0 months (since 01/07/2017)' ELSE '' END
+            || CASE WHEN k % 6 = 0 THEN '; the firm itself dates to 10/05/2003 (~21 years 1 months)' ELSE '' END || '.',
+        CASE WHEN k % 2 = 0 THEN 'Its MSME registration is valid' || CASE WHEN k % 7 > 0 THEN ', class Small' ELSE '' END || '.' END, CASE WHEN k % 8 = 0 THEN 'GST records place its turnover in the band 5 to 25 Cr.' END,
+        'It operates under GSTIN G' || k || CASE WHEN k % 2 = 0 THEN ' as a regular taxpayer' ELSE '' END || '.') AS text FROM c""")
+def profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT-05: a paragraph on every customer."""
+    entity, scores = _reported(spark, sf_dir)
+    return report.profile_text(entity, scores, F.to_date(F.lit("2024-07-01")))
