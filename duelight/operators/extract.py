@@ -9,6 +9,72 @@ from duelight.functions.text import EMAIL, GSTIN, IDENTIFIERS, MOBILE, PAN, UDYA
 
 Fields = dict[str, Column]
 
+# What the printed forms say around their fields, by type of document.
+FORMS = {
+    "gst_certificate": {
+        "liability": r"Date of Liability\s*\n\s*(\d{2}/\d{2}/\d{4})",
+        "validity": r"(?:Period|Date) of Validity\s*\n\s*From\s*\n\s*(\d{2}/\d{2}/\d{4})",
+        "legal_name": r"Legal Name\s*\n\s*(.+)",
+        "trade_name": r"Trade Name,?\s*if any\s*\n\s*(.+)",
+        "constitution": r"Constitution of Business\s*\n\s*(.+)",
+        "address": r"(?s)Address of Principal Place of\s*\n?\s*Business\s*\n\s*(.+?)(?:\n\s*\d\.|\n\s*Date of Liability)",
+        "taxpayer_type": r"Type of Registration\s*\n\s*(\w+)",
+    },
+    "msme_certificate": {
+        "block": r"(?s)OFFICI?AL ADDRESS OF\s*\n?\s*ENTERPRISE\s*\n(.+?)\n\s*(?:Mobile|Email)\b",
+        "activity": r"MAJOR ACTIVITY\s*\n\s*(.+)",
+        "bank": r"Bank Name\s*\n?\s*IFS Code\s*\n?\s*Bank Account Number\s*\n?\s*(.+?)\n\s*([A-Z]{4}0[A-Z0-9]{6})\s*\n\s*(\d{6,18})",
+        "name": r"NAME OF ENTERPRISE\s*\n\s*(.+)",
+        "class": r"\b(Micro|Small|Medium)\b",
+        "begun": r"DATE OF (?:INCORPORATION|COMMENCEMENT)[^\n]*\n[^\n]*\n\s*(\d{2}/\d{2}/\d{4})",
+        "founded": r"Date of Incorporation\s*\n?\s*(\d{2}/\d{2}/\d{4})",
+        "organisation": r"Type of Organisation\s*\n?\s*(\w+)",
+        "code_end": r"(?=\n\s*\n|\n\s*\d+\s*-\s*[A-Za-z]|\n\s*[A-Z][A-Z ]{5,}|\n\s*(?:Manufacturing|Trading|Services|Manufacture and Trading)\s*(?:\n|$)|\z)",
+    },
+    "cancelled_cheque": {
+        "account": r"(?i)(?:A/?c\.?\s*NO\.?|Account\s*No\.?|खा\.?\s*सं\.?)\s*[:\-]?\s*(\d{9,18})",
+        "holder": r"(?m)(^|\S\s+)FOR\s+([A-Z][A-Za-z .&]+)",
+        "no_holder": r"(?i)\b(MONTHS?|ONLY|VALID|PAYEE|ORDER|BEARER|SELF)\b",
+        "title": r"(?i)\b(PROPRIETOR|DIRECTOR|PRIVATE|PVT\.?|LTD\.?|LIMITED)\b",
+        "strike": r"diagonal.{0,40}(cancel|strike)",
+        "cancelled": r"\bcancel+ed?\b",
+    },
+    "electricity_bill": {
+        "block": r"(?s)Name\s*/\s*Address\s*&?\s*GST of the Consumer\s*\n\s*(.+?)\n\s*(.+?)\n\s*State\s*[:\-]",
+        "loose": r"(?im)^[ \t]*(m\s*/?\s*s\.?\s+\S.*)\s*\n((?:(?!.*\b\d{6}\b).+\s*\n){0,5}.*\b\d{6}\b.*)",
+    },
+    "gst_portal": {
+        "marker": r"PARSED_STATUS:\s*(VERIFIED|NOT_VERIFIED)",
+        "account": r"Account Number\s*[:\-]?\s*(\d{9,18})",
+        "bank": r"Bank Name\s*[:\-]?\s*(.+)",
+        "status": r"(?<!Bank )Account Status\s*[:\-]\s*([A-Za-z][\w ]*)",
+        "kind_row": r"(?mi)^\s*\d+\s*\|\s*(CC|OD|SB|CA|OCC|BC|CD)\s*\|",
+        "kind": r"Type of Account\s*[:\-]\s*([A-Za-z]{2,3})\b",
+    },
+    "pan_card": {
+        "caption": r"^[^a-z]*(?:i\s+)?(?:fa[lt]her\S*\s+(?:s\s+)?|mother\S*\s+)?name\s*[:\-]?$",
+        "label": r"permanent\s*account|income\s*tax|go[vy]t|government|electronically issued|fa[lt]her|d[ao][tl]e\s*[o0]f\s*birth|signature",
+        "header": r"(?i)go[vy]t\.?\s*of\s*india",
+    },
+    "kyc_form": {
+        "bank_row": r"(?i)Bank Account Details[^\n]*[:\-]\s*([^\n]+)",
+    },
+    "factory_license": {
+        "premises": r"(?s)Description of Licensed Premises\s*(.+)",
+        "signed": r"(?i)\b(?:digitally signed|joint director|deputy director|signature)\b",
+        "number": r"Registration Number\s*:?\s*([A-Za-z0-9]+)",
+    },
+    "pcb_certificate": {
+        "premises": r"(?si)(S\.?\s*F\.?\s*No\.?.+?District)",
+        "number": r"(?i)Consent Order No\.?\s*:?\s*([A-Za-z0-9]+)",
+    },
+    "certificate_of_incorporation": {
+        "name": r"(?si)certify that\s+(.+?)\s+is incorporated on",
+        "pan": r"(?s)(?i:Permanent Account Number).*?\b([A-Z]{5}\d{4}[A-Z])\b",
+        "date": r"(?si)incorporated on this\s+(.+?)\s+under the",
+    },
+}
+
 
 def _gstin(t: Column) -> Column:
     return extract(F.replace(t, F.lit(" "), F.lit("")), f"({GSTIN})")
@@ -24,15 +90,15 @@ def _lines(t: Column) -> Column:
 
 def gst_certificate(t: Column) -> Fields:
     number = _gstin(t)
-    date = F.coalesce(extract(t, r"Date of Liability\s*\n\s*(\d{2}/\d{2}/\d{4})"), extract(t, r"(?:Period|Date) of Validity\s*\n\s*From\s*\n\s*(\d{2}/\d{2}/\d{4})"))
+    date = F.coalesce(extract(t, FORMS["gst_certificate"]["liability"]), extract(t, FORMS["gst_certificate"]["validity"]))
     return {
         "gstin": number,
-        "legal_name": extract(t, r"Legal Name\s*\n\s*(.+)"),
-        "trade_name": _no_prefix(extract(t, r"Trade Name,?\s*if any\s*\n\s*(.+)")),
-        "constitution": extract(t, r"Constitution of Business\s*\n\s*(.+)"),
-        "address": squeeze(extract(t, r"(?s)Address of Principal Place of\s*\n?\s*Business\s*\n\s*(.+?)(?:\n\s*\d\.|\n\s*Date of Liability)")),
+        "legal_name": extract(t, FORMS["gst_certificate"]["legal_name"]),
+        "trade_name": _no_prefix(extract(t, FORMS["gst_certificate"]["trade_name"])),
+        "constitution": extract(t, FORMS["gst_certificate"]["constitution"]),
+        "address": squeeze(extract(t, FORMS["gst_certificate"]["address"])),
         "date_of_registration": date,
-        "taxpayer_type": extract(t, r"Type of Registration\s*\n\s*(\w+)"),
+        "taxpayer_type": extract(t, FORMS["gst_certificate"]["taxpayer_type"]),
         "state": state_from_gstin(number),
         "pan": pan_from_gstin(number),
     }
@@ -44,7 +110,7 @@ ADDRESS_LABELS = ("Flat/Door/Block No.", "Name of Premises/ Building", "Village/
 
 def address_block(t: Column) -> tuple[Column, Column]:
     """Address as "Label: value" and PIN of a block of labels and values on alternate lines (EXT-03)."""
-    block = extract(t, r"(?s)OFFICI?AL ADDRESS OF\s*\n?\s*ENTERPRISE\s*\n(.+?)\n\s*(?:Mobile|Email)\b")
+    block = extract(t, FORMS["msme_certificate"]["block"])
     lines = _lines(block)
     start = F.struct(F.lit("").alias("label"), F.array().cast("array<string>").alias("out"))
 
@@ -60,26 +126,26 @@ def address_block(t: Column) -> tuple[Column, Column]:
 
 def nic(t: Column, width: int) -> tuple[Column, Column]:
     """Industry code of a width, and its description over wrapped lines (EXT-04)."""
-    stop = r"(?=\n\s*\n|\n\s*\d+\s*-\s*[A-Za-z]|\n\s*[A-Z][A-Z ]{5,}|\n\s*(?:Manufacturing|Trading|Services|Manufacture and Trading)\s*(?:\n|$)|\z)"
+    stop = FORMS["msme_certificate"]["code_end"]
     pattern = rf"(?s)\b(\d{{{width}}})\s*-\s*([A-Za-z].*?){stop}"
     return extract(t, pattern), F.regexp_replace(squeeze(extract(t, pattern, 2)), ",+$", "")
 
 
 def msme_certificate(t: Column) -> Fields:
-    activity = extract(t, r"MAJOR ACTIVITY\s*\n\s*(.+)")
+    activity = extract(t, FORMS["msme_certificate"]["activity"])
     low = F.lower(activity)
-    bank = r"Bank Name\s*\n?\s*IFS Code\s*\n?\s*Bank Account Number\s*\n?\s*(.+?)\n\s*([A-Z]{4}0[A-Z0-9]{6})\s*\n\s*(\d{6,18})"
+    bank = FORMS["msme_certificate"]["bank"]
     address, pin = address_block(t)
     (code5, text5), (code4, text4) = nic(t, 5), nic(t, 4)
     return {
         "udyam_number": extract(t, f"({UDYAM})"),
-        "enterprise_name": _no_prefix(extract(t, r"NAME OF ENTERPRISE\s*\n\s*(.+)")),
-        "enterprise_type": F.try_element_at(F.regexp_extract_all(t, F.lit(r"\b(Micro|Small|Medium)\b"), F.lit(1)), F.lit(-1)),
+        "enterprise_name": _no_prefix(extract(t, FORMS["msme_certificate"]["name"])),
+        "enterprise_type": F.try_element_at(F.regexp_extract_all(t, F.lit(FORMS["msme_certificate"]["class"]), F.lit(1)), F.lit(-1)),
         "major_activity": F.when(any_of(low, ("manufactur",)), "Manufacturing").when(any_of(low, ("trad",)), "Trading").when(any_of(low, ("servic",)), "Services").otherwise(activity),
-        "date_of_incorporation": F.coalesce(extract(t, r"DATE OF (?:INCORPORATION|COMMENCEMENT)[^\n]*\n[^\n]*\n\s*(\d{2}/\d{2}/\d{4})"), extract(t, r"Date of Incorporation\s*\n?\s*(\d{2}/\d{2}/\d{4})")),
+        "date_of_incorporation": F.coalesce(extract(t, FORMS["msme_certificate"]["begun"]), extract(t, FORMS["msme_certificate"]["founded"])),
         "mobile": extract(t, f"({MOBILE})"),
         "email": extract(t, f"({EMAIL})"),
-        "organisation_type": extract(t, r"Type of Organisation\s*\n?\s*(\w+)"),
+        "organisation_type": extract(t, FORMS["msme_certificate"]["organisation"]),
         "address": address, "pincode": pin,
         "nic_5_code": code5, "nic_5_description": text5, "nic_4_code": code4, "nic_4_description": text4,
         "pan": extract(t, f"({PAN})"),
@@ -89,20 +155,20 @@ def msme_certificate(t: Column) -> Fields:
 
 def cancelled_cheque(t: Column) -> Fields:
     code = fix_ifsc(t)
-    labelled = extract(t, r"(?i)(?:A/?c\.?\s*NO\.?|Account\s*No\.?|खा\.?\s*सं\.?)\s*[:\-]?\s*(\d{9,18})")
+    labelled = extract(t, FORMS["cancelled_cheque"]["account"])
     runs = F.regexp_extract_all(F.replace(t, F.lit(" "), F.lit("")), F.lit(r"\b\d{9,18}\b"), F.lit(0))
     longest = F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
-    pattern = F.lit(r"(?m)(^|\S\s+)FOR\s+([A-Z][A-Za-z .&]+)")
+    pattern = F.lit(FORMS["cancelled_cheque"]["holder"])
     held = F.arrays_zip(F.regexp_extract_all(t, pattern, F.lit(1)).alias("lead"), F.transform(F.regexp_extract_all(t, pattern, F.lit(2)), lambda x: F.trim(x)).alias("name"))
-    held = F.filter(held, lambda h: ~h["name"].rlike(r"(?i)\b(MONTHS?|ONLY|VALID|PAYEE|ORDER|BEARER|SELF)\b"))
+    held = F.filter(held, lambda h: ~h["name"].rlike(FORMS["cancelled_cheque"]["no_holder"]))
     best = F.array_max(F.transform(held, lambda h, i: F.struct((h["lead"] == "").cast("int").alias("a"), F.length(h["name"]).alias("n"), (-i).alias("i"), h["name"].alias("name"))))["name"]
     low = F.lower(t)
     return {
         "ifsc": code,
         "bank_name": bank_from_ifsc(code),
         "account_number": F.coalesce(labelled, longest),
-        "account_holder": F.trim(F.regexp_replace(best, r"(?i)\b(PROPRIETOR|DIRECTOR|PRIVATE|PVT\.?|LTD\.?|LIMITED)\b", "")),
-        "cancellation_mark_present": (low.rlike(r"diagonal.{0,40}(cancel|strike)") | low.rlike(r"\bcancel+ed?\b")).cast("string"),
+        "account_holder": F.trim(F.regexp_replace(best, FORMS["cancelled_cheque"]["title"], "")),
+        "cancellation_mark_present": (low.rlike(FORMS["cancelled_cheque"]["strike"]) | low.rlike(FORMS["cancelled_cheque"]["cancelled"])).cast("string"),
     }
 
 
@@ -123,12 +189,12 @@ BILL_STOPS = "Village|Pin Code|Category|गाव|पिन कोड|प्र
 def electricity_bill(t: Column) -> Fields:
     """Three layouts in order: a state-label block, labels, and an unlabelled block that ends at a PIN (EXT-06)."""
     label = lambda name, value: extract(t, rf"(?i)(?:{BILL_LABELS[name]})\s*[:\-]?\s*{value}")
-    block = r"(?s)Name\s*/\s*Address\s*&?\s*GST of the Consumer\s*\n\s*(.+?)\n\s*(.+?)\n\s*State\s*[:\-]"
+    block = FORMS["electricity_bill"]["block"]
     named = label("consumer_name", r"(.+)")
     placed = extract(t, rf"(?si)(?<![/&\w])(?:{BILL_LABELS['address']})\s*[:\-]?\s*\n?\s*(.+?)(?:\n\s*(?:{BILL_STOPS})|\z)")
     placed = F.array_join(_lines(placed), ", ")
     free = F.coalesce(extract(t, block), named).isNull() & F.coalesce(extract(t, block, 2), placed).isNull()
-    loose = r"(?im)^[ \t]*(m\s*/?\s*s\.?\s+\S.*)\s*\n((?:(?!.*\b\d{6}\b).+\s*\n){0,5}.*\b\d{6}\b.*)"
+    loose = FORMS["electricity_bill"]["loose"]
     loose_address = F.array_join(_lines(extract(t, loose, 2)), ", ")
     return {
         "consumer_name": F.coalesce(extract(t, block), named, F.when(free, extract(t, loose))),
@@ -143,14 +209,14 @@ def electricity_bill(t: Column) -> Fields:
 
 
 def gst_portal(t: Column) -> Fields:
-    marker, low = extract(t, r"PARSED_STATUS:\s*(VERIFIED|NOT_VERIFIED)"), F.lower(t)
+    marker, low = extract(t, FORMS["gst_portal"]["marker"]), F.lower(t)
     told = low.rlike(r"\bvalidated\b") & ~low.rlike(r"\bnot\b.{0,20}\bvalidated\b")
     return {
         "ifsc": fix_ifsc(t),
-        "account_number": extract(t, r"Account Number\s*[:\-]?\s*(\d{9,18})"),
-        "bank_name": extract(t, r"Bank Name\s*[:\-]?\s*(.+)"),
-        "account_status": extract(t, r"(?<!Bank )Account Status\s*[:\-]\s*([A-Za-z][\w ]*)"),
-        "type_of_account": F.upper(F.coalesce(extract(t, r"(?mi)^\s*\d+\s*\|\s*(CC|OD|SB|CA|OCC|BC|CD)\s*\|"), extract(t, r"Type of Account\s*[:\-]\s*([A-Za-z]{2,3})\b"))),
+        "account_number": extract(t, FORMS["gst_portal"]["account"]),
+        "bank_name": extract(t, FORMS["gst_portal"]["bank"]),
+        "account_status": extract(t, FORMS["gst_portal"]["status"]),
+        "type_of_account": F.upper(F.coalesce(extract(t, FORMS["gst_portal"]["kind_row"]), extract(t, FORMS["gst_portal"]["kind"]))),
         "bank_verified": F.coalesce(marker == "VERIFIED", told).cast("string"),
     }
 
@@ -161,8 +227,8 @@ def pan_card(t: Column) -> Fields:
     low = F.lower
 
     def is_name(s):
-        caption = r"^[^a-z]*(?:i\s+)?(?:fa[lt]her\S*\s+(?:s\s+)?|mother\S*\s+)?name\s*[:\-]?$"
-        label = r"permanent\s*account|income\s*tax|go[vy]t|government|electronically issued|fa[lt]her|d[ao][tl]e\s*[o0]f\s*birth|signature"
+        caption = FORMS["pan_card"]["caption"]
+        label = FORMS["pan_card"]["label"]
         number = F.replace(s, F.lit(" "), F.lit("")).rlike(r"^[A-Z]{5}[0-9]{4}[A-Z]$")
         return ~s.rlike(r"^\d{2}/\d{2}/\d{4}") & ~number & ~low(s).rlike(label) & s.rlike(r"[A-Za-z]{2,}") & ~low(s).rlike(caption)
 
@@ -170,13 +236,13 @@ def pan_card(t: Column) -> Fields:
         at = F.array_min(F.filter(F.transform(lines, lambda s, i: F.when(test(s), i)), lambda i: i.isNotNull()))
         return F.get(F.filter(F.slice(lines, at + 2, F.size(lines)), is_name), 0)
 
-    header = after(lambda s: s.rlike(r"(?i)go[vy]t\.?\s*of\s*india"))
+    header = after(lambda s: s.rlike(FORMS["pan_card"]["header"]))
     number = after(lambda s: F.replace(s, F.lit(" "), F.lit("")).rlike(r"^[A-Z]{5}[0-9]{4}[A-Z]$"))
     return {"pan": extract(t, f"({PAN})"), "name": F.coalesce(header, number)}
 
 
 def kyc_form(t: Column) -> Fields:
-    row = extract(t, r"(?i)Bank Account Details[^\n]*[:\-]\s*([^\n]+)")
+    row = extract(t, FORMS["kyc_form"]["bank_row"])
     return {
         "gstin": _gstin(t), "pan": extract(t, f"({PAN})"), "ifsc": fix_ifsc(t),
         "account_number": extract(row, r"\b(\d{9,18})\b"), "bank_name": extract(row, r"^\s*([A-Za-z][A-Za-z .&]+?)\s*,"),
@@ -185,23 +251,23 @@ def kyc_form(t: Column) -> Fields:
 
 
 def factory_license(t: Column) -> Fields:
-    premises = squeeze(extract(t, r"(?s)Description of Licensed Premises\s*(.+)"))
+    premises = squeeze(extract(t, FORMS["factory_license"]["premises"]))
     premises = F.coalesce(extract(premises, r"^(.*?\b\d{3}\s?\d{3}\b)"), premises)
-    premises = F.get(F.split(premises, r"(?i)\b(?:digitally signed|joint director|deputy director|signature)\b"), 0)
-    return {"registration_number": extract(t, r"Registration Number\s*:?\s*([A-Za-z0-9]+)"), "premises_address": F.left(F.trim(premises), F.lit(400))}
+    premises = F.get(F.split(premises, FORMS["factory_license"]["signed"]), 0)
+    return {"registration_number": extract(t, FORMS["factory_license"]["number"]), "premises_address": F.left(F.trim(premises), F.lit(400))}
 
 
 def pcb_certificate(t: Column) -> Fields:
-    span = squeeze(extract(t, r"(?si)(S\.?\s*F\.?\s*No\.?.+?District)"))
-    return {"consent_order_no": extract(t, r"(?i)Consent Order No\.?\s*:?\s*([A-Za-z0-9]+)"), "premises_address": F.left(span, F.lit(400))}
+    span = squeeze(extract(t, FORMS["pcb_certificate"]["premises"]))
+    return {"consent_order_no": extract(t, FORMS["pcb_certificate"]["number"]), "premises_address": F.left(span, F.lit(400))}
 
 
 def certificate_of_incorporation(t: Column) -> Fields:
     return {
-        "name": squeeze(extract(t, r"(?si)certify that\s+(.+?)\s+is incorporated on")),
+        "name": squeeze(extract(t, FORMS["certificate_of_incorporation"]["name"])),
         "cin": extract(t, r"\b([LU]\d{5}[A-Z]{2}\d{4}[A-Z]{3}\d{6})\b"),
-        "pan": extract(t, r"(?s)(?i:Permanent Account Number).*?\b([A-Z]{5}\d{4}[A-Z])\b"),
-        "date_of_incorporation": spelt_date(extract(t, r"(?si)incorporated on this\s+(.+?)\s+under the")),
+        "pan": extract(t, FORMS["certificate_of_incorporation"]["pan"]),
+        "date_of_incorporation": spelt_date(extract(t, FORMS["certificate_of_incorporation"]["date"])),
     }
 
 
