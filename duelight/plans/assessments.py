@@ -10,7 +10,7 @@ from duelight.functions.text import MONTHS
 from duelight.operators import classify, consistency, ocr, registry, report, resolve, review, score, screening
 from duelight.plans import vendors
 from duelight.plans.analogues import _certificates
-from duelight.plans.catalog import query, table
+from duelight.plans.catalog import _SCORE_SQL, GRADES, PARAMS, RULES, _param_scores, query, table
 
 
 @query("""WITH RECURSIVE b AS (
@@ -379,3 +379,20 @@ def profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RPT-05: a paragraph on every customer."""
     entity, scores = _reported(spark, sf_dir)
     return report.profile_text(entity, scores, F.to_date(F.lit("2024-07-01")))
+
+
+@query(f"""{_SCORE_SQL}, o AS (SELECT vendor_id, CASE WHEN parameter_id = 'ident_balance' AND vendor_id % 8 = 4 THEN 8.0 ELSE assigned_score END AS a FROM p), v AS (SELECT vendor_id, CAST(sum(a) AS DOUBLE) AS total FROM o GROUP BY vendor_id)
+    SELECT vendor_id, total, CASE WHEN total >= 18 THEN 'A' WHEN total >= 12 THEN 'B' WHEN total >= 6 THEN 'C' WHEN total >= 0 THEN 'D' END AS grade, CASE WHEN vendor_id % 8 = 0 THEN 'com_gst_delay_days: not a number' ELSE '' END AS problems, vendor_id % 8 = 4 AS stale FROM v""")
+def finalised_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OVR-05, OVR-01: scores and grades after analysts' overrides; a customer with a bad one keeps none of them, and values that changed since issue are told."""
+    rules = spark.createDataFrame(RULES, "parameter_id string, ordinal int, expr string, condition string, assigned_score double")
+    params = spark.createDataFrame(PARAMS, "category_id string, parameter_id string, param_ord int, max_score double, conditional boolean")
+    fresh = _param_scores(spark, sf_dir).select("vendor_id", "parameter_id", "value", "note")
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vendor_id"))
+    row = lambda p, v: F.struct(F.lit(p).alias("parameter_id"), F.lit(v).alias("analyst_value"), F.lit("x").alias("issued_original"))
+    each = F.array_compact(F.array(row("ident_balance", "9999"), F.when(F.col("vendor_id") % 8 == 0, row("com_gst_delay_days", "five"))))
+    overrides = ids.where("vendor_id % 4 = 0").select("vendor_id", F.explode(each).alias("r")).select("vendor_id", "r.*")
+    out = review.finalise(fresh, fresh.where("false"), overrides, params, rules, ids, spark.createDataFrame(GRADES, "grade string, min_score double"))
+    problems = out["problems"].groupBy("vendor_id").agg(F.array_join(F.collect_set(F.concat_ws(": ", "parameter_id", "problem")), ",").alias("problems"))
+    rows = out["scores"].join(problems, "vendor_id", "left").join(out["stale"].select("vendor_id", F.lit(True).alias("stale")).distinct(), "vendor_id", "left")
+    return rows.select("vendor_id", "total", "grade", F.coalesce("problems", F.lit("")).alias("problems"), F.coalesce("stale", F.lit(False)).alias("stale"))
