@@ -131,10 +131,10 @@ def manual_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.apply_manual_overrides(resolved, manual, "com_bank_verification")
 
 
-@query("""SELECT c_custkey AS vendor_id, CAST(CASE WHEN c_nationkey = 3 THEN 2 ELSE 1 END AS DOUBLE) AS score, CAST(c_nationkey AS INTEGER) AS nation FROM customer WHERE c_nationkey <> 3 OR c_custkey % 2 = 0""")
+@query("""SELECT c_custkey AS vendor_id, CAST(CASE WHEN c_nationkey = 3 THEN 2 ELSE 1 END AS DOUBLE) AS score, CAST(c_nationkey AS INTEGER) AS nation FROM customer""")
 def written_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-02: scores by nation; one nation is written again and replaces only itself."""
     path, rows = new_folder(spark, "source-outputs"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vendor_id"), F.lit(1.0).alias("score"), F.col("c_nationkey").cast("int").alias("nation"))
     io.write_outputs({"scores": rows}, path, "nation")
-    io.write_outputs({"scores": rows.where("nation = 3 and vendor_id % 2 = 0").withColumn("score", F.lit(2.0))}, path, "nation")
+    io.write_outputs({"scores": rows.where("nation = 3").withColumn("score", F.lit(2.0))}, path, "nation")
     return spark.read.parquet(f"{path}/scores").select("vendor_id", "score", "nation")
