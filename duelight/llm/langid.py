@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bounds of what is learned from: rows and characters of a language, and the length over which a text is only taken for want of shorter ones.
-SAMPLE_BUCKETS, SAMPLE_CHARS, SHORT, MOST_LANGUAGES = 48, 72_000, 4_000, 500
+SAMPLE_BUCKETS, SAMPLE_CHARS, SHORT, MOST_LANGUAGES = 48, 40_000, 4_000, 500
 COMMON = 120
 SEGMENT = 2_048
 #: Characters times languages that are parsed together.
