@@ -227,8 +227,8 @@ def test_each_rule_can_fail_a_planted_text(spark, sf):
     planted = {
         "word_length": " ".join(w * 4 for w in plain),
         "symbols": " ".join(w + "#" for w in plain),
-        "dup_lines": "\n".join(["x y"] * 40 + lines),
-        "repeats": " ".join(plain[:150] + plain[:64]),
+        "dup_lines": "\n".join(["abcd bcde"] * 40 + lines),
+        "repeats": " ".join(plain[:150] + plain[:46]),
     }
     sound = {"plain": " ".join(plain), "lines": "\n".join(lines), "few symbols": " ".join(plain) + " #", "one line again": "\n".join([*lines, lines[0]])}
     rows = [(-1 - k, t, first.lang, first.source) for k, t in enumerate([*planted.values(), *sound.values()])]
@@ -241,7 +241,7 @@ def test_rules_in_a_group_of_equal_values(spark):
     text = lambda k, n: " ".join(f"{'same' if j % 2 else 'word'}{'xy'[(k + j * j) % 2]}{chr(97 + (j * 7 + k) % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
     even = [(k, text(k, 120), "en", "even") for k in range(150)] + [(200 + k, text(k, 120) + " a", "en", "even") for k in range(150)]
     note = [(400 + k, text(k, 100) + "\nsee below\nsee below" * (k < 30), "en", "note") for k in range(300)]
-    code = [(800 + k, text(k, 60) + " {} ".join("<|>"[: k % 3 + 1] for _ in range(40)), "en", "code") for k in range(300)]
+    code = [(800 + k, text(k, 60) + "".join(f" {'<|>'[: k % 3 + 1]}va{j}" for j in range(40)), "en", "code") for k in range(300)]
     rows = spark.createDataFrame(even + note + code, "doc_id long, text string, lang string, source string")
     got = quality.judge(rows).where("not kept").collect()
     assert not got
