@@ -96,7 +96,7 @@ def company_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT k, 'ident_pan_name_match', CASE k % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'not_match' END FROM o)
     SELECT k AS vendor_id, parameter_id, value, value IS NULL AS unresolved FROM p""")
 def resolved_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RES-01, 02, 06, 07, 09..17, 19, 24, AGG-20, JN-07, JN-11: parameters of every customer."""
+    """RES-01, 02, 06, 07, 09..13, 15..19, AGG-20, JN-07, JN-11: values of parameters of every customer."""
     k, b = F.col("c_custkey"), F.col("c_acctbal")
     of = lambda n, *values: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (F.pmod(k, F.lit(n)) + 1).cast("int"))
     divides = lambda n: F.pmod(k, F.lit(n)) == 0
@@ -131,7 +131,7 @@ def resolved_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE 'WATCHLIST HIT (confirm or dismiss): ' || other || CASE WHEN value IS NULL OR note = '' THEN '' ELSE ' | sanctions lists: ' || note END END AS note,
         other IS NULL AND value IS NULL AS unresolved FROM q""")
 def aml_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-13, RES-18..23, SET-04: legal parameters of every user from events as hits of the firm and of its owner."""
+    """AGG-13, RES-20..23, SET-04: legal parameters of every user from events as hits of the firm and of its owner."""
     e = table(spark, sf_dir, "events")
     vendors = e.select(F.col("user_id").alias("vendor_id")).distinct()
     hit = e.where("value > 150").select(F.col("user_id").alias("vendor_id"), F.col("event_type"), F.col("event_id").alias("seq"), F.col("props").alias("text"))

@@ -117,7 +117,7 @@ def _registers(spark: SparkSession, sf_dir: str) -> vendors.Registers:
 
 @query(_VENDOR_SQL)
 def assessed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RES-01..05, 07..13, 15..23, JN-07, PRJ-10..12, AGG-03..05, 12, 13 (values): all 23 parameters of vendors from their documents and registers."""
+    """RES-01..05, 07..13, 15..24, JN-07, PRJ-10..12, AGG-03..05, 12, 13 (values): all 23 parameters of vendors from their documents and registers."""
     docs = _certificates(spark, sf_dir).withColumn("vendor_id", F.floor(F.col("vendor_id") / 10))
     out = vendors.resolve_vendors(docs, docs.select("vendor_id").distinct(), _registers(spark, sf_dir), F.to_date(F.lit("2024-07-01")))
     return out["resolved"].select("vendor_id", "parameter_id", "value", "unresolved")
