@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duelight.functions.text import clean_party, normalize, strip_honorifics
 from duelight.operators.match import TOGETHER, screen_names, split_hot
+from duelight.sources.shared import write_once
 
 
 def screening_names(entity: DataFrame) -> DataFrame:
@@ -28,15 +29,34 @@ def screen_cases(names: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFra
     Applicant and respondent are matched apart, after titles and boilerplate are
     gone. A loose match is a name and a case with the whole name, whatever its case,
     somewhere in a party's text; those whose case is no hit of the vendor are rejected.
+    Both are judged between `screening_classes` and counted by their sizes; only hits are
+    given to every member.
     """
-    own = names.where(F.length(F.trim("name")) >= 4).select(F.struct("vendor_id", "name").alias("entity_id"), strip_honorifics(F.col("name")).alias("name"))
-    sides = cases.select("case_id", F.explode(F.map_from_arrays(F.array(F.lit("applicant"), F.lit("respondent")), F.array("applicant", "respondent"))).alias("party", "text"))
-    listed = sides.where(F.col("text").isNotNull()).select(F.struct("case_id", "party").alias("list_id"), clean_party(F.col("text")).alias("name"))
-    found = screen_names(own, listed)
-    hits = found.select("entity_id.vendor_id", "list_id.case_id", "list_id.party").distinct()
-    loose = holding(names.where(F.length(F.trim("name")) >= 4), sides)
-    rejected = loose.join(hits.select("vendor_id", "case_id"), ["vendor_id", "case_id"], "left_anti").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("rejected"))
-    return hits, rejected
+    own, n_cases, firms, dockets = screening_classes(names.where(F.length(F.trim("name")) >= 4), cases)
+    sides = n_cases.select("case_id", F.explode("sides").alias("side")).select("case_id", F.explode(F.map_from_arrays(F.array(F.lit("applicant"), F.lit("respondent")), F.array("side.applicant", "side.respondent"))).alias("party", "text"))
+    sides = sides.where(F.col("text").isNotNull())
+    listed = sides.select(F.struct("case_id", "party", F.col("text")).alias("list_id"), clean_party(F.col("text")).alias("name"))
+    found = screen_names(own.select(F.struct("vendor_id", "name").alias("entity_id"), strip_honorifics(F.col("name")).alias("name")), listed)
+    met = found.select("entity_id.vendor_id", "list_id.case_id", "list_id.party").distinct()
+    hits = met.withColumnsRenamed({"vendor_id": "_firm", "case_id": "_case"}).join(firms, "_firm").join(dockets, "_case").select("vendor_id", "case_id", "party")
+    loose = holding(own, sides).join(met.select("vendor_id", "case_id").distinct(), ["vendor_id", "case_id"], "left_anti")
+    rejected = loose.join(n_cases.select("case_id", "n"), "case_id").groupBy(F.col("vendor_id").alias("_firm")).agg(F.sum("n").alias("rejected"))
+    return hits, rejected.join(firms, "_firm").select("vendor_id", "rejected")
+
+
+def screening_classes(names: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Names and cases without repeats: vendors of the same names, and cases of the same parties, are each taken once, under the least key among them.
+
+    Gives vendor_id, name; case_id, sides array<struct<applicant, respondent>>, n (cases it stands for); and
+    the members: _firm, vendor_id and _case, case_id.
+    """
+    firms = names.groupBy("vendor_id").agg(F.array_sort(F.collect_set("name")).alias("own"))
+    dockets = cases.groupBy("case_id").agg(F.array_sort(F.collect_set(F.struct("applicant", "respondent"))).alias("sides"))
+    firm = firms.groupBy("own").agg(F.min("vendor_id").alias("_firm"))
+    docket = dockets.groupBy("sides").agg(F.min("case_id").alias("_case"), F.count(F.lit(1)).alias("n"))
+    own = write_once(firm.select(F.col("_firm").alias("vendor_id"), F.explode("own").alias("name")), "screened-names")
+    listed = write_once(docket.select(F.col("_case").alias("case_id"), "sides", "n"), "screened-cases")
+    return own, listed, firms.join(firm, "own").select("_firm", "vendor_id"), dockets.join(docket, "sides").select("_case", "case_id")
 
 
 def holding(names: DataFrame, sides: DataFrame, width: int = 4, together: int = TOGETHER) -> DataFrame:

@@ -328,3 +328,15 @@ def test_cases_and_persons(spark):
     entity = spark.createDataFrame([(1, ["Example Traders", "EXAMPLE"], ["example", "First Partner", "first  partner", ""])], "vendor_id int, own array<string>, people array<string>")
     r = cases.screening_names(entity).first()
     assert (r.names, r.persons) == (["Example Traders", "EXAMPLE", "First Partner"], ["First Partner"])
+
+
+def test_copies_of_names_and_cases_are_judged_once(spark):
+    """Each of 200 vendors of one name against 150 cases of one party, without a row per vendor and case."""
+    from duelight.operators import cases
+
+    names = spark.range(200).selectExpr("id AS vendor_id", "'sbir' AS name").union(spark.sql("SELECT 500L, 'quill forge'"))
+    docket = spark.range(150).selectExpr("id AS case_id", "'JASBIR KAUR' AS applicant", "CAST(NULL AS string) AS respondent").union(spark.sql("SELECT 900L, 'Quill Forge', 'JASBIR KAUR'"))
+    own, listed, firms, dockets = cases.screening_classes(names, docket)
+    assert own.count() == 2 and sorted(r.n for r in listed.collect()) == [1, 150] and firms.count() == 201 and dockets.count() == 151
+    hits, rejected = cases.screen_cases(names, docket)
+    assert rows_of(hits) == [(500, 900, "applicant")] and rows_of(rejected) == [(v, 151) for v in range(200)]
