@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from duelight.functions.text import once
+
 # Words of addresses that name no place.
 STOP_WORDS = (
     "plot", "plno", "pl", "no", "nos", "number", "door", "flat", "block", "building", "premises", "bldg", "gala",
@@ -43,7 +45,10 @@ def _tokens(c: Column) -> Column:
 
 def addr_tokens(c: Column) -> Column:
     """struct(premises, places, pins) of an address (STR-07)."""
-    toks = F.array_distinct(F.filter(_tokens(c), lambda t: ~t.isin(*STOP_WORDS)))
+    return once(F.array_distinct(F.filter(_tokens(c), lambda t: ~t.isin(*STOP_WORDS))), _sorted_tokens)
+
+
+def _sorted_tokens(toks: Column) -> Column:
     pin = lambda t: t.rlike(r"^\d{6}$")
     mid = lambda t: t.rlike(r"^\d{3,5}$")
     own = F.filter(toks, lambda t: ~pin(t) & ((t.rlike(r"\d") & t.rlike("[a-z]")) | mid(t) | t.contains("_")))
@@ -54,7 +59,10 @@ def addr_tokens(c: Column) -> Column:
 
 def premises_ids(c: Column) -> Column:
     """map(kind, numbers): runs of numbers after a word of that kind (STR-08); kinds without numbers are absent."""
-    text = F.concat(F.lit(" "), norm_addr(c), F.lit(" "))
+    return once(F.concat(F.lit(" "), norm_addr(c), F.lit(" ")), _numbers)
+
+
+def _numbers(text: Column) -> Column:
     entries = []
     for kind, words in KINDS.items():
         run = rf" (?:{'|'.join(words)})(?: (?:nos?|numbers?))*((?: _*\d{{1,5}}(?:_+\d{{1,5}})*_*(?= ))+)"
@@ -87,10 +95,9 @@ def place_overlap(a: Column, b: Column) -> Column:
 
 def licensed_note(bill: Column, licences: list[tuple[str, Column]]) -> Column:
     """The first licence whose premises corroborate the bill's: a shared number, or two shared places (JN-12)."""
-    own, out = addr_tokens(bill), F.lit(None).cast("string")
+    out = F.lit(None).cast("string")
     for label, address in reversed(licences):
-        other = addr_tokens(address)
-        met = F.arrays_overlap(own["premises"], other["premises"]) | (F.size(F.array_intersect(own["places"], other["places"])) >= 2)
+        met = once(F.struct(addr_tokens(bill).alias("own"), addr_tokens(address).alias("other")), lambda s: F.arrays_overlap(s["own"]["premises"], s["other"]["premises"]) | (F.size(F.array_intersect(s["own"]["places"], s["other"]["places"])) >= 2))
         out = F.when(bill.isNotNull() & address.isNotNull() & F.coalesce(met, F.lit(False)), label).otherwise(out)
     return out
 
@@ -102,9 +109,8 @@ def bill_answer(registered: Column, bill: Column, bill_pin: Column, village: Col
         addr_tokens(registered).alias("reg"), addr_tokens(some(bill, village, bill_pin)).alias("own"), premises_ids(registered).alias("ids_a"), premises_ids(some(bill, village)).alias("ids_b"),
         registered.alias("registered"), bill.alias("bill"), bill_pin.alias("pin"), (licensed_note(some(bill, village), licences) if licences else F.lit(None).cast("string")).alias("licensed"),
     )
-    compared = lambda s: F.transform(F.array(F.struct(s.alias("s"), compare_premises(s["ids_a"], s["ids_b"]).alias("plots"), place_overlap(s["reg"]["places"], s["own"]["places"]).alias("places"))), _bill)
-    # a lambda's argument is computed once, however often it is named
-    return F.get(F.flatten(F.transform(F.array(read), compared)), 0)
+    compared = lambda s: once(F.struct(s.alias("s"), compare_premises(s["ids_a"], s["ids_b"]).alias("plots"), place_overlap(s["reg"]["places"], s["own"]["places"]).alias("places")), _bill)
+    return once(read, compared)
 
 
 def _bill(c: Column) -> Column:
@@ -150,11 +156,16 @@ def bill_verdict(registered: Column, bill: Column, bill_pin: Column, village: Co
 
 def registration_note(registered: Column, other: Column) -> Column:
     """How two registrations' addresses compare (RES-14); null where there is nothing to say."""
-    a, b = addr_tokens(registered), addr_tokens(other)
-    plots = compare_premises(premises_ids(registered), premises_ids(other))
-    near = F.size(place_overlap(a["places"], b["places"])) > 0
+    read = F.struct(addr_tokens(registered).alias("a"), addr_tokens(other).alias("b"), premises_ids(registered).alias("ids_a"), premises_ids(other).alias("ids_b"), (registered.isNull() | other.isNull()).alias("lacking"))
+    compared = lambda s: F.struct(s.alias("s"), compare_premises(s["ids_a"], s["ids_b"]).alias("plots"), (F.size(place_overlap(s["a"]["places"], s["b"]["places"])) > 0).alias("near"))
+    return once(read, lambda s: once(compared(s), _note))
+
+
+def _note(c: Column) -> Column:
+    """The note on two registrations, from their tokens."""
+    a, b, plots, near = c["s"]["a"], c["s"]["b"], c["plots"], c["near"]
     return (
-        F.when(registered.isNull() | other.isNull(), F.lit(None))
+        F.when(c["s"]["lacking"], F.lit(None))
         .when(~plots["comparable"], "premises identifiers of different kinds cannot be compared")
         .when(plots["conflict"] & near, "WARNING: different premises in the same locality")
         .when(plots["conflict"], "WARNING: different premises in a different locality")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +63,24 @@ PARTY_BOILERPLATE = (
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row, however often `then` names it, as a lambda's argument is."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def once_each(rows: DataFrame, columns: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that judge(keys) adds; keys are the distinct values of `columns`, nulls too, so equal rows are judged once.
+
+    Keys are dealt out by their own shuffle, however few tasks read the rows.
+    """
+    keys = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    # what refers to the count is computed on keys: a filter on it can't move below the grouping
+    answers = judge(keys.select(*[F.when(F.col("_n") > 0, F.col(c)).alias(c) for c in columns]))
+    named = answers.withColumnsRenamed({c: f"_key_{i}" for i, c in enumerate(columns)})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(columns)])
+    return rows.join(named, same, "left").drop(*[f"_key_{i}" for i in range(len(columns))])
+
+
 def lookup(key: Column, table: dict) -> Column:
     """The table's value for a key, null if it has none."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
