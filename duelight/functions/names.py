@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelight.functions.text import normalize
+from duelight.functions.text import normalize, once_each
 
 # Words of organisation names that identify nobody.
 STOP_WORDS = (
@@ -154,5 +154,5 @@ def names_agree(a: Column, b: Column) -> Column:
 
 
 def split_by(rows: DataFrame, out: str, question: Callable[[Column, Column], Question], a: str, b: str) -> DataFrame:
-    """`decide` over two columns of rows."""
-    return decide(rows, out, question(F.col(a), F.col(b)))
+    """`decide` over the distinct pairs of two columns of rows."""
+    return once_each(rows, [a, b], lambda pairs: decide(pairs, out, question(F.col(a), F.col(b))))
