@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelight.plans.catalog import query, table
+from duelight.plans.catalog import query, spread, table
 from duelight.sources import io
 from duelight.sources.shared import new_folder
 
@@ -21,7 +21,7 @@ def _lines(spark: SparkSession, rows: DataFrame, value: Column, name: str) -> st
 def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-01: a file per supplier in its nation's folder, listed by folder in the order of the names."""
     path = new_folder(spark, "source-documents")
-    table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_name").write.option("maxRecordsPerFile", 1).partitionBy("nation").text(path)
+    spread(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_nationkey").alias("nation"), "s_name").write.option("maxRecordsPerFile", 1).partitionBy("nation").text(path)
     found = io.scan_documents(spark, path)
     files = found.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("files"))
     return found.join(files, "vendor_id").select("vendor_id", "files", "seq")
@@ -117,8 +117,8 @@ def loaded_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scanned_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01, SRC-13: conversations as traces; a later write of some vendors leaves those of others."""
     path, rows = new_folder(spark, "source-traces"), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("vendor_id"), "turn", "role")
-    io.write_traces(rows.repartition("vendor_id"), path)
-    io.write_traces(rows.where("vendor_id % 2 = 1 and turn = 0").repartition("vendor_id"), path)
+    io.write_traces(rows, path)
+    io.write_traces(rows.where("vendor_id % 2 = 1 and turn = 0"), path)
     return io.scan_traces(spark, path, lines=True).select(F.col("vendor_id").cast("long").alias("vendor_id"), "turn", "role")
 
 
