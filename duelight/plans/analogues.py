@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from duelight.functions import text
 from duelight.operators import cases, classify, consistency, extract, match, ocr, registry, report, resolve, review, score, screening
-from duelight.plans.catalog import AS_OF, PARAMS, RULES, _param_scores, _SCORE_SQL, query, table
+from duelight.plans.catalog import AS_OF, PARAMS, RULES, _param_scores, _SCORE_SQL, query, spread, table
 
 # ---- extraction
 
@@ -38,7 +38,7 @@ def _certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = {"gst_certificate": gst, "msme_certificate": msme, "cancelled_cheque": cheque, "electricity_bill": bill, "gst_portal": portal, "pan_entity": card, "kyc_form": form, "factory_license": licence, "pcb_certificate": consent, "certificate_of_incorporation": company}
     kind = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.pmod(k, F.lit(len(texts))) + 1).cast("int"))
     body = F.coalesce(*[F.when(F.col("doc_type") == t, c) for t, c in texts.items()])
-    return table(spark, sf_dir, "customer").withColumn("doc_type", kind).select(k.alias("vendor_id"), k.alias("doc_id"), "doc_type", F.lit(1).alias("seq"), body.alias("text"))
+    return spread(spark, sf_dir, "customer", "c_custkey").withColumn("doc_type", kind).select(k.alias("vendor_id"), k.alias("doc_id"), "doc_type", F.lit(1).alias("seq"), body.alias("text"))
 
 
 def _fields_sql(kind: int, **fields: str) -> str:
@@ -101,7 +101,7 @@ def resolved_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda n, *values: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (F.pmod(k, F.lit(n)) + 1).cast("int"))
     divides = lambda n: F.pmod(k, F.lit(n)) == 0
     none = F.lit(None).cast("string")
-    entity = table(spark, sf_dir, "customer").select(
+    entity = spread(spark, sf_dir, "customer", "c_custkey").select(
         k.alias("vendor_id"), F.when(b < 0, "Cancelled suo motu").when(b < 2000, "Suspended").when(b < 4000, "Inactive").when(b >= 4500, "Active").alias("gstin_status"),
         F.when(divides(7) & divides(3), "01/04/1995").alias("oldest_registration"),
         of(5, F.lit(None).cast("array<string>"), F.array(F.lit("3901")), F.array(F.lit("7204"), F.lit("0101")), F.array(F.lit("7010")), F.array(F.lit("0101"))).alias("hsn_codes"),
