@@ -170,9 +170,10 @@ def profile(entity: DataFrame) -> DataFrame:
 
 
 def _values(param_scores: DataFrame, *parameters: str) -> DataFrame:
-    """vendor_id and a struct (value, unresolved, assigned_score, max_score) per named parameter, null where a vendor has no such row."""
+    """vendor_id and a struct (value, unresolved, assigned_score, max_score) per named parameter, null where a vendor has no such row; of vendors with one of them."""
     pick = lambda p: F.max(F.when(F.col("parameter_id") == p, F.struct("value", "unresolved", "assigned_score", "max_score"))).alias(p)
-    return param_scores.groupBy("vendor_id").agg(*[pick(p) for p in parameters])
+    # rows of other parameters are left out before they are sorted
+    return param_scores.where(F.col("parameter_id").isin(*parameters)).groupBy("vendor_id").agg(*[pick(p) for p in parameters])
 
 
 def _field(entity: DataFrame, name: str) -> Column:
