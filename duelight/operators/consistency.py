@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelight.functions.names import names_agree
+from duelight.functions.names import agree_question, split_by
 from duelight.functions.text import pan_from_gstin
 from duelight.operators.registry import anchor_doc
+from duelight.sources.shared import write_once
 
 NAME_FIELDS = ("legal_name", "enterprise_name", "name", "account_holder")
 
@@ -34,11 +35,14 @@ def check_consistency(reads: DataFrame, people: DataFrame) -> DataFrame:
     card = F.when(other & person, "an individual's PAN filed as the entity's").when(other, "another PAN than the certificate")
     ids = rows.select("vendor_id", F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_compact(F.array(number, card))).alias("warning"))
     named = rows.select("vendor_id", "doc_id", "doc_type", "_legal", "_trade", F.explode(F.array_compact(F.array(*[get(f) for f in NAME_FIELDS]))).alias("said"))
-    named = named.withColumn("mine", F.coalesce(names_agree(F.col("said"), F.col("_legal")), F.lit(False)) | F.coalesce(names_agree(F.col("said"), F.col("_trade")), F.lit(False)))
+    named = write_once(named.where(F.col("_legal").isNotNull() | F.col("_trade").isNotNull()), "said-names")
+    key = ["vendor_id", "doc_id", "said"]
+    own = named.select(*key, F.explode(F.array_compact(F.array("_legal", "_trade"))).alias("other"), F.lit(False).alias("person"))
+    partners = named.select(*key).join(people.select("vendor_id", F.col("person").alias("other")), "vendor_id").withColumn("person", F.lit(True))
+    agreed = split_by(own.unionByName(partners), "same", agree_question, "said", "other")
+    met = agreed.groupBy(*key).agg(F.coalesce(F.bool_or(F.col("same") & ~F.col("person")), F.lit(False)).alias("mine"), F.min(F.when(F.col("same") & F.col("person"), F.col("other"))).alias("partner"))
     known = people.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n_people"))
-    odd = named.where(~F.col("mine") & (F.col("_legal").isNotNull() | F.col("_trade").isNotNull()))
-    match = odd.join(people.select("vendor_id", "person"), "vendor_id").withColumn("same", names_agree(F.col("said"), F.col("person"))).groupBy("vendor_id", "doc_id", "said").agg(F.min(F.when(F.col("same"), F.col("person"))).alias("partner"))
-    odd = odd.join(match, ["vendor_id", "doc_id", "said"], "left").join(known, "vendor_id", "left")
+    odd = named.join(met, key).where(~F.col("mine")).join(known, "vendor_id", "left")
     owner = F.col("doc_type") == "pan_owner"
     text = (
         F.when(owner & F.col("partner").isNull() & (F.col("n_people") > 0), F.concat(F.lit("not a partner on record: "), F.col("said")))
