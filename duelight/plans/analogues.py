@@ -17,15 +17,15 @@ from duelight.plans.catalog import AS_OF, PARAMS, RULES, _param_scores, _SCORE_S
 # ---- extraction
 
 
-def _certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document of one of nine types per customer, by its key."""
+def _certificates(spark: SparkSession, sf_dir: str, nic: Column | None = None) -> DataFrame:
+    """A document of one of ten types per customer, by its key; `nic` is the industry code of those that name one (else of any division, by the key)."""
     k = F.col("c_custkey")
     n = F.lpad(k.cast("string"), 9, "0")
     four, five = F.lpad(F.pmod(k, F.lit(10000)).cast("string"), 4, "0"), F.lpad(F.pmod(k, F.lit(100000)).cast("string"), 5, "0")
     name, pan = F.concat(F.lit("Alpha Mills "), F.col("c_mktsegment")), F.concat(F.lit("ABCFP"), four, F.lit("K"))
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     gst = say("Registration Number 27", pan, "1Z5\n1. Legal Name\n", name, "\n2. Trade Name, if any\nM/S ", name, "\n3. Constitution of Business\nPartnership\n4. Address of Principal Place of\nBusiness\nPlot ", n, ",\n  Rose Nagar\n5. Date of Liability\n01/07/2017\n8. Type of Registration\nRegular\n")
-    msme = say("UDYAM-MH-01-00", five, "\nNAME OF ENTERPRISE\nM/S ", name, "\nMAJOR ACTIVITY\nMANUFACTURING\nOFFICIAL ADDRESS OF ENTERPRISE\nFlat/Door/Block No.\n", n, "\nCity\nRoseville\nBlock\n-\nPin 600001\nMobile 9876500000\nNational Industry Code\n22 - Plastics\n", five, " - Manufacture of semi\nfinished plastics,\n\nMicro 2021 Small 2022\n")
+    msme = say("UDYAM-MH-01-00", five, "\nNAME OF ENTERPRISE\nM/S ", name, "\nMAJOR ACTIVITY\nMANUFACTURING\nOFFICIAL ADDRESS OF ENTERPRISE\nFlat/Door/Block No.\n", n, "\nCity\nRoseville\nBlock\n-\nPin 600001\nMobile 9876500000\nNational Industry Code\n22 - Plastics\n", five if nic is None else nic, " - Manufacture of semi\nfinished plastics,\n\nMicro 2021 Small 2022\n")
     cheque = say("Sample Bank RTGS IFSC: SBINO", five, "1\nA/c. No. 77", n, "\nVALID FOR THREE MONTHS ONLY\nFOR ", F.upper(name), " PVT LTD\nCANCELLED\n")
     bill = say("Consumer Name : ", name, "\nAddress : ", n, " Rose Road\n Roseville\nPin Code : 600001\nCategory : Industrial\nSanctioned Load : 12.5 KW\n")
     portal = say("Bank Account Details\nBank Name : Sample Bank\nAccount Number : 88", n, "\nIFSC : SBIN0", five, "1\nAccount Status : Active\nType of Account : CC\nPARSED_STATUS: VERIFIED\n")

@@ -3,12 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from duelight.functions import address
 from duelight.operators import report, resolve, review
-from duelight.plans import vendors
+from duelight.plans import assessments, catalog, vendors  # noqa: F401
 
 
 def bank(spark, accounts, called=None, holder=None, matched=None, live=None, portal=None, verified=None, status=None, marked=None):
@@ -185,3 +186,17 @@ def test_free_lists_where_no_sweep_is_comprehensive(spark):
     assert got[1, "legal_pep"] == ("pep_identified", "Heads (PEPCheck): 1 rows, score 90%") and got[2, "legal_pep"][0] == "no_pep"
     assert got[2, "legal_sanctions"] == ("listed", "NOT SCREENED: eu") and got[2, "legal_drt_sarfaesi"] == ("active_drt", "1 cases, 0 loose matches rejected")
     assert got[1, "legal_drt_sarfaesi"][0] == "no_drt" and got[1, "legal_ecourts"] == (None, "only a comprehensive sweep decides")
+
+
+def test_vendors_of_any_key_equal_their_sql(spark, sf, tmp_path):
+    """Customers whose keys would be industry codes of waste and trade, and suppliers of one name, one of whom has cases."""
+    con = duckdb.connect()
+    for t in ("orders", "events", "nation"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet' limit 50")
+    con.execute("create view customer as select 12341 + 12000 * i as c_custkey, 'AUTOMOBILE' as c_mktsegment from range(4) r(i) union all select 10 * i, 'AUTOMOBILE' from unnest([3601, 4500, 6999]) r(i)")
+    con.execute("create view supplier as select i as s_suppkey, 'Supplier#000000001' as s_name from unnest([3601, 4500, 6999, 4834, 3634]) r(i)")
+    for t in "customer supplier orders events nation".split():
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    rel = con.execute(catalog.ORACLE["assessed_parameters"])
+    cols = [c[0] for c in rel.description]
+    assert sorted(map(tuple, catalog.QUERIES["assessed_parameters"](spark, str(tmp_path)).select(*cols).collect())) == sorted(rel.fetchall())
