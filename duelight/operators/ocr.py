@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelight.functions.text import iou
+from duelight.sources.shared import write_once
 
 LEAST_CONFIDENCE, SURE_CHARS, SURE_CONFIDENCE, SAME_BOX = 0.4, 120, 0.6, 0.5
 ANGLES = (0, 180, 90, 270)
+#: Tokens of a page up to which all its pairs are compared.
+FEW_TOKENS = 64
 
 
 def pass_stats(tokens: DataFrame) -> DataFrame:
@@ -109,6 +114,73 @@ def reading_order(tokens: DataFrame) -> DataFrame:
     return placed.select(*PAGE, "line", place.alias("place"), "text", F.col("conf").cast("double").alias("conf"))
 
 
-def fold_pages(tokens: DataFrame) -> DataFrame:
-    """Both passes of each page merged, in reading order (JN-08, WIN-05, UDF-02)."""
-    return reading_order(merge_passes(tokens))
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once: a lambda's argument is, however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _merged(tokens: Column) -> Column:
+    """Tokens of one page, in order, as merge_passes leaves them: of each the place `slot`, and its fields."""
+    has_area = lambda t: (t["x1"] > t["x0"]) & (t["y1"] > t["y0"])
+    seated = F.transform(tokens, lambda t, i: F.struct(i.alias("slot"), *[t[c].alias(c) for c in (*BOX, "text", "conf", "second")]))
+    second = lambda t: F.coalesce(t["second"], F.lit(False))
+
+    def turn(held: Column, t: Column) -> Column:
+        # most boxes lie beside each other, which the first comparisons tell
+        same = lambda h: (h["x0"] < t["x1"]) & (h["x1"] > t["x0"]) & (h["y0"] < t["y1"]) & (h["y1"] > t["y0"]) & has_area(h) & (iou(h, t) >= SAME_BOX)
+        seat = lambda slot: F.struct(slot.alias("slot"), *[t[c].alias(c) for c in (*BOX, "text", "conf", "second")])
+        settle = lambda hit: (
+            F.when(hit.isNull(), F.concat(held, F.array(t)))
+            .when(t["conf"] > hit["conf"], F.transform(held, lambda h: F.when(h["slot"] == hit["slot"], seat(h["slot"])).otherwise(h)))
+            .otherwise(held)
+        )
+        return _bound(F.when(has_area(t), F.get(F.filter(held, same), 0)), settle)
+
+    return _bound(seated, lambda ts: F.aggregate(F.filter(ts, second), F.filter(ts, lambda t: ~second(t)), turn))
+
+
+def _lines(held: Column) -> Column:
+    """Middles at which the lines of a page begin, from the top (see reading_order)."""
+    heights = F.array_sort(F.array_compact(F.transform(held, lambda h: h["y1"] - h["y0"])))
+    middles = F.array_sort(F.array_distinct(F.array_compact(F.transform(held, lambda h: (h["y0"] + h["y1"]) / 2))))
+    room = _bound(heights, lambda hs: 0.6 * F.greatest(F.lit(1.0), F.get(hs, F.floor(F.size(hs) / 2).cast("int"))))
+    return _bound(room, lambda r: F.aggregate(middles, F.array().cast("array<double>"), lambda acc, y: F.when((F.size(acc) == 0) | (y - F.get(acc, F.size(acc) - 1) > r), F.concat(acc, F.array(y))).otherwise(acc)))
+
+
+def _in_order(held: Column) -> Column:
+    """Tokens of one page with their line, in reading order."""
+
+    def placed(s: Column) -> Column:
+        def one(h: Column) -> Column:
+            middle = (h["y0"] + h["y1"]) / 2
+            line = F.when(middle.isNull(), F.size(s["lines"])).otherwise(F.size(F.filter(s["lines"], lambda y: y <= middle)) - 1)
+            return F.struct(line.alias("line"), h["x0"].isNull().alias("loose"), h["x0"].alias("x0"), middle.alias("middle"), h["slot"].alias("slot"), h["text"].alias("text"), h["conf"].alias("conf"))
+
+        return F.array_sort(F.transform(s["held"], one))
+
+    return _bound(F.struct(held.alias("held"), _lines(held).alias("lines")), placed)
+
+
+def _plain_pages(tokens: DataFrame) -> DataFrame:
+    """fold_pages of pages of few tokens: each is one row, whose tokens are compared with each other."""
+    order = F.struct((F.col("pass") != "primary").alias("second"), "ord", *BOX, "text", F.col("conf").cast("double").alias("conf"))
+    # by number: work on a page costs far more than its bytes tell, by which partitions would be put together
+    dealt = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
+    pages = dealt.groupBy(*PAGE).agg(F.array_sort(F.collect_list(order)).alias("tokens"))
+    held = pages.select(*PAGE, _bound(_merged(F.col("tokens")), _in_order).alias("held"))
+    rows = held.select(*PAGE, F.transform("held", lambda h: h["line"]).alias("lines"), F.posexplode("held").alias("nth", "h"))
+    place = F.col("nth") - F.array_position("lines", F.col("h.line")).cast("int") + 1
+    return rows.select(*PAGE, "h.line", place.alias("place"), "h.text", "h.conf")
+
+
+def fold_pages(tokens: DataFrame, few: int = FEW_TOKENS) -> DataFrame:
+    """Both passes of each page merged, in reading order (JN-08, WIN-05, UDF-02).
+
+    A page of up to `few` tokens is dealt out once, as a whole. Larger ones, where
+    comparing all pairs would grow with the square, take the grid of `overlapping`.
+    """
+    tokens = tokens.where(" and ".join(f"{c} is not null" for c in PAGE))
+    large = write_once(tokens.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select(*PAGE), "large-pages")
+    if large.isEmpty():
+        return _plain_pages(tokens)
+    return _plain_pages(tokens.join(large, PAGE, "left_anti")).unionByName(reading_order(merge_passes(tokens.join(large, PAGE, "left_semi"))))

@@ -271,6 +271,17 @@ def test_pages_equal_the_fold(spark):
     assert ocr.fold_pages(df.where("false")).count() == 0
 
 
+def test_pages_of_any_size_are_alike_and_dealt_out_once(spark):
+    """Pages of few tokens are folded in one row, larger ones by the grid: the same rows, and no shuffle beside that of whole pages."""
+    rng = random.Random(12)
+    rows = [(page // 5, page % 5, rng.choice(["primary", "second", None]), k, x, y, x + w, y + 4, f"t{k}", rng.randrange(5) / 4) for page in range(25) for k in range(rng.randrange(1, 30)) for x, y, w in [(rng.randrange(40) * 1.0, rng.randrange(20) * 1.0, rng.choice([0, 4, 9]) * 1.0)]]
+    df = spark.createDataFrame([*rows, (None, 1, "primary", 1, 0.0, 0.0, 9.0, 9.0, "lost", 0.5)], "doc_id long, page int, pass string, ord int, x0 double, y0 double, x1 double, y1 double, text string, conf double")
+    whole = ocr.fold_pages(df)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Exchange hashpartitioning") == 1
+    assert rows_of(whole) == rows_of(ocr.fold_pages(df, few=0)) == rows_of(ocr.fold_pages(df, few=15))
+
+
 def test_pages(spark):
     tokens = [(1, 1, "primary", 0, 1, 0.0, 0.0, 10.0, 10.0, "top", 0.9), (1, 1, "primary", 0, 2, 50.0, 1.0, 60.0, 11.0, "rigth", 0.5), (1, 1, "second", 0, 1, 50.0, 1.0, 60.0, 11.0, "right", 0.8), (1, 1, "second", 0, 2, 0.0, 40.0, 10.0, 50.0, "below", 0.7)]
     df = spark.createDataFrame(tokens, "doc_id long, page int, pass string, angle int, ord int, x0 double, y0 double, x1 double, y1 double, text string, conf double")
