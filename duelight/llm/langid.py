@@ -30,7 +30,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +45,8 @@ TOGETHER = 6_000_000
 BITS_PER_E = 8.0
 
 _DEAD = np.int32(1 << 30)
+#: Stands for the symbol of states that lead on by none or by several.
+NO_SYMBOL = -1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -83,7 +85,11 @@ def _suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one table: state, symbol -> next state."""
+    """The automata of all languages: state, symbol -> next state.
+
+    Most states lead on by one symbol only. These have no row of their own in the table:
+    they share that of their language's restart, and their symbol and next state stand beside.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
@@ -101,23 +107,37 @@ class Parser:
             self.lut[ord(c)] = k + 1 if k < common else k + 2
         self.second = self.rare + -(-(len(alphabet) - common) // COMMON)
         self.width = self.second + min(COMMON, len(alphabet) - common)
-        tables, self.starts, base = [], [], 0
+        tables, rows, self.starts, base, n_rows = [], [], [], 0, 0
+        only, onward = [], []
         for k in self.languages:
             step = _suffix_automaton(self.symbols(clean[k]).tolist())
             # the last state is between phrases: whatever comes starts one
             between = base + len(step)
-            table = np.full((len(step) + 1, self.width), -1, dtype=np.int32)
-            for s, out in enumerate(step):
-                if out:
-                    table[s, list(out)] = np.fromiter(out.values(), np.int32, len(out)) + base
-            restart = np.where(table[0] < 0, between, table[0]) | _DEAD
-            tables.append(np.where(table < 0, restart[None, :], table))
+            many = [s for s, out in enumerate(step) if len(out) > 1 or s == 0]
+            row = np.zeros(len(step) + 1, dtype=np.int32)  # the first one is the restart's
+            row[many] = np.arange(1, len(many) + 1)
+            table = np.full((len(many) + 1, self.width), -1, dtype=np.int32)
+            for k, s in enumerate(many, 1):
+                table[k, list(step[s])] = np.fromiter(step[s].values(), np.int32, len(step[s])) + base
+            table = np.where(table < 0, (np.where(table[1] < 0, between, table[1]) | _DEAD)[None, :], table)
+            single = np.array([next(iter(out.items())) if len(out) == 1 and s else (NO_SYMBOL, 0) for s, out in enumerate(step)] + [(NO_SYMBOL, 0)], dtype=np.int32)
+            only.append(single[:, 0].astype(np.int16))
+            onward.append(single[:, 1] + np.int32(base))
+            tables.append(table)
+            rows.append(row + np.int32(n_rows))
             self.starts.append(between)
-            base = between + 1
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            base, n_rows = between + 1, n_rows + len(table)
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.row, self.only, self.onward = joined(rows, np.int32), joined(only, np.int16), joined(onward, np.int32)
+        self.table = joined([t.ravel() for t in tables], np.int32)
         self.at = np.int32 if len(self.table) < 1 << 31 else np.int64
         self.bits = np.array([np.log2(max(2, len(clean[k]))) for k in self.languages])
 
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states, with _DEAD where a phrase ends."""
+        got = self.table[self.row[state] * self.at(self.width) + symbol]
+        return np.where(self.only[state] == symbol, self.onward[state], got)
+
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of non-letters as one."""
         got = self.lut[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
@@ -139,7 +159,7 @@ class Parser:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
-        langs, width = len(self.languages), self.at(self.width)
+        langs = len(self.languages)
         out = np.zeros((len(texts), langs), dtype=np.int64)
         pieces = [(k, i, t[i : i + SEGMENT]) for k, t in enumerate(texts) for i in range(0, len(t), SEGMENT)]
         pieces.sort(key=lambda p: -len(p[2]))
@@ -157,7 +177,7 @@ class Parser:
         state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], len(pieces), axis=1)
         count = np.zeros((langs, len(pieces)), dtype=np.int64)
         for i, n in enumerate(alive):
-            got = self.table[state[:, :n] * width + grid[i, :n]]
+            got = self.follow(state[:, :n], grid[i, :n])
             count[:, :n] += got >> 30
             path[i, :, : min(n, continued)] = got[:, :continued]
             state[:, :n] = got & ~_DEAD
@@ -173,7 +193,7 @@ class Parser:
                 if not len(live):
                     break
                 j, k = to[live], lang[live]
-                got, old = self.table[now[live] * width + grid[i, j]], path[i, k, j]
+                got, old = self.follow(now[live], grid[i, j]), path[i, k, j]
                 changed[k, j] += (got >> 30) - (old >> 30)
                 now[live] = got & ~_DEAD
                 same = now[live] == old & ~_DEAD
@@ -187,13 +207,13 @@ class Parser:
         np.add.at(out, np.array([k for k, *_ in pieces]), (count + changed).T)
         return out
 
-    def predict(self, texts: pd.Series) -> pd.DataFrame:
+    def predict(self, texts: pa.Array) -> pa.StructArray:
         lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
         at = 0
         while at < len(texts) and self.languages:
             batch, place, size = [], [], 0
             while at < len(texts) and (not batch or size < TOGETHER // len(self.languages)):
-                t = texts.iloc[at]
+                t = texts[at].as_py()
                 if t is not None and (got := self.classes(t)).any():
                     batch.append(got)
                     place.append(at)
@@ -205,7 +225,7 @@ class Parser:
                 p = 1 / np.exp(-(bits - bits.min(axis=1, keepdims=True)) / BITS_PER_E).sum(axis=1)
                 lang[place] = np.array(self.languages, dtype=object)[best]
                 score[place] = p
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
 
 _TABLE: list[np.ndarray] = []
@@ -256,8 +276,8 @@ def predict(spark: SparkSession, text: Column, samples: dict[str, str]) -> Colum
     shared = spark.sparkContext.broadcast(samples)
     name = shared._jbroadcast.id()
 
-    @F.pandas_udf("lang_pred string, score double")
-    def udf(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def udf(texts: pa.Array) -> pa.Array:
         if name not in _PARSERS:
             _PARSERS.clear()
             _PARSERS[name] = Parser(shared.value)

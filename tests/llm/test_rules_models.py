@@ -82,6 +82,13 @@ def test_phrases_are_greedy_longest_matches():
     assert parser.phrases([parser.classes(text)])[0].tolist() == want
 
 
+def test_states_that_lead_on_by_one_symbol_have_no_row():
+    """A worker keeps the parser for as long as it lives, beside later stages: most states are such."""
+    parser = langid.Parser({"a": "the cat sat on the mat and the dog ran to the other house", "b": "und die katze sitzt hier"})
+    assert len(parser.table) // parser.width < 0.5 * len(parser.row)
+    assert parser.table.nbytes + parser.row.nbytes + parser.only.nbytes + parser.onward.nbytes < 0.6 * 4 * len(parser.row) * parser.width
+
+
 def test_quality_model(spark, sf):
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
     got = qda.classify(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").collect()
