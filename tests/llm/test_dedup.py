@@ -297,3 +297,13 @@ def test_segments_meet_for_every_pair(spark):
             continue
         keys = [{(n, tuple(t[s:e])) for s, e, n in zip(*(x.tolist() for x in neardup.segments(len(t))))} for t in (a, b)]
         assert keys[0] & keys[1], (a, b)
+
+
+def test_texts_meet_their_buckets_in_one_row_each(spark):
+    """The join that gives buckets the columns of their texts makes a row per text, however many buckets hold it."""
+    rows = spark.createDataFrame([(n, 100 * b, b) for n in range(5) for b in range(40)], "nid long, key long, at int")
+    text = spark.createDataFrame([(n, n % 2, 10 * n) for n in range(4)], "nid long, label long, long int")
+    got = neardup._placed(rows, text, "key", "at")
+    assert sorted(map(tuple, got.collect())) == sorted((n, 100 * b, b, n % 2, 10 * n) for n in range(4) for b in range(40))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner") < plan.index("Aggregate [nid")
