@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import weakref
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -29,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,11 +53,11 @@ def load_ranks(path: str, limit: int = 1 << 20) -> dict[bytes, int]:
 class _Known(dict):
     """Pieces already encoded; emptied when full."""
 
-    def __init__(self, encode_piece):
-        self.encode_piece = encode_piece
+    def __init__(self, codec: Codec):
+        self.codec = weakref.proxy(codec)  # a cycle would outlive the codec
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
+        ids = self.codec.encode_piece(piece.encode("utf-8").decode("latin-1"))
         if len(piece) <= 64:
             if len(self) >= MEMO:
                 self.clear()
@@ -83,7 +85,7 @@ class Codec:
         self.halves = [self._split(s, i) for i, s in enumerate(self.text_of)]
         self._fits: dict[tuple[int, int], bool] = {}
         self._shorter: dict[int, list[int]] = {}
-        self._known = _Known(self.encode_piece)
+        self._known = _Known(self)
 
     def _split(self, s: str, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; itself twice for a single byte."""
@@ -191,35 +193,19 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)) if ids is not None else b""
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: weakref.WeakKeyDictionary[Broadcast, Codec] = weakref.WeakKeyDictionary()
 
 
-def _codec(shared, pattern: str) -> Codec:
-    """The worker's codec, built once per broadcast vocabulary."""
-    if shared.id not in _CODECS:
-        _CODECS.clear()
-        _CODECS[shared.id] = Codec(shared.value, pattern)
-    return _CODECS[shared.id]
+def _codec(shared: Broadcast, pattern: str) -> Codec:
+    """The worker's codec, built once per broadcast vocabulary; it goes with the broadcast when the worker turns to other tasks."""
+    if shared not in _CODECS:
+        _CODECS[shared] = Codec(shared.value, pattern)
+    return _CODECS[shared]
 
 
-class _Shared:
-    """A broadcast with a name that workers can key their cache by."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        self.box = spark.sparkContext.broadcast(ranks)
-        self.id = self.box._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"box": self.box, "id": self.id}
-
-    @property
-    def value(self):
-        return self.box.value
-
-
-def share(spark: SparkSession, path: str) -> _Shared:
+def share(spark: SparkSession, path: str) -> Broadcast:
     """Read a rank file on the driver and send it to the executors (a vocabulary is bounded, see load_ranks)."""
-    return _Shared(spark, load_ranks(path))
+    return spark.sparkContext.broadcast(load_ranks(path))
 
 
 def encode(spark: SparkSession, text: Column, path: str, pattern: str) -> Column:

@@ -123,6 +123,7 @@ class Parser:
             single = np.array([next(iter(out.items())) if len(out) == 1 and s else (NO_SYMBOL, 0) for s, out in enumerate(step)] + [(NO_SYMBOL, 0)], dtype=np.int32)
             only.append(single[:, 0].astype(np.int16))
             onward.append(single[:, 1] + np.int32(base))
+            del step  # one automaton at a time
             tables.append(table)
             rows.append(row + np.int32(n_rows))
             self.starts.append(between)
@@ -268,20 +269,17 @@ def fit(docs: DataFrame, buckets: int = SAMPLE_BUCKETS) -> dict[str, str]:
     return samples
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def predict(spark: SparkSession, text: Column, samples: dict[str, str]) -> Column:
-    """struct(lang_pred, score) of a text column."""
-    shared = spark.sparkContext.broadcast(samples)
-    name = shared._jbroadcast.id()
+    """struct(lang_pred, score) of a text column.
+
+    The automata come of the bounded sample, so they are built once, here. Workers load
+    their tables, and let go of them with the broadcast when they turn to other tasks.
+    """
+    shared = spark.sparkContext.broadcast(Parser(samples))
 
     @F.arrow_udf("lang_pred string, score double")
     def udf(texts: pa.Array) -> pa.Array:
-        if name not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[name] = Parser(shared.value)
-        return _PARSERS[name].predict(texts)
+        return shared.value.predict(texts)
 
     return udf(text)
 

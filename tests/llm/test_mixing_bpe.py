@@ -115,3 +115,16 @@ def test_digests_and_columns(spark, codecs):
     back = docs.select("text", bpe.decode(spark, bpe.encode(spark, F.col("text"), PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).alias("b")).collect()
     assert all(bytes(r.b) == (r.text or "").encode() for r in back)
     assert bpe.tokenised(spark, docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_workers_drop_the_codec_with_its_broadcast(spark):
+    docs = spark.createDataFrame([(i, "The cat's hat") for i in range(40)], "doc_id long, text string").repartition(8)
+    assert bpe.digests(spark, docs, PATH, public_tokenizers.PATTERN).where("n_tokens > 0").count() == 40
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._CODECS)])], ["n"])
+
+    assert spark.range(0, 16, 1, 8).mapInArrow(held, "n long").groupBy().sum("n").head()[0] == 0

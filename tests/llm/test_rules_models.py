@@ -89,6 +89,16 @@ def test_states_that_lead_on_by_one_symbol_have_no_row():
     assert parser.table.nbytes + parser.row.nbytes + parser.only.nbytes + parser.onward.nbytes < 0.6 * 4 * len(parser.row) * parser.width
 
 
+def test_automata_are_built_once_and_not_by_workers(spark, monkeypatch):
+    """Their construction takes far more memory than their tables; a worker keeps what it once took."""
+    built, build = [], langid._suffix_automaton
+    monkeypatch.setattr(langid, "_suffix_automaton", lambda codes: built.append(len(codes)) or build(codes))
+    docs = spark.createDataFrame([(i, "the cat sat" if i % 2 else "der hund und", "en" if i % 2 else "de") for i in range(80)], "doc_id long, text string, lang string")
+    got = langid.identify(docs.repartition(4)).collect()
+    assert {(r.doc_id % 2, r.lang_pred) for r in got} == {(0, "de"), (1, "en")}
+    assert len(built) == 2
+
+
 def test_quality_model(spark, sf):
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
     got = qda.classify(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").collect()

@@ -161,3 +161,16 @@ def test_a_wrong_sidecar_is_refused(spark, sf):
     with pytest.raises(Exception, match="lies"):
         warc.read_records(archives, folder).count()
 
+
+
+def test_small_batches_only_lower_the_limits(spark):
+    before = {k: spark.conf.get(k) for k in p.BATCH}
+    try:
+        for given, want in ((("10000", "64m"), ("2000", "4194304")), (("500", "1m"), ("500", "1m")), (("0", "4194304b"), ("2000", "4194304b"))):
+            for k, v in zip(p.BATCH, given):
+                spark.conf.set(k, v)
+            p.by_small_batches(spark)
+            assert tuple(spark.conf.get(k) for k in p.BATCH) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
