@@ -139,13 +139,17 @@ def hopeful(queries: dict[str, list[frozenset[str]]], trigrams: list[str]) -> Co
     return F.get(F.transform(F.array(_held(trigrams)), every), 0)
 
 
+CLAUSES = (("kind", "string"), ("clause", "int"), ("trigram", "string"), ("bit", "long"), ("every", "long"))
+
+
 def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
     """doc_id, kinds: for which rules a document is in the intersection of some clause's postings."""
     spark = postings.sparkSession
     rows = [(kind, n, t, 1 << bit, (1 << len(c)) - 1) for kind, cs in queries.items() for n, c in enumerate(cs) for bit, t in enumerate(sorted(c))]
     if any(r[4] >= 1 << 62 for r in rows):
         raise ValueError("a clause names over 62 trigrams")
-    clauses = spark.createDataFrame(rows, "kind string, clause int, trigram string, bit long, every long")
+    one = lambda r: F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, CLAUSES)])
+    clauses = spark.range(1).select(F.inline(F.array(*map(one, rows))))  # createDataFrame would start Python workers on the executors
     held = postings.join(F.broadcast(clauses), "trigram").groupBy("doc_id", "kind", "clause", "every").agg(F.bit_or("bit").alias("bits"))
     return held.where("bits = every").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 

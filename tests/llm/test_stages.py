@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from duelight.llm import embeddings, neardup, qda, warc
+from duelight.llm import embeddings, neardup, qda, secrets, warc
 from duelight.llm.langid import held_out
 from duelight.llm.tables import materialise, new_path, read
 from duelight.llm.textstats import features
@@ -174,3 +174,31 @@ def test_small_batches_only_lower_the_limits(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_workers_give_freed_memory_back(spark):
+    environment = spark.sparkContext.environment
+    before = dict(environment)
+    try:
+        environment["MALLOC_ARENA_MAX"] = "2"
+        p.by_small_batches(spark)
+
+        @F.udf("array<string>")
+        def seen(names):
+            import os
+
+            return [os.environ.get(n) for n in names]
+
+        got = spark.range(1).select(seen(F.array(*map(F.lit, p.WORKERS)))).first()[0]
+        assert dict(zip(p.WORKERS, got)) == p.WORKERS | {"MALLOC_ARENA_MAX": "2"}
+    finally:
+        environment.clear()
+        environment.update(before)
+
+
+def test_secret_candidates_start_no_python(spark):
+    queries = {"two": [frozenset({"abc", "bcd"})], "either": [frozenset({"abc"}), frozenset({"xyz"})]}
+    postings = spark.sql("select * from values (1L, 'abc'), (1L, 'bcd'), (2L, 'xyz'), (3L, 'bcd') t(doc_id, trigram)")
+    found = secrets.candidates(postings, queries)
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: sorted(r.kinds) for r in found.collect()} == {1: ["either", "two"], 2: ["either"]}
